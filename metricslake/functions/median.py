@@ -36,7 +36,9 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
     return left.join(right, _null_safe_on(left, right, keys), how)
 
 
-def _ranked_median(vals: DataFrame, keys: list[str], alias: str) -> DataFrame:
+def _ranked_median(
+    vals: DataFrame, keys: list[str], alias: str, broadcast_targets: bool = True
+) -> DataFrame:
     """Exact median of ``_v`` per group via range partitioning (for heavy groups)."""
     ranked = (
         vals.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys], F.col("_v").asc())
@@ -74,14 +76,22 @@ def _ranked_median(vals: DataFrame, keys: list[str], alias: str) -> DataFrame:
     targets = wanted.select(
         (F.col("_first") + F.col("_k") - F.col("_before")).alias("_mid")
     )
-    # at most two targets per heavy group, and the heavy groups were counted
-    picked = ranked.join(F.broadcast(targets), "_mid")
+    # at most two targets per group: broadcast when the groups were counted, else the
+    # planner decides from the measured size (AQE turns it into a broadcast when small)
+    picked = ranked.join(F.broadcast(targets) if broadcast_targets else targets, "_mid")
     return picked.groupBy(*keys).agg(
         # same interpolation as the built-in: 0.5 * lower + 0.5 * upper
         (F.lit(0.5) * F.min("_v") + F.lit(0.5) * F.max("_v")).alias(alias)
     )
 
 
+def has_heavy_groups(df: DataFrame, keys: list[str], heavy_rows: int = DEFAULT_HEAVY_ROWS) -> bool:
+    """Whether some group has more than ``heavy_rows`` rows (one cheap aggregate job:
+    partial counts per task, a tiny shuffle, and a single-row answer)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return bool(sizes.where(F.col("_n") > heavy_rows).limit(1).count())
+
+
 def exact_median(
     df: DataFrame,
     keys: list[str],
@@ -89,15 +99,26 @@ def exact_median(
     alias: str = "median",
     heavy_rows: int = DEFAULT_HEAVY_ROWS,
     max_broadcast_keys: int = DEFAULT_MAX_BROADCAST_KEYS,
+    strategy: str = "auto",
 ) -> DataFrame:
     """``groupBy(keys).agg(median(value))`` that stays exact and skew-safe.
 
+    ``strategy``:
+      * ``"auto"``: count the groups above ``heavy_rows`` (one cheap aggregate job)
+        and split as described in the module docstring;
+      * ``"ranged"``: every group takes the range-partitioned path, no size check;
+        for few groups that each grow with the data (pooled baselines).
+
     NULL values are ignored; a group with no non-NULL value yields no row (callers
     left-join the result, which gives the NULL a SQL median returns).
     """
     vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull()
     )
+    if strategy == "ranged":
+        return _ranked_median(vals, keys, alias, broadcast_targets=False)
+    if strategy != "auto":
+        raise ValueError(f"unknown strategy {strategy!r}")
     sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy_keys = sizes.where(F.col("_n") > heavy_rows).select(*keys)
     # the size check: one cheap aggregate job (partial counts, tiny shuffle)

@@ -10,6 +10,8 @@ the ``query_metrics`` scan; level 1 is a partial + final hash aggregate, so only
 one partial row per (run, query) and map task crosses the shuffle; level 2 and
 ``queries_attempted`` both end hash-partitioned on ``run_id``, so joining them with
 ``runs`` needs one more exchange (of ``runs``) and none for the aggregates.
+``run_aggregates`` reads ``query_results`` once for both the geomean and the
+attempt counts.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricslake.functions import exact_median, fmt_g
+from metricslake.functions.median import has_heavy_groups
 
 EXEC_METRIC = "execution_time_seconds"
 GEOMEAN_FLOOR = 1e-6  # a sub-microsecond timing is the measurement floor
@@ -100,24 +103,53 @@ GEOMEAN_COLUMNS = [
 ]
 
 
+def run_aggregates(query_results: DataFrame, query_metrics: DataFrame) -> DataFrame:
+    """run_geomean and run_attempts of every run from one pass over ``query_results``.
+
+    Both inputs are first reduced to one row per (run, query) and hash-partitioned on
+    it, so they join without another exchange; one aggregate on ``run_id`` then
+    yields the geomean part (ok queries with a valid timing) and the attempt counts
+    (every result row, duplicates included, as a count over the raw rows would).
+    """
+    means = valid_timings(query_metrics).groupBy("run_id", "query").agg(
+        F.avg("metric_value").alias("seconds")
+    )
+    results = query_results.groupBy("run_id", "query").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(F.col("status") != "ok").alias("_failed"),
+        F.bool_or(F.col("status") == "ok").alias("_ok"),
+    )
+    j = results.join(means, ["run_id", "query"], "left")
+    ok = F.col("_ok") & F.col("seconds").isNotNull()
+    ok_s = F.when(ok, F.col("seconds"))
+    # greatest() skips NULLs, so the floor is applied inside the ok branch only
+    ok_log = F.when(ok, F.log(F.greatest(F.col("seconds"), F.lit(GEOMEAN_FLOOR))))
+    return j.groupBy("run_id").agg(
+        F.exp(F.avg(ok_log)).alias("geomean_seconds"),
+        F.count(ok_s).alias("queries_ok"),
+        F.min(ok_s).alias("fastest_query_seconds"),
+        F.max(ok_s).alias("slowest_query_seconds"),
+        F.sum("_rows").alias("queries_attempted"),
+        F.sum("_failed").alias("queries_failed"),
+    )
+
+
 def benchmark_geomean(
     runs: DataFrame, query_results: DataFrame, query_metrics: DataFrame, ordered: bool = True
 ) -> DataFrame:
     """One row per non-test run with a valid timing: geomean, counts and labels.
 
-    A run without any valid timing is absent (inner join). The test-run filter is
-    applied once, at the final join: the per-run aggregates of a test run are never
-    joined, so filtering earlier would only add a join.
+    A run without any valid timing is absent (``queries_ok > 0`` replaces the inner
+    join with the per-run geomean). The test-run filter is applied once, at the
+    final join with ``runs``: the aggregates of a test run are never joined.
     ``ordered`` sorts by (timestamp, benchmark, benchmark_name) as the stored table
     is; the sort is range-partitioned, and writing it sorted gives tight parquet
     min/max statistics on the timestamp for date-filtered reports.
     """
-    per_run = run_geomean(_per_query_mean(query_results, query_metrics))
-    attempted = run_attempts(query_results)
+    per_run = run_aggregates(query_results, query_metrics).where(F.col("queries_ok") > 0)
     r = run_labels(non_test_runs(runs)).withColumnRenamed("run_ts", "run_timestamp")
     out = (
         r.join(per_run, "run_id")
-        .join(attempted, "run_id")
         .withColumn("is_complete", F.col("queries_failed") == 0)
         .select(*GEOMEAN_COLUMNS)
     )
@@ -134,17 +166,36 @@ def warm_run_stats(query_metrics: DataFrame) -> DataFrame:
     """Per (run, query): mean, exact median, fastest, slowest and count of valid timings.
 
     No status filter here: a timing of a failed query still counts, as in the
-    source model. The median is exact; heavy groups are split (see ``exact_median``).
+    source model. The median is exact; when no group is heavy (the usual case: a
+    group is the warm runs of one query) everything is one aggregate, otherwise
+    heavy groups are split (see ``exact_median``).
     """
     t = valid_timings(query_metrics)
-    stats = t.groupBy("run_id", "query").agg(
+    stats = [
         F.avg("metric_value").alias("mean_seconds"),
         F.min("metric_value").alias("fastest_seconds"),
         F.max("metric_value").alias("slowest_seconds"),
         F.count(F.lit(1)).alias("timed_runs"),
-    )
+    ]
+    if not has_heavy_groups(t, ["run_id", "query"]):
+        return t.groupBy("run_id", "query").agg(
+            *stats, F.median("metric_value").alias("median_seconds")
+        )
     med = exact_median(t, ["run_id", "query"], "metric_value", "median_seconds")
-    return stats.join(med, ["run_id", "query"])
+    return t.groupBy("run_id", "query").agg(*stats).join(med, ["run_id", "query"])
+
+
+def restrict_to_runs(
+    chosen: DataFrame, runs: DataFrame, query_results: DataFrame, query_metrics: DataFrame
+):
+    """The three inputs narrowed to the run ids of ``chosen`` (a frame of at most a
+    few rows, e.g. one selected run) before any aggregation or shuffle."""
+    ids = F.broadcast(chosen.select("run_id"))
+    return (
+        runs.join(ids, "run_id", "left_semi"),
+        query_results.join(ids, "run_id", "left_semi"),
+        query_metrics.join(ids, "run_id", "left_semi"),
+    )
 
 
 QUERY_TIMES_COLUMNS = [

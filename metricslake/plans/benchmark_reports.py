@@ -133,14 +133,19 @@ def baseline_medians(query_times: DataFrame, f: BenchmarkFilters) -> DataFrame:
     """Median of the per-run medians per (series, query, pinned version).
 
     Pools machines, architectures and dates. A group holds every run of a release,
-    so it grows with the data: the exact median splits such groups over tasks.
+    so it grows with the data: the exact median spreads every group over tasks by
+    value range (no group is gathered into one task).
     """
     qt = query_times.where(
         (F.col("storage_type") == f.storage_type)
         & F.col("engine_version").isin(list(f.pinned_versions))
     )
     return exact_median(
-        qt, ["benchmark_series", "query", "engine_version"], "median_seconds", "baseline_seconds"
+        qt,
+        ["benchmark_series", "query", "engine_version"],
+        "median_seconds",
+        "baseline_seconds",
+        strategy="ranged",
     )
 
 
@@ -159,34 +164,34 @@ def selected_run(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
 
 
 def query_times_report(
-    geomean: DataFrame, query_times: DataFrame, f: BenchmarkFilters
+    geomean: DataFrame,
+    query_times: DataFrame,
+    f: BenchmarkFilters,
+    baseline_times: DataFrame | None = None,
 ) -> DataFrame:
     """The chosen run's queries against the pinned baselines, regressions first.
 
     Ratios are rounded to 2 places and the flags compare that rounded value, so a
     flag never disagrees with the shown number: +1 above 1.1, -1 below 0.9, else NULL.
+    ``baseline_times`` (default ``query_times``) is where the baseline medians come
+    from; a caller may pass ``query_times`` already narrowed to the chosen run.
     """
     primary, secondary = f.pinned_versions[0], f.pinned_versions[1]
     chosen = selected_run(geomean, f)
     sel = query_times.where(F.col("storage_type") == f.storage_type).join(
         F.broadcast(chosen), "run_id"  # one row
     )
-    base = baseline_medians(query_times, f)
-
-    def side(version: str, tag: str) -> DataFrame:
-        return base.where(F.col("engine_version") == version).select(
-            "benchmark_series", "query", F.col("baseline_seconds").alias(f"_b_{tag}")
-        )
-
-    j = sel.join(side(primary, "p"), ["benchmark_series", "query"], "left").join(
-        side(secondary, "s"), ["benchmark_series", "query"], "left"
+    base = baseline_medians(query_times if baseline_times is None else baseline_times, f)
+    # both releases from one aggregate: one row per (series, query)
+    sides = base.groupBy("benchmark_series", "query").agg(
+        F.max(F.when(F.col("engine_version") == primary, F.col("baseline_seconds"))).alias("_b_p"),
+        F.max(F.when(F.col("engine_version") == secondary, F.col("baseline_seconds"))).alias("_b_s"),
     )
+    j = sel.join(sides, ["benchmark_series", "query"], "left")
 
     def ratio(tag: str) -> Column:
         b = F.col(f"_b_{tag}")
-        return round_half_away(
-            F.try_divide(F.col("median_seconds"), F.when(b != 0, b)), 2
-        )
+        return round_half_away(F.col("median_seconds") / F.when(b != 0, b), 2)
 
     def flag(r: Column) -> Column:
         return F.when(r > RATIO_HIGH, F.lit(1)).when(r < RATIO_LOW, F.lit(-1))

@@ -110,8 +110,17 @@ def _query_times_report(f):
     def run(spark, sf_dir):
         runs, qr, qm = _bench(spark, sf_dir)
         g = derived.benchmark_geomean(runs, qr, qm, ordered=False)
-        qt = derived.benchmark_query_times(runs, qr, qm, ordered=False)
-        return br.query_times_report(g, qt, f)
+        # the chosen run's rows are computed from that run's input rows only
+        chosen = br.selected_run(g, f)
+        qt_run = derived.benchmark_query_times(
+            *derived.restrict_to_runs(chosen, runs, qr, qm), ordered=False
+        )
+        pinned = runs.where(
+            (F.col("storage_type") == f.storage_type)
+            & F.col("engine_version").isin(list(f.pinned_versions))
+        )
+        qt_base = derived.benchmark_query_times(pinned, qr, qm, ordered=False)
+        return br.query_times_report(g, qt_run, f, baseline_times=qt_base)
 
     return run
 

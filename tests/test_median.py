@@ -53,3 +53,13 @@ def test_heavy_path_with_composite_and_null_keys(spark):
     assert got == {("x", 1): 25.0, ("x", 2): 25.0, (None, 1): 19.5, (None, 2): 19.5}
     assert "m" in exact_median(df, ["a", "b"], "v", "m").columns
     assert df.where(F.col("a").isNull()).count() == 80
+
+
+def test_ranged_strategy_matches_numpy(spark):
+    rows = _rows()
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r.median for r in exact_median(df, ["k"], "v", strategy="ranged").collect()}
+    exp = _expected(rows)
+    assert set(got) == set(exp)
+    for k, v in exp.items():
+        assert abs(got[k] - v) < 1e-12, k
