@@ -2,7 +2,8 @@
 
 Parquet tables have no MERGE, so an upsert is expressed relationally:
 ``changed = batch EXCEPT target`` (distinct, NULL-safe), then
-``target LEFT ANTI JOIN changed ON keys  UNION ALL  changed``. Writing is left to
+``target LEFT ANTI JOIN changed ON keys  UNION ALL  changed``; the EXCEPT only
+looks at target rows whose key is in the batch. Writing is left to
 ``metricslake.sources.lake`` (new directory, then swap), and it is skipped when
 nothing changed.
 """
@@ -40,7 +41,15 @@ def upsert_changed(
     With ``check_duplicates`` a changed key occurring twice raises (the merge would
     be ambiguous); the check runs on the changed rows only, one small job.
     """
-    changed = changed_rows(batch, target)
+    # A batch row can only equal a target row with the same key, so the EXCEPT runs
+    # against the target rows whose key is in the batch: with a small batch the key
+    # list is broadcast and the stored table is filtered where it is read, never
+    # shuffled whole.
+    batch = _aligned(batch, target)
+    bkeys = batch.select(*keys).distinct()
+    on_keys = reduce(lambda a, b: a & b, [target[k].eqNullSafe(bkeys[k]) for k in keys])
+    touched = target.join(bkeys, on_keys, "left_semi")
+    changed = batch.subtract(touched)
     if check_duplicates:
         dup = duplicate_keys(changed, keys).limit(1).collect()
         if dup:

@@ -212,11 +212,10 @@ def benchmark_query_times(
     """One row per (non-test run, query result); failed queries kept with NULL timings."""
     r = run_labels(non_test_runs(runs)).withColumnRenamed("run_ts", "run_timestamp")
     qr = query_results.select("run_id", "query", "status", "verified", "error")
-    out = (
-        r.join(qr, "run_id")
-        .join(warm_run_stats(query_metrics), ["run_id", "query"], "left")
-        .select(*QUERY_TIMES_COLUMNS)
-    )
+    # results and timing stats are both partitioned on (run_id, query): joined first,
+    # they need no exchange; only their join result moves to meet ``runs``
+    per_query = qr.join(warm_run_stats(query_metrics), ["run_id", "query"], "left")
+    out = per_query.join(r, "run_id").select(*QUERY_TIMES_COLUMNS)
     if ordered:
         out = out.orderBy(
             F.col("run_timestamp").asc_nulls_last(),

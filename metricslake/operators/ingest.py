@@ -149,25 +149,25 @@ def reference_id_cut(
     range it must be one of the ids; such groups are returned as ``invalid`` and
     their rows are not kept (``strict`` raises instead).
     """
-    stats = records.groupBy(key).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
     r = refs.select(key, F.col("ref").alias("_ref"))
-    present = records.join(r, key).where(F.col("id") == F.col("_ref")).select(key).distinct()
-    check = (
-        stats.join(r, key)
-        .join(present.withColumn("_present", F.lit(True)), key, "left")
-        .where(
-            (F.col("_ref") != 0)
-            & (F.col("_lo") < F.col("_ref"))
-            & (F.col("_ref") < F.col("_hi"))
-            & F.col("_present").isNull()
-        )
-        .select(key)
+    j = records.join(r, key, "left")
+    # one aggregate per group: id range and whether the reference id is among the ids
+    stats = j.groupBy(key).agg(
+        F.min("id").alias("_lo"),
+        F.max("id").alias("_hi"),
+        F.first("_ref", ignorenulls=True).alias("_ref"),
+        F.bool_or(F.col("id") == F.col("_ref")).alias("_present"),
     )
+    check = stats.where(
+        (F.col("_ref") != 0)
+        & (F.col("_lo") < F.col("_ref"))
+        & (F.col("_ref") < F.col("_hi"))
+        & ~F.coalesce(F.col("_present"), F.lit(False))
+    ).select(key)
     if strict:
         bad = check.limit(1).collect()
         if bad:
             raise ValueError(f"reference id not found for {key}={bad[0][0]}")
-    j = records.join(r, key, "left")
     cond = F.col("_ref").isNull() | (F.col("_ref") == 0)
     cond |= (F.col("id") <= F.col("_ref")) if fetch_smaller else (F.col("id") >= F.col("_ref"))
     kept = j.where(cond).drop("_ref").join(check, key, "left_anti")

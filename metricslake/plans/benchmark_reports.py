@@ -75,13 +75,15 @@ def version_baselines(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
         & F.col("engine_version").isin(list(f.pinned_versions))
         & F.col("geomean_seconds").isNotNull()
     )
+    keys = ["benchmark_series", "engine_version"]
+    # arg-max in two hash aggregates (a struct ordering key would force a sort-based
+    # aggregate): the latest timestamp per group, then among the runs at that
+    # timestamp the largest run id. The per-group table has one row per group.
+    latest = g.groupBy(*keys).agg(F.max("run_timestamp").alias("_latest"))
+    at_latest = g.join(latest, keys).where(F.col("run_timestamp") == F.col("_latest"))
     return (
-        g.groupBy("benchmark_series", "engine_version")
-        .agg(
-            F.max_by("geomean_seconds", F.struct("run_timestamp", "run_id")).alias(
-                "baseline_seconds"
-            )
-        )
+        at_latest.groupBy(*keys)
+        .agg(F.max_by("geomean_seconds", "run_id").alias("baseline_seconds"))
         .orderBy(F.col("benchmark_series").asc_nulls_last(), F.col("engine_version").asc_nulls_last())
     )
 
