@@ -203,13 +203,20 @@ def _downloads(spark, sf_dir):
     return model_table(spark, sf_dir, "extension_downloads")
 
 
+def _files(spark, sf_dir) -> DataFrame:
+    # The weekly files are materialized, as a producer would write them, in the
+    # shared checkpoint folder; without the cut Catalyst would push the path parsing
+    # through the aggregates and run it on every source row instead of once per file.
+    return dl.download_files_from_table(_downloads(spark, sf_dir)).checkpoint(eager=True)
+
+
 def q_parse_period_path(spark, sf_dir):
-    files = dl.download_files_from_table(_downloads(spark, sf_dir))
+    files = _files(spark, sf_dir)
     return dl.parse_period_path(files).valid.select("repository", "file_path", "year", "week")
 
 
 def q_unpivot_download_counts(spark, sf_dir):
-    files = dl.download_files_from_table(_downloads(spark, sf_dir))
+    files = _files(spark, sf_dir)
     return dl.unpivot_download_counts(dl.parse_period_path(files).valid).valid
 
 

@@ -107,17 +107,35 @@ def extension_detail(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
     )
 
 
-def top_n_weekly_pivot(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
-    """Extension x 'YYYY-Www' weekly sums."""
-    weekly = _weekly_top(downloads, f).withColumn("period", period_label())
+MAX_PIVOT_PERIODS = 53 * 100  # one column per week of the chosen range
+
+
+def _pivot_periods(long_form: DataFrame, value: str, agg) -> DataFrame:
+    """Pivot (extension, period, value) to one column per period present.
+
+    The long form is at most top_n x weeks rows. It is materialized once (shared
+    checkpoint folder) so the list of period columns and the pivot read the small
+    result instead of recomputing the scan twice; the column list is bounded by the
+    weeks of the chosen range.
+    """
+    small = long_form.checkpoint(eager=True)
+    periods = [r[0] for r in small.select("period").distinct().orderBy("period").collect()]
+    if len(periods) > MAX_PIVOT_PERIODS:
+        raise ValueError(f"{len(periods)} periods exceed {MAX_PIVOT_PERIODS} pivot columns")
     return (
-        weekly.groupBy("extension")
-        .pivot("period")
-        .agg(F.sum("downloads"))
+        small.groupBy("extension")
+        .pivot("period", periods)
+        .agg(agg(value))
         .orderBy(F.col("extension").asc_nulls_last())
     )
 
 
+def top_n_weekly_pivot(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
+    """Extension x 'YYYY-Www' weekly sums."""
+    weekly = _weekly_top(downloads, f).select("extension", period_label().alias("period"), "downloads")
+    return _pivot_periods(weekly, "downloads", F.sum)
+
+
 def top_n_cumulative_pivot(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
     """Extension x 'YYYY-Www' running totals."""
     w = Window.partitionBy("extension").orderBy("period").rowsBetween(
@@ -128,12 +146,7 @@ def top_n_cumulative_pivot(downloads: DataFrame, f: DownloadFilters) -> DataFram
         .withColumn("period", period_label())
         .select("period", "extension", F.sum("downloads").over(w).alias("cumulative_downloads"))
     )
-    return (
-        cum.groupBy("extension")
-        .pivot("period")
-        .agg(F.max("cumulative_downloads"))
-        .orderBy(F.col("extension").asc_nulls_last())
-    )
+    return _pivot_periods(cum, "cumulative_downloads", F.max)
 
 
 def raw_downloads(downloads: DataFrame, f: DownloadFilters) -> DataFrame:

@@ -9,6 +9,10 @@ TEST_TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
+# One relation per (session, path): a DataFrame is immutable and lazy, so reusing it
+# only saves the file listing and the footer read that infer the schema again.
+_relations: dict[tuple[str, int, str], DataFrame] = {}
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -16,4 +20,10 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    df = _relations.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _relations[key] = df
+    return df
