@@ -162,7 +162,7 @@ def benchmark_geomean(
     return out
 
 
-def warm_run_stats(query_metrics: DataFrame) -> DataFrame:
+def warm_run_stats(query_metrics: DataFrame, heavy_groups: bool | None = None) -> DataFrame:
     """Per (run, query): mean, exact median, fastest, slowest and count of valid timings.
 
     No status filter here: a timing of a failed query still counts, as in the
@@ -177,7 +177,9 @@ def warm_run_stats(query_metrics: DataFrame) -> DataFrame:
         F.max("metric_value").alias("slowest_seconds"),
         F.count(F.lit(1)).alias("timed_runs"),
     ]
-    if not has_heavy_groups(t, ["run_id", "query"]):
+    if heavy_groups is None:
+        heavy_groups = has_heavy_groups(t, ["run_id", "query"])
+    if not heavy_groups:
         return t.groupBy("run_id", "query").agg(
             *stats, F.median("metric_value").alias("median_seconds")
         )
@@ -185,19 +187,6 @@ def warm_run_stats(query_metrics: DataFrame) -> DataFrame:
     return t.groupBy("run_id", "query").agg(*stats).join(med, ["run_id", "query"])
 
 
-def restrict_to_runs(
-    chosen: DataFrame, runs: DataFrame, query_results: DataFrame, query_metrics: DataFrame
-):
-    """The three inputs narrowed to the run ids of ``chosen`` (a frame of at most a
-    few rows, e.g. one selected run) before any aggregation or shuffle."""
-    ids = F.broadcast(chosen.select("run_id"))
-    return (
-        runs.join(ids, "run_id", "left_semi"),
-        query_results.join(ids, "run_id", "left_semi"),
-        query_metrics.join(ids, "run_id", "left_semi"),
-    )
-
-
 QUERY_TIMES_COLUMNS = [
     "run_id", "run_timestamp", "run_date", "benchmark", "benchmark_name", "storage_type",
     "scale_factor", "scale_factor_label", "benchmark_series", "cpu_arch_label", "machine_label",
@@ -207,14 +196,22 @@ QUERY_TIMES_COLUMNS = [
 
 
 def benchmark_query_times(
-    runs: DataFrame, query_results: DataFrame, query_metrics: DataFrame, ordered: bool = True
+    runs: DataFrame,
+    query_results: DataFrame,
+    query_metrics: DataFrame,
+    ordered: bool = True,
+    heavy_groups: bool | None = None,
 ) -> DataFrame:
-    """One row per (non-test run, query result); failed queries kept with NULL timings."""
+    """One row per (non-test run, query result); failed queries kept with NULL timings.
+
+    ``heavy_groups``: a known answer of the group-size check (e.g. from the unfiltered
+    metrics when ``query_metrics`` is a subset of them); None runs the check.
+    """
     r = run_labels(non_test_runs(runs)).withColumnRenamed("run_ts", "run_timestamp")
     qr = query_results.select("run_id", "query", "status", "verified", "error")
     # results and timing stats are both partitioned on (run_id, query): joined first,
     # they need no exchange; only their join result moves to meet ``runs``
-    per_query = qr.join(warm_run_stats(query_metrics), ["run_id", "query"], "left")
+    per_query = qr.join(warm_run_stats(query_metrics, heavy_groups), ["run_id", "query"], "left")
     out = per_query.join(r, "run_id").select(*QUERY_TIMES_COLUMNS)
     if ordered:
         out = out.orderBy(

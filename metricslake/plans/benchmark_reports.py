@@ -165,23 +165,34 @@ def selected_run(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
     )
 
 
+def selected_run_id(geomean: DataFrame, f: BenchmarkFilters) -> int | None:
+    """The chosen run id as a value (one single-row job when not given), so the
+    report's filters are literals that reach the parquet scans."""
+    if f.run_id is not None:
+        return f.run_id
+    row = selected_run(geomean, f).first()
+    return None if row is None else int(row[0])
+
+
 def query_times_report(
     geomean: DataFrame,
     query_times: DataFrame,
     f: BenchmarkFilters,
     baseline_times: DataFrame | None = None,
+    run_id: int | None = None,
 ) -> DataFrame:
     """The chosen run's queries against the pinned baselines, regressions first.
 
     Ratios are rounded to 2 places and the flags compare that rounded value, so a
     flag never disagrees with the shown number: +1 above 1.1, -1 below 0.9, else NULL.
     ``baseline_times`` (default ``query_times``) is where the baseline medians come
-    from; a caller may pass ``query_times`` already narrowed to the chosen run.
+    from; ``run_id`` skips the choice when the caller made it already.
     """
     primary, secondary = f.pinned_versions[0], f.pinned_versions[1]
-    chosen = selected_run(geomean, f)
-    sel = query_times.where(F.col("storage_type") == f.storage_type).join(
-        F.broadcast(chosen), "run_id"  # one row
+    chosen = run_id if run_id is not None else selected_run_id(geomean, f)
+    sel = query_times.where(
+        (F.col("storage_type") == f.storage_type)
+        & (F.col("run_id") == F.lit(chosen).cast("long") if chosen is not None else F.lit(False))
     )
     base = baseline_medians(query_times if baseline_times is None else baseline_times, f)
     # both releases from one aggregate: one row per (series, query)
