@@ -125,11 +125,10 @@ def exact_median(
     n_heavy = heavy_keys.count()
     if n_heavy == 0:
         return vals.groupBy(*keys).agg(F.median("_v").alias(alias))
-    if n_heavy <= max_broadcast_keys:
-        heavy_side = F.broadcast(heavy_keys)
-    else:
-        heavy_side = heavy_keys
+    small = n_heavy <= max_broadcast_keys
+    heavy_side = F.broadcast(heavy_keys) if small else heavy_keys
     light = _join_keys(vals, heavy_side, keys, "left_anti")
     heavy = _join_keys(vals, heavy_side, keys, "left_semi")
     light_med = light.groupBy(*keys).agg(F.median("_v").alias(alias))
-    return light_med.unionByName(_ranked_median(heavy, keys, alias))
+    # targets: at most two per heavy group, so the same count bounds their broadcast
+    return light_med.unionByName(_ranked_median(heavy, keys, alias, broadcast_targets=small))

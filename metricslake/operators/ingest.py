@@ -188,8 +188,11 @@ def runs_without_jobs(
     if max_age_days is not None:
         cond &= F.col("updated_at") > _ts(as_of - dt.timedelta(days=max_age_days))
     r = runs.where(cond).select(repo_id_col(runs).alias("repo_id"), F.col("id").alias("run_id"))
+    # distinct run ids first: a run with very many jobs collapses to one row per task
+    # in the partial aggregate instead of loading one side of the anti join
+    with_jobs = jobs.select("run_id").distinct()
     return (
-        r.join(jobs.select("run_id"), "run_id", "left_anti")
+        r.join(with_jobs, "run_id", "left_anti")
         .select("repo_id", "run_id")
         .orderBy(F.col("run_id").asc_nulls_last())
     )
