@@ -40,9 +40,10 @@ def _ranked_median(
     vals: DataFrame, keys: list[str], alias: str, broadcast_targets: bool = True
 ) -> DataFrame:
     """Exact median of ``_v`` per group via range partitioning (for heavy groups)."""
+    order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_v").asc()]
     ranked = (
-        vals.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys], F.col("_v").asc())
-        .sortWithinPartitions(*keys, "_v")
+        vals.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         # consecutive within a partition, increasing across partitions: after the
         # local sort it numbers rows in (group, value) order
