@@ -68,15 +68,24 @@ def store_run_batch(
     marks = marks_before_batch(spark, marks_path, batch_id)
     gate = ingest.contiguity_gate(batch, marks)
     kept = ingest.completed_prefix(gate.accepted, marks, as_of, stale_hours)
+    commit_runs_and_mark(kept, batch_id, runs_path, marks_path)
+    tag = F.lit(batch_id).cast("long").alias(BATCH_COL)
+    _write_partitions(gate.rejected.select("*", tag), retry_path, [BATCH_COL])
+
+
+def commit_runs_and_mark(kept: DataFrame, batch_id: int, runs_path: str, marks_path: str) -> None:
+    """Store the kept runs and then their new marks, both under ``batch_id``.
+
+    Spark has no transaction over two tables; instead both writes replace the
+    partition of this batch only, data first and marks second. A failure between
+    them leaves runs whose marks are missing; rerunning the same batch rewrites
+    the same two partitions, so the pair ends up consistent and nothing doubles.
+    """
     # the kept rows feed two writes: materialize once in the shared checkpoint folder
     kept = kept.checkpoint(eager=True)
     tag = F.lit(batch_id).cast("long").alias(BATCH_COL)
     _write_partitions(kept.select("*", tag), runs_path, [BATCH_COL])
-    # marks after the data: a failure in between is repaired by the replay
-    _write_partitions(
-        ingest.new_high_water_mark(kept).select("*", tag), marks_path, [BATCH_COL]
-    )
-    _write_partitions(gate.rejected.select("*", tag), retry_path, [BATCH_COL])
+    _write_partitions(ingest.new_high_water_mark(kept).select("*", tag), marks_path, [BATCH_COL])
 
 
 def landing_stream(
