@@ -187,6 +187,44 @@ def warm_run_stats(query_metrics: DataFrame, heavy_groups: bool | None = None) -
     return t.groupBy("run_id", "query").agg(*stats).join(med, ["run_id", "query"])
 
 
+def newest_timed_run(
+    runs: DataFrame,
+    query_results: DataFrame,
+    query_metrics: DataFrame,
+    condition,
+    candidates: int = 100,
+) -> int | None:
+    """Id of the newest non-test run (by timestamp, then id) that matches
+    ``condition`` on the labelled run columns and has an ok query with a valid
+    timing, i.e. the first row of the run choices over ``benchmark_geomean``.
+
+    The newest ``candidates`` runs are taken from ``runs`` alone (a top-k that keeps
+    k rows per task); only their ids (a broadcast of at most k rows) filter the
+    results and metrics where they are read. When none of them has a timing the
+    full per-run aggregate decides, so the answer is always exact.
+    """
+    labelled = run_labels(non_test_runs(runs)).withColumnRenamed("run_ts", "run_timestamp")
+    order = [F.col("run_timestamp").desc_nulls_last(), F.col("run_id").desc_nulls_last()]
+    top = labelled.where(condition).select("run_id", "run_timestamp").orderBy(*order).limit(candidates)
+    top_rows = top.collect()  # at most ``candidates`` rows
+    if not top_rows:
+        return None
+    ids = F.broadcast(top.sparkSession.createDataFrame(top_rows, "run_id long, run_timestamp timestamp_ntz"))
+    means = _per_query_mean(
+        query_results.join(ids.select("run_id"), "run_id", "left_semi"),
+        query_metrics.join(ids.select("run_id"), "run_id", "left_semi"),
+    )
+    timed = ids.join(means.select("run_id").distinct(), "run_id", "left_semi")
+    row = timed.orderBy(*order).select("run_id").first()
+    if row is not None:
+        return int(row[0])
+    if len(top_rows) < candidates:
+        return None  # every matching run was a candidate
+    rest = benchmark_geomean(runs, query_results, query_metrics, ordered=False).where(condition)
+    row = rest.orderBy(*order).select("run_id").first()
+    return None if row is None else int(row[0])
+
+
 QUERY_TIMES_COLUMNS = [
     "run_id", "run_timestamp", "run_date", "benchmark", "benchmark_name", "storage_type",
     "scale_factor", "scale_factor_label", "benchmark_series", "cpu_arch_label", "machine_label",

@@ -112,7 +112,9 @@ def _query_times_report(f):
         runs, qr, qm = _bench(spark, sf_dir)
         g = derived.benchmark_geomean(runs, qr, qm, ordered=False)
         # the chosen run as a literal: its rows are read by pushed-down scan filters
-        rid = br.selected_run_id(g, f)
+        rid = f.run_id
+        if rid is None:
+            rid = derived.newest_timed_run(runs, qr, qm, br.selection(f))
         one = F.col("run_id") == F.lit(rid if rid is not None else -1).cast("long")
         # one group-size check on all metrics answers it for both subsets below
         heavy = has_heavy_groups(derived.valid_timings(qm), ["run_id", "query"])
