@@ -11,6 +11,7 @@ import math
 import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -48,7 +49,7 @@ def total_bytes(spark: SparkSession, path: str) -> int:
 
 
 def is_table(spark: SparkSession, path: str) -> bool:
-    """A table exists once its directory holds the commit marker or parquet files."""
+    """A table exists once its directory exists (it may hold no data file yet)."""
     return exists(spark, path)
 
 
@@ -60,9 +61,14 @@ def read_lake_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table, or an empty frame of ``schema`` when it does not exist yet."""
+    """The table, or an empty frame of ``schema`` when it does not exist yet or holds
+    no data file (a partitioned write of zero rows leaves only the directory)."""
     if is_table(spark, path):
-        return spark.read.parquet(path)
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
     return spark.createDataFrame([], schema)
 
 

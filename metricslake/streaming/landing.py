@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from metricslake.operators import ingest
@@ -31,6 +32,18 @@ from metricslake.sources import download_files as dl
 from metricslake.sources import lake
 
 BATCH_COL = "landing_batch"
+MARKS_TABLE = T.StructType(CI_REPOSITORIES_METADATA.fields + [T.StructField(BATCH_COL, T.LongType())])
+REJECTS_TABLE = T.StructType(
+    [
+        T.StructField("repository", T.StringType()),
+        T.StructField("file_path", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField(BATCH_COL, T.LongType()),
+    ]
+)
+RETRY_TABLE = T.StructType(
+    [T.StructField("repository_id", T.LongType()), T.StructField(BATCH_COL, T.LongType())]
+)
 
 
 def _write_partitions(df: DataFrame, path: str, partition_cols: list[str]) -> None:
@@ -44,9 +57,7 @@ def _write_partitions(df: DataFrame, path: str, partition_cols: list[str]) -> No
 
 def marks_before_batch(spark: SparkSession, marks_path: str, batch_id: int) -> DataFrame:
     """Per repository, the largest stored run id written by batches before ``batch_id``."""
-    if not lake.is_table(spark, marks_path):
-        return spark.createDataFrame([], CI_REPOSITORIES_METADATA)
-    m = spark.read.parquet(marks_path)
+    m = lake.read_or_empty(spark, marks_path, MARKS_TABLE)
     return (
         m.where(F.col(BATCH_COL) < batch_id)
         .groupBy("repository_id")
