@@ -205,10 +205,15 @@ def run_ids_per_repo(repos: DataFrame, work: DataFrame) -> DataFrame:
     (a repository without work has one row with a NULL run id) and never gather
     a large repository into a single value.
     """
+    names = repos.select("full_name", "id")
+    # the same rows as repos LEFT JOIN work, without shuffling the work by repository
+    # (a hot repository would be one task on the side a left join cannot split):
+    # work meets the small repository list, idle repositories come from an anti join
+    busy = work.select(F.col("repo_id").alias("id"), "run_id").join(names, "id")
+    idle = names.join(work.select(F.col("repo_id").alias("id")).distinct(), "id", "left_anti")
     return (
-        repos.select("full_name", "id")
-        .join(work.select(F.col("repo_id").alias("id"), "run_id"), "id", "left")
-        .select("full_name", "run_id")
+        busy.select("full_name", "run_id")
+        .unionByName(idle.select("full_name", F.lit(None).cast("long").alias("run_id")))
         .orderBy(F.col("full_name").asc_nulls_last(), F.col("run_id").asc_nulls_last())
     )
 
@@ -249,11 +254,12 @@ def top_k_per_group(
     """Rows with the ``k`` smallest ``order`` values per group (k from column ``k_col``).
 
     Two phases so a hot group is never ranked in one task: first the k smallest per
-    (group, hash bucket of the order key), then the k smallest of those per group.
+    (group, hash bucket of the row), then the k smallest of those per group.
     Exact: the k smallest of a group are among the k smallest of each of its buckets.
     The second phase sees at most ``salt_buckets * k`` rows per group.
     """
-    bucket = F.pmod(F.xxhash64(F.col(order)), F.lit(salt_buckets))
+    # the bucket hashes the whole row, so equal order values of different rows spread too
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
     w1 = Window.partitionBy(group, "_bucket").orderBy(F.col(order).asc())
     first = (
         df.withColumn("_bucket", bucket)
