@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from metricslake.functions import exact_median, round_half_away
 from metricslake.params import BenchmarkFilters
+from metricslake.plans import views
 
 RATIO_HIGH = 1.1  # slower than the baseline beyond this ratio
 RATIO_LOW = 0.9  # faster than the baseline below this ratio
@@ -35,6 +36,24 @@ def selection(f: BenchmarkFilters, with_dates: bool = True) -> Column:
     return cond
 
 
+def benchmark_options(geomean: DataFrame) -> DataFrame:
+    """Benchmark filter values."""
+    return views.benchmark_list(geomean).select("benchmark")
+
+
+def sf_options(geomean: DataFrame) -> DataFrame:
+    """Scale-factor filter values (real scale factors only)."""
+    return views.scale_factor_list(geomean).select("scale_factor_label")
+
+
+def machine_options(geomean: DataFrame) -> DataFrame:
+    return views.machine_list(geomean).select("machine_label")
+
+
+def cpu_arch_options(geomean: DataFrame) -> DataFrame:
+    return views.cpu_arch_list(geomean).select("cpu_arch_label")
+
+
 def sf_applicable(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
     """Number of runs with a scale factor among the chosen benchmarks (hides the sf filter)."""
     return geomean.where(

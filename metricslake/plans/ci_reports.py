@@ -21,6 +21,11 @@ def daily_runs(all_runs: DataFrame) -> DataFrame:
     )
 
 
+def wait_time(wait_times: DataFrame) -> DataFrame:
+    """The wait-time chart: every row of ``wait_times``."""
+    return wait_times
+
+
 def runner_options(run_jobs: DataFrame) -> DataFrame:
     return run_jobs.select("runner").distinct()
 

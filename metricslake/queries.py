@@ -171,10 +171,10 @@ QUERIES: dict[str, Query] = {
     "wait_times": lambda spark, sf_dir: views.wait_times(_ci(spark, sf_dir)[0]),
     "extension_downloads_all": lambda spark, sf_dir: views.passthrough(_downloads(spark, sf_dir)),
     # benchmark reports
-    "benchmark_options": _on_geomean(lambda g: views.benchmark_list(g).select("benchmark")),
-    "sf_options": _on_geomean(lambda g: views.scale_factor_list(g).select("scale_factor_label")),
-    "machine_options": _on_geomean(lambda g: views.machine_list(g).select("machine_label")),
-    "cpu_arch_options": _on_geomean(lambda g: views.cpu_arch_list(g).select("cpu_arch_label")),
+    "benchmark_options": _on_geomean(br.benchmark_options),
+    "sf_options": _on_geomean(br.sf_options),
+    "machine_options": _on_geomean(br.machine_options),
+    "cpu_arch_options": _on_geomean(br.cpu_arch_options),
     "sf_applicable": _on_geomean(lambda g: br.sf_applicable(g, BENCH_NATIVE)),
     "geomean_report": _on_geomean(lambda g: br.geomean_report(g, BENCH_NATIVE)),
     "geomean_report_lake": _on_geomean(lambda g: br.geomean_report(g, BENCH_LAKE)),
@@ -194,6 +194,7 @@ QUERIES: dict[str, Query] = {
     "run_counts": lambda spark, sf_dir: br.run_counts(_bench(spark, sf_dir)[0]),
     # CI reports
     "daily_runs": lambda spark, sf_dir: cr.daily_runs(_ci(spark, sf_dir)[1]),
+    "wait_time": lambda spark, sf_dir: cr.wait_time(views.wait_times(_ci(spark, sf_dir)[0])),
     "runner_options": lambda spark, sf_dir: cr.runner_options(_run_jobs(spark, sf_dir)),
     "repo_options": lambda spark, sf_dir: cr.repo_options(_run_jobs(spark, sf_dir)),
     "runtime_by_runner": _runtime("runner"),
