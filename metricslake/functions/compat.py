@@ -17,8 +17,9 @@ def fmt_g(col: Column) -> Column:
     Equal to C's ``%g`` for values from 0.001 to 10000 with at most six significant
     digits, which covers scale factors. NULL stays NULL.
     """
+    # the decimal text always has six decimals, so trailing-character trims suffice
     text = col.cast("decimal(38,6)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def round_half_away(col: Column, digits: int) -> Column:
