@@ -7,11 +7,13 @@ Two aggregation levels, as in the source model:
 
 Plan shape (what ``explain`` shows): the timing filter and the column pruning reach
 the ``query_metrics`` scan; level 1 is a partial + final hash aggregate, so only
-one partial row per (run, query) and map task crosses the shuffle; level 2 and
-``queries_attempted`` both end hash-partitioned on ``run_id``, so joining them with
-``runs`` needs one more exchange (of ``runs``) and none for the aggregates.
-``run_aggregates`` reads ``query_results`` once for both the geomean and the
-attempt counts.
+one partial row per (run, query) and map task crosses the shuffle. In
+``benchmark_geomean`` the results are reduced to one row per (run, query) on the
+same partitioning and joined to the means without an exchange; one aggregate on
+``run_id`` (``run_aggregates``) then gives the geomean and the attempt counts from
+a single read of ``query_results``, and the join with ``runs`` moves ``runs`` only.
+The standalone ``warm_run_mean`` / ``run_geomean`` / ``run_attempts`` are the same
+steps one at a time.
 """
 
 from __future__ import annotations
