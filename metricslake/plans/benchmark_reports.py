@@ -194,7 +194,7 @@ def selected_run_id(geomean: DataFrame, f: BenchmarkFilters) -> int | None:
 
 
 def query_times_report(
-    geomean: DataFrame,
+    geomean: DataFrame | None,
     query_times: DataFrame,
     f: BenchmarkFilters,
     baseline_times: DataFrame | None = None,
@@ -205,9 +205,12 @@ def query_times_report(
     Ratios are rounded to 2 places and the flags compare that rounded value, so a
     flag never disagrees with the shown number: +1 above 1.1, -1 below 0.9, else NULL.
     ``baseline_times`` (default ``query_times``) is where the baseline medians come
-    from; ``run_id`` skips the choice when the caller made it already.
+    from; ``run_id`` skips the choice when the caller made it already (then
+    ``geomean``, only needed to choose, may be None).
     """
     primary, secondary = f.pinned_versions[0], f.pinned_versions[1]
+    if run_id is None and geomean is None:
+        raise ValueError("either run_id or geomean is needed to choose the run")
     chosen = run_id if run_id is not None else selected_run_id(geomean, f)
     sel = query_times.where(
         (F.col("storage_type") == f.storage_type)
