@@ -39,7 +39,7 @@ def upsert_changed(
     new keys inserted, untouched rows kept.
 
     With ``check_duplicates`` a changed key occurring twice raises (the merge would
-    be ambiguous); the check runs on the changed rows only, one small job.
+    be ambiguous); the check runs on the materialized changed rows only.
     """
     # A batch row can only equal a target row with the same key, so the EXCEPT runs
     # against the target rows whose key is in the batch: with a small batch the key
@@ -49,7 +49,10 @@ def upsert_changed(
     bkeys = batch.select(*keys).distinct()
     on_keys = reduce(lambda a, b: a & b, [target[k].eqNullSafe(bkeys[k]) for k in keys])
     touched = target.join(bkeys, on_keys, "left_semi")
-    changed = batch.subtract(touched)
+    # the changed rows (at most the batch) feed the check, the anti join and the
+    # union: materialized once in the shared checkpoint folder, which also cuts the
+    # lineage back to both tables
+    changed = batch.subtract(touched).checkpoint(eager=True)
     if check_duplicates:
         dup = duplicate_keys(changed, keys).limit(1).collect()
         if dup:
