@@ -323,9 +323,9 @@ _JOBS_SINCE = JOBS_AS_OF - dt.timedelta(days=ingest.JOB_CUTOFF_DAYS)
 
 
 def _work_sql(since: dt.datetime | None) -> str:
-    cond = "runs.status = 'completed'" + (f" and runs.updated_at > {_t(since)}" if since else "")
-    return f"""select runs.repo_id, runs.id as run_id from ci_runs runs
-  anti join ci_jobs jobs on runs.id = jobs.run_id where {cond}"""
+    cond = "c.status = 'completed'" + (f" and c.updated_at > {_t(since)}" if since else "")
+    return f"""select c.repo_id, c.id as run_id from ci_runs c
+  where {cond} and not exists (select 1 from ci_jobs j where j.run_id = c.id)"""
 
 
 def _snap_sql(at: dt.datetime) -> str:
@@ -361,8 +361,9 @@ ORACLES = {
     ),
     "stored_preview": _ci("select id, created_at, status, html_url from kept order by id", _PREFIX),
     "repo_high_water_marks": _ci(
-        """select repos.full_name, repos.id, meta.max_run_id from ci_repositories repos
-left join marks meta on meta.repository_id = repos.id order by repos.full_name""",
+        """select r.full_name, r.id,
+  (select k.max_run_id from marks k where k.repository_id = r.id) as max_run_id
+from ci_repositories r""",
         [("marks", _marks_sql(MARK_CUTOFF))],
     ),
     "contiguity_gate": _ci(
@@ -381,17 +382,19 @@ where (f.ref is null or f.ref = 0 or r.id >= f.ref)
         _ref_ctes(0),
     ),
     "reference_id_invalid": _ci("select repo_id from invalid", _ref_ctes(1)),
-    "runs_without_jobs": _ci(_work_sql(_JOBS_SINCE) + " order by run_id"),
+    "runs_without_jobs": _ci(_work_sql(_JOBS_SINCE)),
     "run_ids_per_repo": _ci(
-        """select repos.full_name, w.run_id from ci_repositories repos
-left join work w on w.repo_id = repos.id order by repos.full_name, w.run_id""",
+        """select r.full_name, w.run_id from work w join ci_repositories r on r.id = w.repo_id
+union all
+select r.full_name, null from ci_repositories r
+where r.id not in (select repo_id from work)""",
         [("work", _work_sql(None))],
     ),
     "budgeted_work": _ci(
         f"""select full_name, run_id from (
-  select repos.full_name, w.run_id,
-    row_number() over (partition by repos.full_name order by w.run_id) as rn
-  from ci_repositories repos join work w on w.repo_id = repos.id) x, budget_split b
+  select r.full_name, w.run_id,
+    row_number() over (partition by r.full_name order by w.run_id) as rn
+  from ci_repositories r join work w on w.repo_id = r.id) x, budget_split b
 where rn <= case when full_name = '{MAIN_REPO}' then b.main else b.other end
 order by full_name, run_id""",
         [
