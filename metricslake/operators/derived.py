@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from metricslake.functions import exact_median, fmt_g
 from metricslake.functions.median import has_heavy_groups
+from metricslake import fixed as fx
+
+EXEC_METRIC = fx.EXEC_METRIC
+GEOMEAN_FLOOR = fx.GEOMEAN_FLOOR  # a sub-microsecond timing is the measurement floor
 
-EXEC_METRIC = "execution_time_seconds"
-GEOMEAN_FLOOR = 1e-6  # a sub-microsecond timing is the measurement floor
 
 
 def non_test_runs(runs: DataFrame) -> DataFrame:
@@ -84,13 +86,13 @@ def run_labels(runs: DataFrame) -> DataFrame:
     sf = fmt_g(F.col("scale_factor"))
     return runs.withColumns(
         {
-            "run_date": F.date_format(F.col("run_ts"), "yyyy-MM-dd HH:mm"),
-            "scale_factor_label": F.coalesce(F.concat(F.lit("sf"), sf), F.lit("n/a")),
+            "run_date": F.date_format(F.col("run_ts"), fx.RUN_DATE_FORMAT),
+            "scale_factor_label": F.coalesce(F.concat(F.lit(fx.SF_LABEL_PREFIX), sf), F.lit(fx.NO_SF_LABEL)),
             "benchmark_series": F.concat(
-                F.col("benchmark"), F.coalesce(F.concat(F.lit(" @ sf"), sf), F.lit(""))
+                F.col("benchmark"), F.coalesce(F.concat(F.lit(fx.SERIES_SF_SEPARATOR), sf), F.lit(""))
             ),
-            "cpu_arch_label": F.coalesce(F.col("cpu_arch"), F.lit("unknown")),
-            "machine_label": F.coalesce(F.col("machine_type"), F.lit("unspecified")),
+            "cpu_arch_label": F.coalesce(F.col("cpu_arch"), F.lit(fx.NO_CPU_ARCH_LABEL)),
+            "machine_label": F.coalesce(F.col("machine_type"), F.lit(fx.NO_MACHINE_LABEL)),
         }
     )
 

@@ -17,14 +17,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from metricslake import fixed as fx
 
-# Repository names are 'org/name' with these characters only (fixed pattern).
-REPO_NAME_PATTERN = r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"
-
-STALE_HOURS = 48  # an unfinished run older than this no longer holds back newer runs
-JOB_CUTOFF_DAYS = 10  # jobs are sought for runs updated within this many days
-BUDGET_SHARE = 0.80  # share of the remaining API budget a feed run may use
-MAIN_REPO_SHARE = 0.10  # share of that budget for the main repository
+REPO_NAME_PATTERN = fx.REPO_NAME_PATTERN  # 'org/name'
+STALE_HOURS = fx.STALE_HOURS  # an unfinished run older than this no longer holds back newer runs
+JOB_CUTOFF_DAYS = fx.JOB_CUTOFF_DAYS  # jobs are sought for runs updated within this many days
+BUDGET_SHARE = fx.BUDGET_SHARE  # share of the remaining API budget a feed run may use
+MAIN_REPO_SHARE = fx.MAIN_REPO_SHARE  # share of that budget for the main repository
 
 
 def _ts(value: dt.datetime) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from metricslake import fixed as fx
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,7 @@ class BenchmarkFilters:
     start: dt.datetime | None = None
     end: dt.datetime | None = None
     # releases drawn as baselines; the first one orders the per-query table
-    pinned_versions: tuple[str, ...] = ("v1.5.5", "v1.4.5")
+    pinned_versions: tuple[str, ...] = fx.PINNED_VERSIONS
     run_id: int | None = None  # None: newest run matching the filters
 
 

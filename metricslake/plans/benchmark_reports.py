@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from metricslake.functions import exact_median, round_half_away
 from metricslake.params import BenchmarkFilters
 from metricslake.plans import views
+from metricslake import fixed as fx
+
+RATIO_HIGH = fx.RATIO_HIGH  # slower than the baseline beyond this ratio
+RATIO_LOW = fx.RATIO_LOW  # faster than the baseline below this ratio
+HEADROOM = fx.CHART_HEADROOM
 
-RATIO_HIGH = 1.1  # slower than the baseline beyond this ratio
-RATIO_LOW = 0.9  # faster than the baseline below this ratio
-HEADROOM = 1.08
 
 
 def _in(col: str, values) -> Column:
@@ -75,10 +77,10 @@ def geomean_report(geomean: DataFrame, f: BenchmarkFilters, ordered: bool = True
     out = geomean.where(selection(f)).select(
         "benchmark_series", "benchmark", "scale_factor_label", "run_timestamp", "run_date",
         "geomean_seconds", "engine_version",
-        F.substring("engine_commit_sha", 1, 8).alias("commit"),
+        F.substring("engine_commit_sha", 1, fx.SHORT_ID_CHARS).alias("commit"),
         "machine_label", "cpu_arch_label", "queries_ok", "queries_attempted", "queries_failed",
         "is_complete",
-        F.substring("queries_sha", 1, 8).alias("query_set"),
+        F.substring("queries_sha", 1, fx.SHORT_ID_CHARS).alias("query_set"),
     )
     return out.orderBy(F.col("run_timestamp").asc_nulls_last()) if ordered else out
 
@@ -141,7 +143,8 @@ def run_options(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
         .select(
             "run_id",
             F.concat(
-                F.col("run_date"), F.lit("  -  "), F.col("benchmark_series"), F.lit("  -  "),
+                F.col("run_date"), F.lit(fx.RUN_LABEL_SEPARATOR), F.col("benchmark_series"),
+                F.lit(fx.RUN_LABEL_SEPARATOR),
                 F.col("engine_version"),
             ).alias("run_label"),
             "run_timestamp",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from metricslake.functions import epoch_seconds, round_half_away, to_ntz
 from metricslake.params import CIFilters
+from metricslake import fixed as fx
 
-JOB_NAME_WIDTH = 60
+JOB_NAME_WIDTH = fx.JOB_NAME_WIDTH
 
 
 def daily_runs(all_runs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricslake.params import DownloadFilters
+from metricslake import fixed as fx
 
 MAX_TOP_N = 1000  # the page offers 5, 10 and 20
 
@@ -30,12 +31,12 @@ def period_date(year: str = "year", week: str = "week"):
 
 
 def period_label(year: str = "year", week: str = "week"):
-    return F.format_string("%d-W%02d", F.col(year), F.col(week))
+    return F.format_string(fx.PERIOD_LABEL_FORMAT, F.col(year), F.col(week))
 
 
 def weeks(spark) -> DataFrame:
     """Week choices 1..52 of the page."""
-    return spark.range(1, 53).select(F.col("id").cast("int").alias("week"))
+    return spark.range(1, fx.WEEKS_OFFERED + 1).select(F.col("id").cast("int").alias("week"))
 
 
 def top_n_extensions(downloads: DataFrame, f: DownloadFilters) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricslake.schemas import EXTENSION_DOWNLOADS
+from metricslake import fixed as fx
 
-STATS_DIR = "download-stats-weekly"
-LAST_UPDATE_KEY = "_last_update"
+STATS_DIR = fx.STATS_DIR
+LAST_UPDATE_KEY = fx.LAST_UPDATE_KEY
 # <year: four digits>/<week: digits>.json at the end of the path (fixed pattern)
 PERIOD_PATH = STATS_DIR + r"/(\d{4})/(\d+)\.json$"
 
@@ -53,7 +54,7 @@ def parse_period_path(files: DataFrame, path_col: str = "file_path") -> Parsed:
     year_txt = F.regexp_extract(path, PERIOD_PATH, 1)
     week_txt = F.regexp_extract(path, PERIOD_PATH, 2)
     week = F.when(week_txt != "", week_txt.cast("int"))
-    ok = (year_txt != "") & week.between(1, 53)
+    ok = (year_txt != "") & week.between(fx.WEEK_FIRST, fx.WEEK_LAST)
     tagged = files.withColumns(
         {"year": F.when(ok, year_txt.cast("int")), "week": F.when(ok, week)}
     )
