@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from metricslake import fixed as fx
 
 REPO_NAME_PATTERN = fx.REPO_NAME_PATTERN  # 'org/name'
