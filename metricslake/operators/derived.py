@@ -202,25 +202,23 @@ def newest_timed_run(
     timing, i.e. the first row of the run choices over ``benchmark_geomean``.
 
     The newest ``candidates`` runs are taken from ``runs`` alone (a top-k that keeps
-    k rows per task); only their ids (a broadcast of at most k rows) filter the
+    k rows per task); only their ids (a literal list of at most k values) filter the
     results and metrics where they are read. When none of them has a timing the
     full per-run aggregate decides, so the answer is always exact.
     """
     labelled = run_labels(non_test_runs(runs)).withColumnRenamed("run_ts", "run_timestamp")
     order = [F.col("run_timestamp").desc_nulls_last(), F.col("run_id").desc_nulls_last()]
     top = labelled.where(condition).select("run_id", "run_timestamp").orderBy(*order).limit(candidates)
-    top_rows = top.collect()  # at most ``candidates`` rows
+    top_rows = top.collect()  # at most ``candidates`` rows, newest first
     if not top_rows:
         return None
-    ids = F.broadcast(top.sparkSession.createDataFrame(top_rows, "run_id long, run_timestamp timestamp_ntz"))
-    means = _per_query_mean(
-        query_results.join(ids.select("run_id"), "run_id", "left_semi"),
-        query_metrics.join(ids.select("run_id"), "run_id", "left_semi"),
-    )
-    timed = ids.join(means.select("run_id").distinct(), "run_id", "left_semi")
-    row = timed.orderBy(*order).select("run_id").first()
-    if row is not None:
-        return int(row[0])
+    # the candidate ids as a literal IN list: pushed into the scans as a filter
+    picked = F.col("run_id").isin([int(r[0]) for r in top_rows])
+    means = _per_query_mean(query_results.where(picked), query_metrics.where(picked))
+    timed = {int(r[0]) for r in means.select("run_id").distinct().collect()}  # <= candidates
+    for r in top_rows:
+        if int(r[0]) in timed:
+            return int(r[0])
     if len(top_rows) < candidates:
         return None  # every matching run was a candidate
     rest = benchmark_geomean(runs, query_results, query_metrics, ordered=False).where(condition)
