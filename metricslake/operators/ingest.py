@@ -115,7 +115,7 @@ def contiguity_gate(
     ids = batch.select(rid.alias("_rid"), F.col("id"))
     m = marks.select(F.col("repository_id").alias("_rid"), F.col("max_run_id").alias("_mark"))
     per_repo = ids.join(m, "_rid", "left").groupBy("_rid").agg(
-        F.first("_mark", ignorenulls=True).alias("_mark"),
+        F.max("_mark").alias("_mark"),  # one mark per repository
         F.bool_or(F.col("id") == F.col("_mark")).alias("_reached"),
     )
     ok = F.col("_mark").isNull() | F.coalesce(F.col("_reached"), F.lit(False))
@@ -155,7 +155,7 @@ def reference_id_cut(
     stats = j.groupBy(key).agg(
         F.min("id").alias("_lo"),
         F.max("id").alias("_hi"),
-        F.first("_ref", ignorenulls=True).alias("_ref"),
+        F.max("_ref").alias("_ref"),  # one reference id per group
         F.bool_or(F.col("id") == F.col("_ref")).alias("_present"),
     )
     check = stats.where(
