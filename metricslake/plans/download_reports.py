@@ -120,7 +120,8 @@ def _pivot_periods(long_form: DataFrame, value: str, agg) -> DataFrame:
     weeks of the chosen range.
     """
     small = long_form.checkpoint(eager=True)
-    periods = [r[0] for r in small.select("period").distinct().orderBy("period").collect()]
+    distinct = small.select("period").distinct().orderBy("period")
+    periods = [r[0] for r in distinct.limit(MAX_PIVOT_PERIODS + 1).collect()]
     if len(periods) > MAX_PIVOT_PERIODS:
         raise ValueError(f"{len(periods)} periods exceed {MAX_PIVOT_PERIODS} pivot columns")
     return (
