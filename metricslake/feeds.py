@@ -11,6 +11,10 @@ landed batch. Table layout under ``lake_root``:
 
 ``run_all_feeds`` runs feeds one after another; a ValueError or AssertionError of one
 feed becomes a warning and the next feed still runs, anything else stops the run.
+
+Batch runs number their landing batches by the ``as_of`` second, the stream
+(``streaming.landing``) numbers micro-batches 0, 1, 2, ...; marks are read from
+lower-numbered batches, so one set of run tables is written by one of the two only.
 """
 
 from __future__ import annotations
