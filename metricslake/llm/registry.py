@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricslake.llm import bpe
+from metricslake.llm import bpe, pii
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -20,11 +20,16 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(_table(spark, sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), word_bpe()))
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op10_bpe": op10_bpe,
 }
 
