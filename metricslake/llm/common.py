@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 2000
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, unless PYTHONPATH names its folder."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _sent or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="metricslake-package-")  # read by the driver's file server only
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/metricslake", "zip", root, "metricslake"))
+    _sent.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session options the operators rely on (session scoped)."""
+    """Session options the operators rely on (session scoped), and their code."""
+    send_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metricslake.llm import bpe, pii
+from metricslake.llm import bpe, langid, pii
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -24,12 +25,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select(
+        "doc_id", langid.is_held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected"
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), word_bpe()))
 
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op7_langid": op7_langid,
     "op10_bpe": op10_bpe,
 }
 
