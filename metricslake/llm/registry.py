@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import bpe, langid, pii
+from metricslake.llm import bpe, langid, license_scan, pii
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -25,6 +25,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digests(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
@@ -39,8 +43,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_pii": op3_pii,
+    "op6_license": op6_license,
     "op7_langid": op7_langid,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_license": license_scan.oracle(),
+}
