@@ -50,9 +50,14 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Words of a whole text, A-Z lower-cased; empty for null."""
-    split = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN)
-    return F.filter(split, lambda w: w != "")
+    """Words of a whole text, A-Z lower-cased; empty for null.
+
+    ``lower`` also changes other letters, which is of no account to words that are counted and
+    compared with ASCII phrases; only the Kelvin sign would become an ASCII letter, and so is
+    replaced by another letter first.
+    """
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def vocabulary() -> list[str]:
