@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import bpe, langid, license_scan, pii
+from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, pii
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -21,10 +21,19 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(table, exact_topk.query_rows(), ann.fit(table))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), exact_topk.query_rows())
+
+
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digests(license_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -42,12 +51,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ann": op2_ann,
     "op3_pii": op3_pii,
+    "op5_topk": op5_topk,
     "op6_license": op6_license,
     "op7_langid": op7_langid,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
+    "op5_topk": exact_topk.oracle(),
     "op6_license": license_scan.oracle(),
 }
