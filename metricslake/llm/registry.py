@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, pii
+from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, pii, warc
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -46,6 +46,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read(warc.write(_table(spark, sf_dir, "pages")), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), word_bpe()))
 
@@ -56,10 +61,12 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_license": op6_license,
     "op7_langid": op7_langid,
+    "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
     "op5_topk": exact_topk.oracle(),
     "op6_license": license_scan.oracle(),
+    "op8_warc": warc.oracle(),
 }
