@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, pii, warc
+from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, mixing, pii, warc
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -30,6 +30,26 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def mix_levels() -> dict[str, Column]:
+    """Levels of the mix; domains are groups of sources, by the number that ends a source's name."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("bigint") % 4, F.lit(0))
+    return {"domain": F.concat(F.lit("domain"), number.cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+MIX_LEVELS_SQL = {
+    "domain": "'domain' || coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as bigint) % 4, 0)",
+    "lang": "lang",
+    "source": "source",
+}
+MIX_WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2}, "lang": {"en": 5, "de": 2, "fr": 2}}
+#: Share of all tokens in the mix, passes over a source, seed of the order.
+MIX_FRACTION, MIX_EPOCHS, MIX_SEED = (3, 5), 2, 17
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(_table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), exact_topk.query_rows())
 
@@ -58,6 +78,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ann": op2_ann,
     "op3_pii": op3_pii,
+    "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_license": op6_license,
     "op7_langid": op7_langid,
@@ -66,6 +87,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_mixing": mixing.oracle(MIX_LEVELS_SQL, MIX_WEIGHTS, MIX_FRACTION, MIX_EPOCHS, MIX_SEED),
     "op5_topk": exact_topk.oracle(),
     "op6_license": license_scan.oracle(),
     "op8_warc": warc.oracle(),
