@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, mixing, pii, warc
+from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, mixing, ngram_join, pii, warc
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -21,6 +21,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), 3, ngram_join.Threshold(90, 100))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     return ann.nearest(table, exact_topk.query_rows(), ann.fit(table))
@@ -76,6 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_ann": op2_ann,
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
