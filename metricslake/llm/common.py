@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -72,3 +73,10 @@ def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished plans now: it does so for plans
+    that the driver's garbage collection finds unused, which may not run for a long time."""
+    gc.collect()
+    spark._jvm.System.gc()

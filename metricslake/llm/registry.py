@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, mixing, ngram_join, pii, warc
+from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, mixing, ngram_join, pii, repeats, warc
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -75,6 +75,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), word_bpe()))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op6_license": op6_license,
     "op7_langid": op7_langid,
     "op8_warc": op8_warc,
+    "op9_repeats": op9_repeats,
     "op10_bpe": op10_bpe,
 }
 
