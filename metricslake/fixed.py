@@ -27,7 +27,7 @@ SHORT_ID_CHARS = 8
 
 # CI reports and feed
 JOB_NAME_WIDTH = 60
-REPO_NAME_PATTERN = r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"
+REPO_NAME_PATTERN = r"\A[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\z"
 STALE_HOURS = 48
 JOB_CUTOFF_DAYS = 10
 BUDGET_SHARE = 0.80

@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 
 
 def fmt_g(col: Column) -> Column:
-    """``%g``-style text for a scale factor: 100.0 -> '100', 0.5 -> '0.5'.
+    """C's ``%g`` text: six significant digits, trailing zeros stripped, exponent form
+    below 1e-4 and from 1e6 (1e+06, 1.5e-05). NULL stays NULL.
 
-    Goes through ``decimal(38,6)`` and strips trailing zeros and then a trailing dot.
-    Equal to C's ``%g`` for values from 0.001 to 10000 with at most six significant
-    digits, which covers scale factors. NULL stays NULL.
+    Digits are rounded from the shortest decimal text of the double, halves away from
+    zero; C rounds the binary value, which differs only when that text ends in a 5 in
+    the seventh place.
     """
-    # the decimal text always has six decimals, so trailing-character trims suffice
-    text = col.cast("decimal(38,6)").cast("string")
-    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    x = col.cast("double")
+    text = F.format_string("%.5e", x)  # d.ddddde+dd
+    mantissa = F.substring_index(text, "e", 1)
+    power = F.substring_index(text, "e", -1).try_cast("int")
+    trim = lambda c: F.rtrim(F.rtrim(c, F.lit("0")), F.lit("."))
+    plain = trim(text.try_cast("decimal(38,10)").cast("string"))
+    scientific = F.concat(trim(mantissa), F.lit("e"), F.substring_index(text, "e", -1))
+    special = F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == -float("inf"), F.lit("-inf"))
+    number = F.when(x == 0, F.lit("0")).when(power.between(-4, 5), plain).otherwise(scientific)
+    return F.when(x.isNotNull(), F.coalesce(special, number))
 
 
 def round_half_away(col: Column, digits: int) -> Column:

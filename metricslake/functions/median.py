@@ -1,135 +1,76 @@
-"""Exact interpolated median per group that does not put a hot group into one task.
-
-Spark's ``median`` keeps a value -> count map per group and merges it in one task
-per group. That is fine for small groups (the warm runs of one query) but not for
-a group holding a third of all rows (a pooled baseline over every run of a
-release). Groups are therefore split by size:
-
-* light groups (at most ``heavy_rows`` values) use the built-in aggregate, whose
-  buffer is bounded by ``heavy_rows``;
-* heavy groups are range-partitioned on (group, value), so one group spreads over
-  many tasks; each task numbers its rows, a small per-(partition, group) table
-  turns the numbers into global ranks, and only the one or two middle rows are
-  picked.
-
-The heavy-group key list is broadcast only after its size is checked
-(``max_broadcast_keys``); above that it is joined by shuffle. No rows are dropped
-or sampled: the result is exact for every group.
+"""Exact interpolated median per group that puts no hot group into one task.
+
+One path for groups of any size, without a job while the plan is built:
+
+1. rows become (group, value, count): ties collapse in the partial aggregate;
+2. values are dealt into buckets by a monotone function of the value, finer than one part
+   in four thousand, so a group has a bounded number of buckets whatever its size; running
+   counts over them show in which bucket the middle ranks lie;
+3. only the values of those buckets are ranked, behind the count of what comes before.
+
+Every step depends on values alone, never on how rows are partitioned, so a plan that is
+evaluated twice gives the same result. No rows are dropped or sampled.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_HEAVY_ROWS = 200_000
-DEFAULT_MAX_BROADCAST_KEYS = 100_000
+BUCKETS_PER_E_FOLD = 4096
+SMALLEST = 1e-9  # values closer to zero than this share a bucket with zero
+LARGEST = 1e290  # values beyond this (and infinity) share a bucket
+NAN_BUCKET = 1 << 40  # NaN sorts last
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _bucket(value: Column) -> Column:
+    """Whole number that never falls as the value rises (the logarithm is monotone)."""
+    size = F.log1p(F.least(F.abs(value), F.lit(LARGEST)) / F.lit(SMALLEST))
+    place = F.floor(F.signum(value) * size * BUCKETS_PER_E_FOLD)
+    return F.when(F.isnan(value), F.lit(NAN_BUCKET)).otherwise(place).cast("long")
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    return left.join(right, _null_safe_on(left, right, keys), how)
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, ``_v``, ``_c``): how often each non-NULL value of a group occurs."""
+    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    return vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _ranked_median(
-    vals: DataFrame, keys: list[str], alias: str, broadcast_targets: bool = True
-) -> DataFrame:
-    """Exact median of ``_v`` per group via range partitioning (for heavy groups)."""
-    order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_v").asc()]
-    ranked = (
-        vals.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_pid", F.spark_partition_id())
-        # consecutive within a partition, increasing across partitions: after the
-        # local sort it numbers rows in (group, value) order
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    parts = ranked.groupBy("_pid", *keys).agg(
-        F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")
+def median_of_counts(counted: DataFrame, keys: list[str], alias: str = "median") -> DataFrame:
+    """Median of each group of :func:`value_counts`."""
+    placed = counted.withColumn("_b", _bucket(F.col("_v")))
+    group = Window.partitionBy(*keys)
+    upto = Window.unboundedPreceding, Window.currentRow
+    buckets = (
+        placed.groupBy(*keys, "_b")
+        .agg(F.sum("_c").alias("_in"))
+        .withColumn("_to", F.sum("_in").over(group.orderBy("_b").rowsBetween(*upto)))
+        .withColumn("_n", F.sum("_in").over(group))
     )
-    by_group = Window.partitionBy(*keys)
-    parts = parts.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_cnt").over(
-                by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).withColumn("_n", F.sum("_cnt").over(by_group))
-    # 0-based middle ranks; equal when the count is odd
-    wanted = parts.withColumn(
-        "_k",
-        F.explode(
-            F.array_distinct(
-                F.array(
-                    F.floor((F.col("_n") - 1) / 2).cast("long"),
-                    F.ceil((F.col("_n") - 1) / 2).cast("long"),
-                )
-            )
-        ),
-    ).where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_cnt")))
-    targets = wanted.select(
-        (F.col("_first") + F.col("_k") - F.col("_before")).alias("_mid")
+    # 1-based middle ranks; equal when the count is odd
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    before = F.col("_to") - F.col("_in")
+    places = {k: f"_at{i}" for i, k in enumerate([*keys, "_b"])}
+    middle = buckets.where((F.col("_to") >= low) & (before < high)).select(
+        *[F.col(k).alias(at) for k, at in places.items()], before.alias("_before"), low.alias("_low"), high.alias("_high")
     )
-    # at most two targets per group: broadcast when the groups were counted, else the
-    # planner decides from the measured size (AQE turns it into a broadcast when small)
-    picked = ranked.join(F.broadcast(targets) if broadcast_targets else targets, "_mid")
-    return picked.groupBy(*keys).agg(
-        # same interpolation as the built-in: 0.5 * lower + 0.5 * upper
-        (F.lit(0.5) * F.min("_v") + F.lit(0.5) * F.max("_v")).alias(alias)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(at)) for k, at in places.items()])
+    near = placed.join(middle, same).drop(*places.values())
+    by_value = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(*upto)
+    ranked = near.withColumn("_to", F.col("_before") + F.sum("_c").over(by_value))
+    at = lambda rank: F.max(F.when((F.col("_to") - F.col("_c") < rank) & (rank <= F.col("_to")), F.col("_v")))
+    # same interpolation as the built-in: 0.5 * lower + 0.5 * upper
+    return ranked.groupBy(*keys).agg(
+        (F.lit(0.5) * at(F.col("_low")) + F.lit(0.5) * at(F.col("_high"))).alias(alias)
     )
 
 
-def has_heavy_groups(df: DataFrame, keys: list[str], heavy_rows: int = DEFAULT_HEAVY_ROWS) -> bool:
-    """Whether some group has more than ``heavy_rows`` rows (one cheap aggregate job:
-    partial counts per task, a tiny shuffle, and a single-row answer)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return bool(sizes.where(F.col("_n") > heavy_rows).limit(1).count())
-
-
-def exact_median(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    alias: str = "median",
-    heavy_rows: int = DEFAULT_HEAVY_ROWS,
-    max_broadcast_keys: int = DEFAULT_MAX_BROADCAST_KEYS,
-    strategy: str = "auto",
-) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, alias: str = "median") -> DataFrame:
     """``groupBy(keys).agg(median(value))`` that stays exact and skew-safe.
 
-    ``strategy``:
-      * ``"auto"``: count the groups above ``heavy_rows`` (one cheap aggregate job)
-        and split as described in the module docstring;
-      * ``"ranged"``: every group takes the range-partitioned path, no size check;
-        for few groups that each grow with the data (pooled baselines).
-
     NULL values are ignored; a group with no non-NULL value yields no row (callers
     left-join the result, which gives the NULL a SQL median returns).
     """
-    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull()
-    )
-    if strategy == "ranged":
-        return _ranked_median(vals, keys, alias, broadcast_targets=False)
-    if strategy != "auto":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy_keys = sizes.where(F.col("_n") > heavy_rows).select(*keys)
-    # the size check: one cheap aggregate job (partial counts, tiny shuffle)
-    n_heavy = heavy_keys.count()
-    if n_heavy == 0:
-        return vals.groupBy(*keys).agg(F.median("_v").alias(alias))
-    small = n_heavy <= max_broadcast_keys
-    heavy_side = F.broadcast(heavy_keys) if small else heavy_keys
-    light = _join_keys(vals, heavy_side, keys, "left_anti")
-    heavy = _join_keys(vals, heavy_side, keys, "left_semi")
-    light_med = light.groupBy(*keys).agg(F.median("_v").alias(alias))
-    # targets: at most two per heavy group, so the same count bounds their broadcast
-    return light_med.unionByName(_ranked_median(heavy, keys, alias, broadcast_targets=small))
+    return median_of_counts(value_counts(df, keys, value), keys, alias)

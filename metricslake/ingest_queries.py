@@ -30,7 +30,6 @@ BUDGET_REMAINING = 100
 MAIN_REPO = "org/nation_3"
 SNAP_BEFORE, SNAP_AFTER = dt.datetime(1998, 1, 1), dt.datetime(1999, 1, 1)
 FETCH_FROM = dt.datetime(1997, 12, 20)
-PROFILE_COLUMNS = ["l_quantity", "l_discount", "l_shipdate", "l_returnflag"]
 
 
 def _ts(v: dt.datetime):
@@ -195,7 +194,7 @@ def q_snapshot_changes(spark, sf_dir):
 def q_column_profile(spark, sf_dir):
     configure(spark)
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return changes.column_profile(li, PROFILE_COLUMNS)
+    return changes.column_profile(li)
 
 
 def _downloads(spark, sf_dir):
@@ -339,8 +338,10 @@ _CHANGED = f"select * from after where created_at >= {_t(FETCH_FROM)} except sel
 
 def _profile_sql() -> str:
     parts = []
-    for c in PROFILE_COLUMNS:
-        nan = f"coalesce(bool_or(isnan({c})), false)" if c in ("l_quantity", "l_discount") else "false"
+    doubles = "l_quantity l_extendedprice l_discount l_tax".split()
+    others = "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus l_shipdate".split()
+    for c in doubles + others:
+        nan = f"coalesce(bool_or(isnan({c})), false)" if c in doubles else "false"
         parts.append(
             f"select '{c}' as column_name, cast(min({c}) as varchar) as min_value, "
             f"cast(max({c}) as varchar) as max_value, {nan} as contains_nan, "

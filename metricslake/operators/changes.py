@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ def upsert_changed(
     """Target after merging the changed rows of ``batch``: matched keys are replaced,
     new keys inserted, untouched rows kept.
 
-    With ``check_duplicates`` a changed key occurring twice raises (the merge would
-    be ambiguous); the check runs on the materialized changed rows only.
+    With ``check_duplicates`` a changed key occurring twice makes the result fail when it
+    is computed (the merge would be ambiguous); nothing runs while the plan is built.
     """
     # A batch row can only equal a target row with the same key, so the EXCEPT runs
     # against the target rows whose key is in the batch: with a small batch the key
@@ -49,14 +49,12 @@ def upsert_changed(
     bkeys = batch.select(*keys).distinct()
     on_keys = reduce(lambda a, b: a & b, [target[k].eqNullSafe(bkeys[k]) for k in keys])
     touched = target.join(bkeys, on_keys, "left_semi")
-    # the changed rows (at most the batch) feed the check, the anti join and the
-    # union: materialized once in the shared checkpoint folder, which also cuts the
-    # lineage back to both tables
-    changed = batch.subtract(touched).checkpoint(eager=True)
+    changed = batch.subtract(touched)
     if check_duplicates:
-        dup = duplicate_keys(changed, keys).limit(1).collect()
-        if dup:
-            raise ValueError(f"duplicate keys in upsert batch: {dup[0].asDict()}")
+        twice = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+        message = F.concat(F.lit("duplicate keys in upsert batch: "), F.to_json(F.struct(*keys)))
+        checked = F.when(F.col("_twice"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+        changed = changed.withColumn("_twice", twice).where(checked).drop("_twice")
     on = reduce(lambda a, b: a & b, [target[k].eqNullSafe(changed[k]) for k in keys])
     kept = target.join(changed, on, "left_anti")
     return kept.unionByName(changed)

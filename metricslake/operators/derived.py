@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricslake import fixed as fx
-from metricslake.functions import exact_median, fmt_g
-from metricslake.functions.median import has_heavy_groups
+from metricslake.functions import fmt_g
+from metricslake.functions.median import median_of_counts, value_counts
 
 EXEC_METRIC = fx.EXEC_METRIC
 GEOMEAN_FLOOR = fx.GEOMEAN_FLOOR  # a sub-microsecond timing is the measurement floor
@@ -165,65 +165,22 @@ def benchmark_geomean(
     return out
 
 
-def warm_run_stats(query_metrics: DataFrame, heavy_groups: bool | None = None) -> DataFrame:
+def warm_run_stats(query_metrics: DataFrame) -> DataFrame:
     """Per (run, query): mean, exact median, fastest, slowest and count of valid timings.
 
     No status filter here: a timing of a failed query still counts, as in the
-    source model. The median is exact; when no group is heavy (the usual case: a
-    group is the warm runs of one query) everything is one aggregate, otherwise
-    heavy groups are split (see ``exact_median``).
+    source model. All five come from one aggregate to (run, query, value, count), so a
+    key with very many rows crosses the shuffle as its distinct values.
     """
-    t = valid_timings(query_metrics)
-    stats = [
-        F.avg("metric_value").alias("mean_seconds"),
-        F.min("metric_value").alias("fastest_seconds"),
-        F.max("metric_value").alias("slowest_seconds"),
-        F.count(F.lit(1)).alias("timed_runs"),
-    ]
-    if heavy_groups is None:
-        heavy_groups = has_heavy_groups(t, ["run_id", "query"])
-    if not heavy_groups:
-        return t.groupBy("run_id", "query").agg(
-            *stats, F.median("metric_value").alias("median_seconds")
-        )
-    med = exact_median(t, ["run_id", "query"], "metric_value", "median_seconds")
-    return t.groupBy("run_id", "query").agg(*stats).join(med, ["run_id", "query"])
-
-
-def newest_timed_run(
-    runs: DataFrame,
-    query_results: DataFrame,
-    query_metrics: DataFrame,
-    condition,
-    candidates: int = 100,
-) -> int | None:
-    """Id of the newest non-test run (by timestamp, then id) that matches
-    ``condition`` on the labelled run columns and has an ok query with a valid
-    timing, i.e. the first row of the run choices over ``benchmark_geomean``.
-
-    The newest ``candidates`` runs are taken from ``runs`` alone (a top-k that keeps
-    k rows per task); only their ids (a literal list of at most k values) filter the
-    results and metrics where they are read. When none of them has a timing the
-    full per-run aggregate decides, so the answer is always exact.
-    """
-    labelled = run_labels(non_test_runs(runs)).withColumnRenamed("run_ts", "run_timestamp")
-    order = [F.col("run_timestamp").desc_nulls_last(), F.col("run_id").desc_nulls_last()]
-    top = labelled.where(condition).select("run_id", "run_timestamp").orderBy(*order).limit(candidates)
-    top_rows = top.collect()  # at most ``candidates`` rows, newest first
-    if not top_rows:
-        return None
-    # the candidate ids as a literal IN list: pushed into the scans as a filter
-    picked = F.col("run_id").isin([int(r[0]) for r in top_rows])
-    means = _per_query_mean(query_results.where(picked), query_metrics.where(picked))
-    timed = {int(r[0]) for r in means.select("run_id").distinct().collect()}  # <= candidates
-    for r in top_rows:
-        if int(r[0]) in timed:
-            return int(r[0])
-    if len(top_rows) < candidates:
-        return None  # every matching run was a candidate
-    rest = benchmark_geomean(runs, query_results, query_metrics, ordered=False).where(condition)
-    row = rest.orderBy(*order).select("run_id").first()
-    return None if row is None else int(row[0])
+    keys = ["run_id", "query"]
+    counted = value_counts(valid_timings(query_metrics), keys, "metric_value")
+    stats = counted.groupBy(*keys).agg(
+        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_seconds"),
+        F.min("_v").alias("fastest_seconds"),
+        F.max("_v").alias("slowest_seconds"),
+        F.sum("_c").alias("timed_runs"),
+    )
+    return stats.join(median_of_counts(counted, keys, "median_seconds"), keys)
 
 
 QUERY_TIMES_COLUMNS = [
@@ -239,18 +196,13 @@ def benchmark_query_times(
     query_results: DataFrame,
     query_metrics: DataFrame,
     ordered: bool = True,
-    heavy_groups: bool | None = None,
 ) -> DataFrame:
-    """One row per (non-test run, query result); failed queries kept with NULL timings.
-
-    ``heavy_groups``: a known answer of the group-size check (e.g. from the unfiltered
-    metrics when ``query_metrics`` is a subset of them); None runs the check.
-    """
+    """One row per (non-test run, query result); failed queries kept with NULL timings."""
     r = run_labels(non_test_runs(runs)).withColumnRenamed("run_ts", "run_timestamp")
     qr = query_results.select("run_id", "query", "status", "verified", "error")
     # results and timing stats are both partitioned on (run_id, query): joined first,
     # they need no exchange; only their join result moves to meet ``runs``
-    per_query = qr.join(warm_run_stats(query_metrics, heavy_groups), ["run_id", "query"], "left")
+    per_query = qr.join(warm_run_stats(query_metrics), ["run_id", "query"], "left")
     out = per_query.join(r, "run_id").select(*QUERY_TIMES_COLUMNS)
     if ordered:
         out = out.orderBy(

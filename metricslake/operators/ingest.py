@@ -218,67 +218,37 @@ def run_ids_per_repo(repos: DataFrame, work: DataFrame) -> DataFrame:
     )
 
 
-def budget_shares(n_repos: int, has_main: bool, remaining: int, share: float = BUDGET_SHARE):
-    """(main, other) budgets: total = floor(remaining * share); the main repository
-    gets 10 % of it (all of it when alone), every other one an equal floored share."""
-    total = int(remaining * share)
-    others = n_repos - 1 if has_main else n_repos
-    if has_main:
-        main = int(total * MAIN_REPO_SHARE) if others > 0 else total
-    else:
-        main = 0
-    other = int((total - main) / others) if others > 0 else 0
-    return main, other
+def budget_pool(remaining: int, share: float = BUDGET_SHARE) -> int:
+    """The part of the remaining API calls that one feed run may use."""
+    return int(remaining * share)
 
 
 def repo_budgets(
     repos: DataFrame, remaining: int, main_repo: str, share: float = BUDGET_SHARE
 ) -> DataFrame:
-    """(full_name, budget) per repository; the shares come from one aggregate row."""
-    row = repos.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("full_name") == main_repo).alias("m")
-    ).first()
-    main, other = budget_shares(int(row["n"]), int(row["m"]) > 0, remaining, share)
-    return repos.select(
-        "full_name",
-        F.when(F.col("full_name") == main_repo, F.lit(main))
-        .otherwise(F.lit(other))
-        .cast("long")
-        .alias("budget"),
-    )
-
-
-def top_k_per_group(
-    df: DataFrame, group: str, order: str, k_col: str, salt_buckets: int = 64
-) -> DataFrame:
-    """Rows with the ``k`` smallest ``order`` values per group (k from column ``k_col``).
-
-    Two phases so a hot group is never ranked in one task: first the k smallest per
-    (group, hash bucket of the row), then the k smallest of those per group.
-    Exact: the k smallest of a group are among the k smallest of each of its buckets.
-    The second phase sees at most ``salt_buckets * k`` rows per group.
-    """
-    # the bucket hashes the whole row, so equal order values of different rows spread too
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
-    w1 = Window.partitionBy(group, "_bucket").orderBy(F.col(order).asc())
-    first = (
-        df.withColumn("_bucket", bucket)
-        .withColumn("_r", F.row_number().over(w1))
-        .where(F.col("_r") <= F.col(k_col))
-        .drop("_r", "_bucket")
-    )
-    w2 = Window.partitionBy(group).orderBy(F.col(order).asc())
-    return first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= F.col(k_col)).drop("_r")
+    """(full_name, budget) per repository: the main one gets its share of the pool, or all of
+    it when it is the only one; what is left is divided evenly. Shares are rounded down."""
+    pool = F.lit(budget_pool(remaining, share))
+    is_main = F.col("full_name") == main_repo
+    # scalar subqueries over the repository list
+    mains, rest = repos.agg(F.count_if(is_main)).scalar(), repos.agg(F.count_if(~is_main)).scalar()
+    main = F.when(mains == 0, 0).when(rest == 0, pool).otherwise(F.floor(pool * MAIN_REPO_SHARE))
+    even = F.floor((pool - main) / F.when(rest > 0, rest))
+    return repos.select("full_name", F.when(is_main, main).otherwise(even).cast("long").alias("budget"))
 
 
 def budgeted_work(
     work_per_repo: DataFrame, repos: DataFrame, remaining: int, main_repo: str
 ) -> DataFrame:
     """The first ``budget(repo)`` outstanding run ids of every repository, in id order."""
-    budgets = repo_budgets(repos, remaining, main_repo)
-    w = work_per_repo.where(F.col("run_id").isNotNull()).join(budgets, "full_name")
+    work = work_per_repo.where(F.col("run_id").isNotNull()).select("full_name", "run_id")
+    pool = budget_pool(remaining)
+    # the literal cut comes first, on the work alone; budgets meet what is left of it
+    first = Window.partitionBy("full_name").orderBy(F.col("run_id").asc())
+    near = work.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= pool)
     return (
-        top_k_per_group(w, "full_name", "run_id", "budget")
+        near.join(repo_budgets(repos, remaining, main_repo), "full_name")
+        .where(F.col("_r") <= F.col("budget"))
         .select("full_name", "run_id")
         .orderBy(F.col("full_name").asc_nulls_last(), F.col("run_id").asc_nulls_last())
     )

@@ -23,7 +23,7 @@ class BenchmarkFilters:
     end: dt.datetime | None = None
     # releases drawn as baselines; the first one orders the per-query table
     pinned_versions: tuple[str, ...] = fx.PINNED_VERSIONS
-    run_id: int | None = None  # None: newest run matching the filters
+    run_id: str | None = None  # empty or None: newest run matching the filters
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ predicates, so on stored (parquet) derived tables they are pushed into the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricslake import fixed as fx
@@ -95,15 +95,14 @@ def version_baselines(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
         & F.col("engine_version").isin(list(f.pinned_versions))
         & F.col("geomean_seconds").isNotNull()
     )
-    keys = ["benchmark_series", "engine_version"]
-    # arg-max in two hash aggregates (a struct ordering key would force a sort-based
-    # aggregate): the latest timestamp per group, then among the runs at that
-    # timestamp the largest run id. The per-group table has one row per group.
-    latest = g.groupBy(*keys).agg(F.max("run_timestamp").alias("_latest"))
-    at_latest = g.join(latest, keys).where(F.col("run_timestamp") == F.col("_latest"))
+    # first of each group in one pass: tasks keep one row a group before the shuffle
+    newest = Window.partitionBy("benchmark_series", "engine_version").orderBy(
+        F.col("run_timestamp").desc_nulls_last(), F.col("run_id").desc_nulls_last()
+    )
     return (
-        at_latest.groupBy(*keys)
-        .agg(F.max_by("geomean_seconds", "run_id").alias("baseline_seconds"))
+        g.withColumn("_r", F.row_number().over(newest))
+        .where(F.col("_r") == 1)
+        .select("benchmark_series", "engine_version", F.col("geomean_seconds").alias("baseline_seconds"))
         .orderBy(F.col("benchmark_series").asc_nulls_last(), F.col("engine_version").asc_nulls_last())
     )
 
@@ -168,14 +167,13 @@ def baseline_medians(query_times: DataFrame, f: BenchmarkFilters) -> DataFrame:
         ["benchmark_series", "query", "engine_version"],
         "median_seconds",
         "baseline_seconds",
-        strategy="ranged",
     )
 
 
 def selected_run(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
     """One-row frame with the chosen run id (the parameter, else the newest option)."""
-    if f.run_id is not None:
-        return geomean.sparkSession.range(1).select(F.lit(f.run_id).cast("long").alias("run_id"))
+    if f.run_id:
+        return geomean.sparkSession.range(1).select(F.lit(f.run_id).alias("run_id"))
     # top-1 by a global order: TakeOrderedAndProject keeps one row per task
     return (
         geomean.where(selection(f))
@@ -186,38 +184,23 @@ def selected_run(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
     )
 
 
-def selected_run_id(geomean: DataFrame, f: BenchmarkFilters) -> int | None:
-    """The chosen run id as a value (one single-row job when not given), so the
-    report's filters are literals that reach the parquet scans."""
-    if f.run_id is not None:
-        return f.run_id
-    row = selected_run(geomean, f).first()
-    return None if row is None else int(row[0])
-
-
 def query_times_report(
-    geomean: DataFrame | None,
-    query_times: DataFrame,
-    f: BenchmarkFilters,
-    baseline_times: DataFrame | None = None,
-    run_id: int | None = None,
+    geomean: DataFrame, query_times: DataFrame, f: BenchmarkFilters, baseline_times: DataFrame | None = None
 ) -> DataFrame:
     """The chosen run's queries against the pinned baselines, regressions first.
 
     Ratios are rounded to 2 places and the flags compare that rounded value, so a
     flag never disagrees with the shown number: +1 above 1.1, -1 below 0.9, else NULL.
     ``baseline_times`` (default ``query_times``) is where the baseline medians come
-    from; ``run_id`` skips the choice when the caller made it already (then
-    ``geomean``, only needed to choose, may be None).
+    from. An empty or unset ``f.run_id`` means the newest run that matches the filters.
     """
     primary, secondary = f.pinned_versions[0], f.pinned_versions[1]
-    if run_id is None and geomean is None:
-        raise ValueError("either run_id or geomean is needed to choose the run")
-    chosen = run_id if run_id is not None else selected_run_id(geomean, f)
-    sel = query_times.where(
-        (F.col("storage_type") == f.storage_type)
-        & (F.col("run_id") == F.lit(chosen).cast("long") if chosen is not None else F.lit(False))
-    )
+    of_type = query_times.where(F.col("storage_type") == f.storage_type)
+    # one row by its limit; a given run id is a literal that reaches the scans
+    if f.run_id:
+        sel = of_type.where(F.col("run_id") == f.run_id)
+    else:
+        sel = of_type.join(F.broadcast(selected_run(geomean, f)), "run_id", "left_semi")
     base = baseline_medians(query_times if baseline_times is None else baseline_times, f)
     # both releases from one aggregate: one row per (series, query)
     sides = base.groupBy("benchmark_series", "query").agg(

@@ -1,9 +1,9 @@
 """Extension download reports: top-N trends with running totals and week pivots.
 
-The top-N list is a ``limit`` over an aggregate (at most ``top_n`` rows, a page
-parameter of 5/10/20), so joining it back is a broadcast with a fixed bound. Running
-sums are windows partitioned by extension, never a global window. Pivot columns are
-the periods present in the chosen range (at most 53 per year).
+Facts are read and aggregated once to weekly sums; an extension's weeks (at most 53 a
+year of the chosen range) travel with its total through the top-N. Running sums are
+windows partitioned by extension, never a global window. Pivot columns are the weeks of
+the chosen range, so the shape of a pivot follows from its parameters.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from metricslake import fixed as fx
 from metricslake.params import DownloadFilters
 
-MAX_TOP_N = 1000  # the page offers 5, 10 and 20
-
 
 def in_period(df: DataFrame, f: DownloadFilters, with_repo: bool = True) -> DataFrame:
-    period = F.col("year") * 100 + F.col("week")
-    cond = period.between(f.lo, f.hi)
+    # bounds on the stored column besides the combined key: they prune files and row groups
+    cond = F.col("year").between(f.from_year, f.to_year)
+    cond &= (F.col("year") * 100 + F.col("week")).between(f.lo, f.hi)
     if with_repo:
         cond &= F.col("repository").like(f.repository)
     return df.where(cond)
@@ -39,28 +38,30 @@ def weeks(spark) -> DataFrame:
     return spark.range(1, fx.WEEKS_OFFERED + 1).select(F.col("id").cast("int").alias("week"))
 
 
-def top_n_extensions(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
-    """Names of the top N by summed downloads in the period; ties broken by name."""
-    if not 0 < f.top_n <= MAX_TOP_N:
-        raise ValueError(f"top_n must be in 1..{MAX_TOP_N}, got {f.top_n}")
+def _weekly(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
+    return in_period(downloads, f).groupBy("extension_name", "year", "week").agg(F.sum("downloads").alias("downloads"))
+
+
+def _leaders(weekly: DataFrame, top_n: int) -> DataFrame:
+    """The top N extensions by total, ties by name, each with its weeks."""
+    if top_n < 1:
+        raise ValueError(f"top_n must be positive, got {top_n}")
     return (
-        in_period(downloads, f)
-        .groupBy("extension_name")
-        .agg(F.sum("downloads").alias("_total"))
+        weekly.groupBy("extension_name")
+        .agg(F.sum("downloads").alias("_total"), F.collect_list(F.struct("year", "week", "downloads")).alias("_weeks"))
         .orderBy(F.col("_total").desc_nulls_last(), F.col("extension_name").asc_nulls_last())
-        .limit(f.top_n)
-        .select("extension_name")
+        .limit(top_n)
     )
 
 
+def top_n_extensions(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
+    """Names of the top N by summed downloads in the period; ties broken by name."""
+    return _leaders(_weekly(downloads, f), f.top_n).select("extension_name")
+
+
 def _weekly_top(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
-    top = F.broadcast(top_n_extensions(downloads, f))  # at most top_n rows
-    return (
-        in_period(downloads, f)
-        .join(top, "extension_name", "left_semi")
-        .groupBy("year", "week", F.col("extension_name").alias("extension"))
-        .agg(F.sum("downloads").alias("downloads"))
-    )
+    top = _leaders(_weekly(downloads, f), f.top_n)
+    return top.select(F.col("extension_name").alias("extension"), F.inline("_weeks"))
 
 
 def top_n_downloads(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
@@ -108,38 +109,27 @@ def extension_detail(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
     )
 
 
-MAX_PIVOT_PERIODS = 53 * 100  # one column per week of the chosen range
+def period_columns(f: DownloadFilters) -> list[str]:
+    """Labels of every week of the chosen range."""
+    weeks = range(fx.WEEK_FIRST, fx.WEEK_LAST + 1)
+    years = range(f.from_year, f.to_year + 1)
+    return [fx.PERIOD_LABEL_FORMAT % (y, w) for y in years for w in weeks if f.lo <= y * 100 + w <= f.hi]
 
 
-def _pivot_periods(long_form: DataFrame, value: str, agg) -> DataFrame:
-    """Pivot (extension, period, value) to one column per period present.
-
-    The long form is at most top_n x weeks rows. It is materialized once (shared
-    checkpoint folder) so the list of period columns and the pivot read the small
-    result instead of recomputing the scan twice; the column list is bounded by the
-    weeks of the chosen range.
-    """
-    small = long_form.checkpoint(eager=True)
-    distinct = small.select("period").distinct().orderBy("period")
-    periods = [r[0] for r in distinct.limit(MAX_PIVOT_PERIODS + 1).collect()]
-    if len(periods) > MAX_PIVOT_PERIODS:
-        raise ValueError(f"{len(periods)} periods exceed {MAX_PIVOT_PERIODS} pivot columns")
-    return (
-        small.groupBy("extension")
-        .pivot("period", periods)
-        .agg(agg(value))
-        .orderBy(F.col("extension").asc_nulls_last())
-    )
+def _pivot_periods(long_form: DataFrame, value: str, f: DownloadFilters) -> DataFrame:
+    """(extension, period, value) with one row per pair -> one column for each week of the range."""
+    pivoted = long_form.groupBy("extension").pivot("period", period_columns(f)).agg(F.max(value))
+    return pivoted.orderBy(F.col("extension").asc_nulls_last())
 
 
 def top_n_weekly_pivot(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
-    """Extension x 'YYYY-Www' weekly sums."""
+    """Extension x 'YYYY-Www' weekly sums; weeks without downloads are NULL."""
     weekly = _weekly_top(downloads, f).select("extension", period_label().alias("period"), "downloads")
-    return _pivot_periods(weekly, "downloads", F.sum)
+    return _pivot_periods(weekly, "downloads", f)
 
 
 def top_n_cumulative_pivot(downloads: DataFrame, f: DownloadFilters) -> DataFrame:
-    """Extension x 'YYYY-Www' running totals."""
+    """Extension x 'YYYY-Www' running totals; weeks without downloads are NULL."""
     w = Window.partitionBy("extension").orderBy("period").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -148,7 +138,7 @@ def top_n_cumulative_pivot(downloads: DataFrame, f: DownloadFilters) -> DataFram
         .withColumn("period", period_label())
         .select("period", "extension", F.sum("downloads").over(w).alias("cumulative_downloads"))
     )
-    return _pivot_periods(cum, "cumulative_downloads", F.max)
+    return _pivot_periods(cum, "cumulative_downloads", f)
 
 
 def raw_downloads(downloads: DataFrame, f: DownloadFilters) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricslake import ingest_queries, oracle_derived, oracle_reports
-from metricslake.functions.median import has_heavy_groups
 from metricslake.operators import derived
 from metricslake.plans import benchmark_reports as br
 from metricslake.plans import ci_reports as cr
@@ -110,22 +109,9 @@ def q_all_runs(spark, sf_dir):
 def _query_times_report(f):
     def run(spark, sf_dir):
         runs, qr, qm = _bench(spark, sf_dir)
-        # the chosen run as a literal: its rows are read by pushed-down scan filters
-        rid = f.run_id
-        if rid is None:
-            rid = derived.newest_timed_run(runs, qr, qm, br.selection(f))
-        one = F.col("run_id") == F.lit(rid if rid is not None else -1).cast("long")
-        # one group-size check on all metrics answers it for both subsets below
-        heavy = has_heavy_groups(derived.valid_timings(qm), ["run_id", "query"])
-        qt_run = derived.benchmark_query_times(
-            runs.where(one), qr.where(one), qm.where(one), ordered=False, heavy_groups=heavy
-        )
-        pinned = runs.where(
-            (F.col("storage_type") == f.storage_type)
-            & F.col("engine_version").isin(list(f.pinned_versions))
-        )
-        qt_base = derived.benchmark_query_times(pinned, qr, qm, ordered=False, heavy_groups=heavy)
-        return br.query_times_report(None, qt_run, f, baseline_times=qt_base, run_id=rid)
+        geomean = derived.benchmark_geomean(runs, qr, qm, ordered=False)
+        times = derived.benchmark_query_times(runs, qr, qm, ordered=False)
+        return br.query_times_report(geomean, times, f)
 
     return run
 

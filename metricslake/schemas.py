@@ -71,7 +71,7 @@ EXTENSION_DOWNLOADS = T.StructType(
 
 RUNS = T.StructType(
     [
-        T.StructField("run_id", T.LongType()),
+        T.StructField("run_id", T.StringType()),
         T.StructField("invocation_id", T.LongType()),
         T.StructField("run_ts", T.TimestampNTZType()),
         T.StructField("is_test", T.BooleanType()),
@@ -94,7 +94,7 @@ RUNS = T.StructType(
 
 QUERY_RESULTS = T.StructType(
     [
-        T.StructField("run_id", T.LongType()),
+        T.StructField("run_id", T.StringType()),
         T.StructField("query", T.IntegerType()),
         T.StructField("status", T.StringType()),
         T.StructField("verified", T.BooleanType()),
@@ -104,7 +104,7 @@ QUERY_RESULTS = T.StructType(
 
 QUERY_METRICS = T.StructType(
     [
-        T.StructField("run_id", T.LongType()),
+        T.StructField("run_id", T.StringType()),
         T.StructField("query", T.IntegerType()),
         T.StructField("metric_name", T.StringType()),
         T.StructField("metric_value", T.DoubleType()),

@@ -16,28 +16,33 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # a row_number() limit up to this many rows is applied per task before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; keep the checkpoint folder the cluster names."""
+    """Apply the runtime settings to a session."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder from ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a scratch folder created.
+    A local session that names none (tests, the benchmark) gets a scratch folder; on a
+    cluster a missing setting is an error, since no other folder is known to be shared.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return spark.sparkContext.getCheckpointDir() or configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="metricslake-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

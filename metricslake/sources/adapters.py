@@ -34,7 +34,7 @@ def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("clickbench")
     )
     return o.select(
-        key.alias("run_id"),
+        key.cast("string").alias("run_id"),
         cust.alias("invocation_id"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("run_ts"),
         F.when(key % 10 == 0, F.lit(True))
@@ -72,7 +72,7 @@ def bench_query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     # min(flag) = 'R'  <=>  no flag below 'R' and some flag equal to 'R' (max alike):
     # boolean buffers keep this a hash aggregate; a string min/max would sort every row
-    g = li.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("query")).agg(
+    g = li.groupBy(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").alias("query")).agg(
         (F.bool_and(rf >= "R") & F.bool_or(rf == "R")).alias("_failed"),
         (F.bool_and(ls <= "O") & F.bool_or(ls == "O")).alias("verified"),
     )
@@ -89,7 +89,7 @@ def bench_query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bench_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     timings = li.where(F.col("l_returnflag") != "R").select(
-        F.col("l_orderkey").alias("run_id"),
+        F.col("l_orderkey").cast("string").alias("run_id"),
         F.col("l_linenumber").alias("query"),
         F.lit(EXEC_METRIC).alias("metric_name"),
         F.when(F.col("l_discount") == 0, F.lit(0.0))
@@ -97,7 +97,7 @@ def bench_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("metric_value"),
     )
     memory = li.select(
-        F.col("l_orderkey").alias("run_id"),
+        F.col("l_orderkey").cast("string").alias("run_id"),
         F.col("l_linenumber").alias("query"),
         F.lit("peak_memory").alias("metric_name"),
         F.col("l_extendedprice").alias("metric_value"),
@@ -197,7 +197,7 @@ def model_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # struct into repo_id / repo (DuckDB reads it the same way through ``repository``).
 ORACLE_VIEWS = {
     "runs": """
-select o_orderkey as run_id, o_custkey as invocation_id, o_orderdate as run_ts,
+select o_orderkey::varchar as run_id, o_custkey as invocation_id, o_orderdate as run_ts,
   case when o_orderkey % 10 = 0 then true when o_orderkey % 10 = 1 then null else false end as is_test,
   case when o_orderpriority in ('1-URGENT','2-HIGH') then 'tpch'
        when o_orderpriority in ('3-MEDIUM','5-LOW') then 'tpcds' else 'clickbench' end as benchmark,
@@ -221,16 +221,16 @@ select o_orderkey as run_id, o_custkey as invocation_id, o_orderdate as run_ts,
        when o_orderpriority in ('3-MEDIUM','5-LOW') then 'tpcds' else 'clickbench' end) as queries_sha
 from orders""",
     "query_results": """
-select l_orderkey as run_id, l_linenumber as query,
+select l_orderkey::varchar as run_id, l_linenumber as query,
   case when min(l_returnflag) = 'R' then 'failed' else 'ok' end as status,
   max(l_linestatus) = 'O' as verified,
   case when min(l_returnflag) = 'R' then 'query failed' end as error
 from lineitem group by l_orderkey, l_linenumber""",
     "query_metrics": """
-select l_orderkey as run_id, l_linenumber as query, 'execution_time_seconds' as metric_name,
+select l_orderkey::varchar as run_id, l_linenumber as query, 'execution_time_seconds' as metric_name,
   case when l_discount = 0 then 0.0 else l_quantity / 10 end as metric_value
 from lineitem where l_returnflag <> 'R'
-union all select l_orderkey, l_linenumber, 'peak_memory', l_extendedprice from lineitem""",
+union all select l_orderkey::varchar, l_linenumber, 'peak_memory', l_extendedprice from lineitem""",
     "ci_repositories": """
 select cast(n_nationkey as bigint) as id, 'org/' || lower(n_name) as full_name,
   n_regionkey = 0 as private

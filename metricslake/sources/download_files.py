@@ -19,7 +19,7 @@ from metricslake.schemas import EXTENSION_DOWNLOADS
 STATS_DIR = fx.STATS_DIR
 LAST_UPDATE_KEY = fx.LAST_UPDATE_KEY
 # <year: four digits>/<week: digits>.json at the end of the path (fixed pattern)
-PERIOD_PATH = STATS_DIR + r"/(\d{4})/(\d+)\.json$"
+PERIOD_PATH = STATS_DIR + r"/(\d{4})/(\d+)\.json\z"
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,12 @@ def test_fmt_g_scale_factors(spark):
     assert got == ["1", "10", "100", "0.5", "0.001", None]
 
 
+def test_fmt_g_is_complete(spark):
+    values = [1e6, 999999.0, 999999.5, 1234567.0, 1e-4, 1e-5, 1.5e-5, 0.00012345678, 123456.7, 0.1234567, 1e100, 2.5e-300, -0.5, -1e7, 0.0, 33.333333333]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(fmt_g(F.col("x"))).collect()] == ["%g" % v for v in values]
+
+
 def test_round_half_away_scales_in_binary(spark):
     df = spark.createDataFrame([(1.005,), (2.5,), (-2.5,), (1.105,), (0.895,), (None,)], "x double")
     got = [r[0] for r in df.select(round_half_away(F.col("x"), 2)).collect()]

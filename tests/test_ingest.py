@@ -96,24 +96,36 @@ def test_runs_without_jobs_and_lists(spark):
     assert per == [("o/r1", 1), ("o/r2", 5), ("o/r3", None)]
 
 
-def test_budget_shares():
-    assert ingest.budget_shares(25, True, 100) == (8, 3)
-    assert ingest.budget_shares(1, True, 100) == (80, 0)  # the main repository alone
-    assert ingest.budget_shares(3, False, 100) == (0, 26)
-    assert ingest.budget_shares(0, False, 100) == (0, 0)
+def test_repo_budgets(spark):
+    def of(names, remaining=100):
+        df = spark.createDataFrame([(n,) for n in names], "full_name string")
+        return {r.full_name: r.budget for r in ingest.repo_budgets(df, remaining, "main").collect()}
 
+    assert of(["main"]) == {"main": 80}  # the main repository alone
+    assert of(["a", "b", "c"]) == dict.fromkeys("abc", 26)
+    assert of([]) == {}
+    many = of(["main", *(f"r{i}" for i in range(24))])
+    assert many["main"] == 8 and set(many.values()) == {8, 3}
 
-def test_top_k_per_group_matches_brute_force(spark):
+
+def test_budgeted_work_matches_brute_force(spark):
     rnd = random.Random(3)
-    rows = [("hot", rnd.randrange(10**6), 7) for _ in range(5000)]
-    rows += [(f"g{i}", rnd.randrange(1000), 3) for i in range(50) for _ in range(rnd.randrange(0, 8))]
-    df = spark.createDataFrame(rows, "g string, v long, k long")
-    got = sorted((r.g, r.v) for r in ingest.top_k_per_group(df, "g", "v", "k", salt_buckets=16).collect())
-    exp = []
-    for g in {r[0] for r in rows}:
-        vals = sorted(r[1] for r in rows if r[0] == g)
-        exp += [(g, v) for v in vals[: 7 if g == "hot" else 3]]
-    assert got == sorted(exp)
+    rows = [("hot", rnd.randrange(10**6)) for _ in range(5000)]
+    rows += [(f"g{i}", rnd.randrange(1000)) for i in range(20) for _ in range(rnd.randrange(0, 8))]
+    names = sorted({r[0] for r in rows} | {"main"})
+    repos = spark.createDataFrame([(n,) for n in names], "full_name string")
+    work = spark.createDataFrame(rows, "full_name string, run_id long")
+    got = [(r.full_name, r.run_id) for r in ingest.budgeted_work(work, repos, 200, "main").collect()]
+    k = (160 - 16) // (len(names) - 1)
+    assert got == [(g, v) for g in names for v in sorted(r[1] for r in rows if r[0] == g)[:k]]
+    plan = ingest.budgeted_work(work, repos, 200, "main")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # groups are cut before the shuffle
+
+
+def test_repository_name_must_match_whole(spark):
+    df = spark.createDataFrame([("org/x",), ("org/x\n",), ("org",), (None,)], "repo string")
+    valid, rejected = ingest.tag_with_repository(df, "repo")
+    assert [r.repository for r in valid.collect()] == ["org/x"] and rejected.count() == 3
 
 
 def test_budgeted_work(spark):
@@ -155,8 +167,8 @@ def test_upsert_changed_idempotent(spark):
 def test_upsert_rejects_duplicate_keys(spark):
     target = _table(spark, [(1, "a", 1.0)])
     batch = _table(spark, [(2, "x", 1.0), (2, "y", 2.0)])
-    with pytest.raises(ValueError):
-        changes.upsert_changed(target, batch, ["id"])
+    with pytest.raises(Exception, match="duplicate keys"):
+        changes.upsert_changed(target, batch, ["id"]).collect()
 
 
 def test_snapshot_diff_and_changes(spark):

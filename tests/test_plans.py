@@ -6,12 +6,14 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from metricslake.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 # global aggregates (no grouping key) end in one partition by design: one partial row
-# per task; column_profile's string min/max are such a global aggregate
-GLOBAL_AGGREGATES = {"sf_applicable", "column_profile"}
+# per task; column_profile's string min/max are such a global aggregate, and the budgets
+# count the repository list
+GLOBAL_AGGREGATES = {"sf_applicable", "column_profile", "budgeted_work"}
 
 
 def _plan(df) -> str:
@@ -21,7 +23,7 @@ def _plan(df) -> str:
 @pytest.mark.skipif(os.environ.get("QUICK") == "1", reason="QUICK=1 skips the plan sweep")
 def test_plans_scale_out(spark):
     problems = []
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         text = _plan(fn(spark, SF))
         if re.search(r"CartesianProduct|BroadcastNestedLoopJoin", text):
             problems.append((name, "cross join"))
@@ -44,3 +46,24 @@ def test_filters_reach_the_scan(spark):
     # the metric-name filter removes the constant branch and the timing filters are pushed
     assert "peak_memory" not in text
     assert re.search(r"PushedFilters: \[[^\]]*l_returnflag", text)
+
+
+@pytest.mark.parametrize(
+    "name, scans", [("top_n_downloads", 2), ("top_n_weekly_pivot", 2), ("top_n_cumulative_pivot", 2), ("version_baselines", 3)]
+)
+def test_tables_are_read_once(spark, name, scans):
+    assert _plan(QUERIES[name](spark, SF)).count("FileScan") == scans
+
+
+def test_nothing_runs_while_a_plan_is_built(spark):
+    names = ("query_times_report", "benchmark_query_times", "top_n_weekly_pivot", "budgeted_work", "upsert_changed")
+    for name in names:
+        QUERIES[name](spark, SF)  # the first use of a table reads its schema in a job
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "plans of registered queries")
+    try:
+        for name in names:
+            QUERIES[name](spark, SF)
+        assert list(tracker.getJobIdsForGroup("build")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -52,7 +52,7 @@ def test_query_times_flags_and_order(spark):
         ],
     )
     geo = _geo(spark, [(10, T, "x", "native", "tpch", 1.0, "sf1", s, "m", "a", "v2", 1.0)])
-    f = BenchmarkFilters(storage_type="native", run_id=10)
+    f = BenchmarkFilters(storage_type="native", run_id="10")
     rows = br.query_times_report(geo, qt, f).collect()
     assert [r.query for r in rows] == [1, 2, 3, 4, 5]
     r1, r2, r3, r4, r5 = rows
@@ -175,18 +175,3 @@ def test_run_jobs_runner_label(spark):
     got = {r.job_name: r.runner for r in views.run_jobs(jobs, runs, repos).collect()}
     # empty and NULL lists -> '' (the size test is not true); a NULL first label stays NULL
     assert got == {"j1": "ubuntu", "j2": "", "j3": "", "j4": None}
-
-
-def test_newest_timed_run_matches_run_options(spark):
-    from metricslake.operators import derived
-    from metricslake.sources.adapters import model_table
-
-    sf = "/root/testdata/sf0.001"
-    runs, qr, qm = (model_table(spark, sf, n) for n in ("runs", "query_results", "query_metrics"))
-    g = derived.benchmark_geomean(runs, qr, qm, ordered=False)
-    for f in (BenchmarkFilters(), BenchmarkFilters(storage_type="lake", benchmarks=("tpch",)),
-              BenchmarkFilters(benchmarks=("none",))):
-        exp = br.selected_run_id(g, f)
-        assert derived.newest_timed_run(runs, qr, qm, br.selection(f)) == exp
-        # with a single candidate the fallback path must give the same answer
-        assert derived.newest_timed_run(runs, qr, qm, br.selection(f), candidates=1) == exp
