@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import written
+from metricslake.llm.common import drop_written, release, written
 from metricslake.llm.components import components
 
 #: Coordinates of a point, and the bits of a shingle's hash that choose one.
@@ -126,7 +126,7 @@ def counters(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
 
 def points(docs: DataFrame, size: int, threshold: Threshold, counts: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row ``doc_id``, ``n``, ``hi`` and ``lo`` (hash of the set), ``keys`` (its rare
-    shingles) and ``vec`` (GROUPS counts); the last four are null for an empty set."""
+    shingles) and ``vec`` (GROUPS counts of one byte, or of four); the last four are null for an empty set."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -145,7 +145,8 @@ def points(docs: DataFrame, size: int, threshold: Threshold, counts: np.ndarray,
                 lo.append((code & (1 << 64) - 1) - (1 << 63))
                 order = np.lexsort((shingles, sent.value[(shingles % np.uint64(COUNTERS)).astype(np.int64)]))
                 keys.append(shingles[order[: threshold.prefix(len(shingles))]].view(np.int64))
-                vec.append(np.bincount((shingles >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                counted = np.bincount((shingles >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS)
+                vec.append(counted.astype("u1" if counted.max() < 256 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(vec, pa.binary())],
                 names=["doc_id", "n", "hi", "lo", "keys", "vec"],
@@ -179,18 +180,22 @@ class Tree:
 
 
 def best_pairs(node: np.ndarray, n: np.ndarray, vec: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Of each point the pairs with its BEST neighbours by bound among those of smaller id."""
+    """Of each point the pairs with its BEST neighbours by bound among those of smaller id.
+
+    Every point that has any neighbour also comes paired with itself.
+    """
     found = [(q, p, b) for q, p, b in Tree(n, vec).near(n, vec, threshold)]
     if not found:
         return np.zeros((0, 2), np.int64)
     q, p, bound = map(np.concatenate, zip(*found))
     keep = node[p] < node[q]
     q, p, bound = q[keep], p[keep], bound[keep] / (n[q[keep]] + n[p[keep]])
+    some = np.unique(np.concatenate([node[p], node[q]]))
     order = np.lexsort((node[p], -bound, q))
     q, p = q[order], p[order]
     first = np.searchsorted(q, q)
     keep = np.arange(len(q)) - first < BEST
-    return np.stack([node[p[keep]], node[q[keep]]], 1)
+    return np.concatenate([np.stack([node[p[keep]], node[q[keep]]], 1), np.stack([some, some], 1)])
 
 
 def all_pairs(node: np.ndarray, n: np.ndarray, vec: np.ndarray, part: np.ndarray, side: np.ndarray, threshold: Threshold) -> np.ndarray:
@@ -210,7 +215,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray
 
     def groups(table: pa.Table, last: bool):
         columns = {name: table.column(name).to_numpy() for name in table.column_names if name != "vec"}
-        vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        packed = table.column("vec").to_pylist()
+        if all(len(v) == GROUPS for v in packed):
+            vec = np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS).astype(np.int64)
+        else:
+            vec = np.stack([np.frombuffer(v, "u1" if len(v) == GROUPS else "<u4") for v in packed]).astype(np.int64)
         keys = list(columns.values())[:3]
         change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         edges = [0, *change.tolist(), len(vec)]
@@ -245,6 +254,16 @@ def _pairs(rows: DataFrame, find) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sets(size: int):
+    def run(batches):
+        own = Shingler(size)
+        for batch in batches:
+            found = [own.of(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     """The pairs whose sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
@@ -263,36 +282,37 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
     an id are linked with nothing and have no component. Other columns are not read, so their
     names may clash.
     """
+    spark = docs.sparkSession
     known = written(points(docs, size, threshold, counters(docs, size, text_col), id_col, text_col), "points")
+    own = written(known.select("doc_id", "n", "hi", "lo"), "own")
     filled = known.filter("n > 0 and doc_id is not null")
     node_of = written(filled.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "nodes")
-    nodes = written(
-        filled.join(node_of.select("hi", "lo", F.col("node").alias("doc_id")), ["hi", "lo", "doc_id"])
-        .select(F.col("doc_id").alias("node"), "n", "keys", "vec", "hi", "lo")
-        .dropDuplicates(["node", "hi", "lo"])
-        .drop("hi", "lo"),
-        "points",
-    )
+    chosen = filled.join(node_of.withColumnRenamed("node", "doc_id"), ["hi", "lo", "doc_id"]).distinct()
+    nodes = written(chosen.withColumnRenamed("doc_id", "node"), "points")
+    drop_written(spark, known)
+    release(spark)
+
     postings = nodes.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("rows")).filter("x < y")
     met = written(postings.join(shared.select("key", "rows"), "key"), "postings")
     flat = nodes.select("node", "n", "vec")
-
-    candidates = met.select("node").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-
-    def sets_of(batches):
-        own = Shingler(size)
-        for batch in batches:
-            found = [own.of(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    sets = written(texts.join(candidates, "node", "left_semi").mapInArrow(sets_of, "node long, shingles array<long>").filter(F.size("shingles") > 0), "sets")
+    release(spark)
 
     chunks = F.expr(f"cast((rows + {CHUNK_ROWS - 1}) div {CHUNK_ROWS} as int)")
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     dealt = met.select("key", chunk.alias("ci"), F.lit(0).alias("cj"), "node").join(flat, "node").select("key", "ci", "cj", "node", "n", "vec")
-    tried = written(_pairs(dealt, lambda g: best_pairs(g["node"], g["n"], g["vec"], threshold)), "pairs")
+    near = written(_pairs(dealt, lambda g: best_pairs(g["node"], g["n"], g["vec"], threshold)), "pairs")
+    release(spark)
+
+    # whatever the second round may verify is here or under a shingle of several chunks
+    paired = near.select(F.explode(F.array("a", "b")).alias("node")).union(met.filter(chunks > 1).select("node")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    form = "node long, shingles array<long>"
+    found = texts.join(paired, "node", "left_semi").mapInArrow(_sets(size), form).filter(F.size("shingles") > 0)
+    sets = written(found, "sets")
+    release(spark)
+
+    tried = near.filter("a < b")
     links = written(_verified(tried, sets, threshold), "links")
     part = components(links)
 
@@ -310,6 +330,6 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
     more = _verified(written(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, threshold)
     linked = components(more.union(part.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-    own = known.select("doc_id", "n", "hi", "lo").join(node_of, ["hi", "lo"], "left").join(linked, "node", "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return own.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"))
+    reached = own.join(node_of, ["hi", "lo"], "left").join(linked, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    return reached.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
