@@ -12,8 +12,8 @@ landed batch. Table layout under ``lake_root``:
 ``run_all_feeds`` runs feeds one after another; a ValueError or AssertionError of one
 feed becomes a warning and the next feed still runs, anything else stops the run.
 
-Batch runs number their landing batches by the ``as_of`` second, the stream
-(``streaming.landing``) numbers micro-batches 0, 1, 2, ...; marks are read from
+Batch runs number their landing batches one after another, the stream
+(``streaming.landing``) takes its micro-batch numbers; marks are read from
 lower-numbered batches, so one set of run tables is written by one of the two only.
 """
 
@@ -23,8 +23,9 @@ import datetime as dt
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricslake.operators import changes, ingest
 from metricslake.schemas import CI_JOBS, CI_REPOSITORIES, CI_RUNS
@@ -34,6 +35,7 @@ from metricslake.streaming.landing import (
     BATCH_COL,
     REJECTS_TABLE,
     RETRY_TABLE,
+    next_batch_id,
     store_period_batch,
     store_run_batch,
 )
@@ -43,15 +45,51 @@ def _path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
+def _typed(value: Column, landed: T.DataType, wanted: T.DataType) -> Column:
+    """A landed value in the model's type; structs by field name, with their other fields after the model's."""
+    if not (isinstance(wanted, T.StructType) and isinstance(landed, T.StructType)):
+        return value.cast(wanted)
+    types = {f.name: f.dataType for f in landed}
+    known = [
+        (_typed(value[f.name], types[f.name], f.dataType) if f.name in types else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in wanted
+    ]
+    others = [value[n].alias(n) for n in types if n not in wanted.fieldNames()]
+    return F.when(value.isNotNull(), F.struct(*known, *others))
+
+
+def typed_records(landed: DataFrame, schema: T.StructType) -> DataFrame:
+    """Landed records with every field they have: the model's columns first, in their types
+    (null where a record lacks one), then the others as they are."""
+    types = {f.name: f.dataType for f in landed.schema}
+    known = [
+        (_typed(F.col(f.name), types[f.name], f.dataType) if f.name in types else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema
+    ]
+    return landed.select(*known, *[c for c in landed.columns if c not in schema.fieldNames()])
+
+
+def _same_columns(batch: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both frames with the columns of either, null where one lacks a column."""
+    for f in batch.schema:
+        if f.name not in target.columns:
+            target = target.withColumn(f.name, F.lit(None).cast(f.dataType))
+    for f in target.schema:
+        if f.name not in batch.columns:
+            batch = batch.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return batch, target
+
+
 def _upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], name: str) -> int:
     """Create the table from the first batch, later merge only changed rows; returns the
     number of new or changed rows (0 writes nothing)."""
     lake.require_non_empty(spark, path, name)
     if not lake.is_table(spark, path):
         lake.create_table_as(spark, path, batch)
-        return spark.read.parquet(path).count()
-    target = spark.read.parquet(path)
-    changed = changes.changed_rows(batch, target).count()  # one small job
+        return lake.read_lake_table(spark, path).count()
+    batch, target = _same_columns(batch, lake.read_lake_table(spark, path))
+    touched = target.join(batch.select(*keys).distinct(), keys, "left_semi").select(*target.columns)
+    changed = changes.changed_rows(batch, touched).count()  # compares rows with a key of the batch only
     if changed:
         lake.replace_table(spark, path, changes.upsert_changed(target, batch, keys))
     return changed
@@ -61,7 +99,7 @@ def update_repositories(spark: SparkSession, lake_root: str, repos: DataFrame) -
     """Upsert the repository list on ``id``; an empty list is an error."""
     if repos.isEmpty():
         raise ValueError("no repositories landed")
-    batch = repos.select(*[F.col(f.name).cast(f.dataType) for f in CI_REPOSITORIES])
+    batch = typed_records(repos, CI_REPOSITORIES)
     return _upsert_table(spark, _path(lake_root, "ci_repositories"), batch, ["id"], "ci_repositories")
 
 
@@ -90,21 +128,21 @@ def update_runs(
 ) -> DataFrame:
     """Store one landed batch of runs of all repositories; returns repositories to retry.
 
-    The batch id defaults to the ``as_of`` second, so running the same batch twice
-    rewrites the same partitions.
+    Every batch gets the next id; hand in the id of an earlier batch to run that one again,
+    which rewrites its partitions. A repository to retry is landed again (reaching further back) and
+    stored by another call, under an id of its own.
     """
-    bid = int(as_of.replace(tzinfo=dt.timezone.utc).timestamp()) if batch_id is None else batch_id
     root = lake_root.rstrip("/")
-    store_run_batch(
-        spark, landed.select(*CI_RUNS.fieldNames()), bid,
-        f"{root}/ci_runs", f"{root}/ci_runs_marks", f"{root}/ci_runs_retry", as_of,
-    )
+    tables = [f"{root}/{t}" for t in ("ci_runs", "ci_runs_marks", "ci_runs_retry")]
+    bid = next_batch_id(spark, *tables) if batch_id is None else batch_id
+    store_run_batch(spark, typed_records(landed, CI_RUNS), bid, *tables, as_of)
     retry = lake.read_or_empty(spark, f"{root}/ci_runs_retry", RETRY_TABLE)
     return retry.where(F.col(BATCH_COL) == bid).drop(BATCH_COL)
 
 
 def stored_runs(spark: SparkSession, lake_root: str) -> DataFrame:
-    return lake.read_or_empty(spark, _path(lake_root, "ci_runs"), CI_RUNS).select(*CI_RUNS.fieldNames())
+    """Stored runs with every field they were landed with."""
+    return lake.read_or_empty(spark, _path(lake_root, "ci_runs"), CI_RUNS).drop(BATCH_COL)
 
 
 def jobs_to_fetch(
@@ -123,7 +161,7 @@ def jobs_to_fetch(
 def update_jobs(spark: SparkSession, lake_root: str, landed: DataFrame) -> None:
     """Append landed jobs (the first batch creates the table)."""
     path = _path(lake_root, "ci_jobs")
-    batch = landed.select(*[F.col(f.name).cast(f.dataType) for f in CI_JOBS])
+    batch = typed_records(landed, CI_JOBS)
     lake.require_non_empty(spark, path, "ci_jobs")
     if lake.is_table(spark, path):
         lake.append_records(spark, path, batch)

@@ -48,8 +48,26 @@ def total_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+def _siblings(spark: SparkSession, path: str, mark: str) -> list[str]:
+    """Directories that a replacement of ``path`` has put beside it."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}.__{mark}_*")
+    return sorted(str(s.getPath()) for s in fs.globStatus(p) or ())
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a replacement that stopped after the old table was moved away: the new one
+    had been written whole by then. Without a finished new one the old one comes back."""
+    if exists(spark, path):
+        return
+    done = [n for n in _siblings(spark, path, "new") if exists(spark, f"{n}/_SUCCESS")]
+    old = _siblings(spark, path, "old")
+    if old:
+        rename(spark, (done or old)[-1], path)
+
+
 def is_table(spark: SparkSession, path: str) -> bool:
     """A table exists once its directory exists (it may hold no data file yet)."""
+    recover(spark, path)
     return exists(spark, path)
 
 
@@ -57,6 +75,7 @@ def is_table(spark: SparkSession, path: str) -> bool:
 
 
 def read_lake_table(spark: SparkSession, path: str) -> DataFrame:
+    recover(spark, path)
     return spark.read.parquet(path)
 
 
@@ -86,7 +105,7 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | Non
 def require_non_empty(spark: SparkSession, path: str, name: str | None = None) -> None:
     """A table that exists must hold rows (an empty one means a broken earlier run)."""
     if is_table(spark, path) and spark.read.parquet(path).isEmpty():
-        raise ValueError(f"invalid state - table {name or path} should not be empty")
+        raise ValueError(f"{name or path} exists without rows: an earlier run broke off")
 
 
 # ---- writing -----------------------------------------------------------------------
@@ -134,15 +153,17 @@ def append_records(spark: SparkSession, path: str, df: DataFrame) -> None:
     ).parquet(path)
 
 
-def replace_table(spark: SparkSession, path: str, df: DataFrame) -> None:
+def replace_table(spark: SparkSession, path: str, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
     """Write ``df`` to a new directory, then swap it in for ``path``.
 
     ``df`` may read ``path`` itself (upsert, compaction): it is fully written before
-    the old directory is moved away.
+    the old directory is moved away. If the run stops between the two renames, the next
+    look at the table (:func:`recover`) moves the new directory in.
     """
+    recover(spark, path)
     tag = uuid.uuid4().hex[:12]
     fresh, old = f"{path.rstrip('/')}.__new_{tag}", f"{path.rstrip('/')}.__old_{tag}"
-    df.write.mode("errorifexists").parquet(fresh)
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(fresh)
     if exists(spark, path):
         rename(spark, path, old)
     rename(spark, fresh, path)
@@ -186,15 +207,37 @@ def materialize_derived(
     return status
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns that a table's directories are named by (``column=value``), outermost first."""
+    columns: list[str] = []
+    while True:
+        fs, p = _fs(spark, "/".join([path.rstrip("/"), *["*"] * len(columns), "*=*"]))
+        found = fs.globStatus(p) or ()
+        name = next((s.getPath().getName().split("=")[0] for s in found if s.isDirectory()), None)
+        if name is None:
+            return columns
+        columns.append(name)
+
+
 def compact_table(
-    spark: SparkSession, path: str, target_file_bytes: int = 128 * 1024 * 1024
+    spark: SparkSession, path: str, target_file_bytes: int = 128 * 1024 * 1024, order_by: Iterable[str] = ()
 ) -> int:
-    """Rewrite a table into files of about ``target_file_bytes``; returns the file count.
+    """Rewrite a table into files of about ``target_file_bytes``; returns the intended file count.
 
-    The file count comes from the table's size on storage; the rows are spread by a
-    round-robin repartition (no key, so no skew) and the new directory is swapped in.
+    The file count comes from the table's size on storage. Partition columns stay: rows are
+    brought together by them, and Spark splits a large partition over several tasks. A
+    table with a declared order is range-partitioned and sorted by it, so its files keep
+    tight statistics; any other is dealt round-robin (no key, so no skew).
     """
+    recover(spark, path)
     n_files = max(1, math.ceil(total_bytes(spark, path) / target_file_bytes))
-    df = spark.read.parquet(path)
-    replace_table(spark, path, df.repartition(n_files))
+    df, parts, order = spark.read.parquet(path), partition_columns(spark, path), list(order_by)
+    if parts:
+        dealt = df.hint("rebalance", *parts)
+        dealt = dealt.sortWithinPartitions(*parts, *order) if order else dealt
+    elif order:
+        dealt = df.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
+    else:
+        dealt = df.repartition(n_files)
+    replace_table(spark, path, dealt, parts)
     return n_files

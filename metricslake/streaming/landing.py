@@ -65,6 +65,27 @@ def marks_before_batch(spark: SparkSession, marks_path: str, batch_id: int) -> D
     )
 
 
+def next_batch_id(spark: SparkSession, *table_paths: str) -> int:
+    """One more than the largest batch id in any of the tables (0 for none)."""
+    empty = T.StructType([T.StructField(BATCH_COL, T.LongType())])
+    largest = [
+        lake.read_or_empty(spark, path, empty).agg(F.max(BATCH_COL).cast("long")).first()[0] for path in table_paths
+    ]
+    return max((b + 1 for b in largest if b is not None), default=0)
+
+
+BATCH_TIMES = T.StructType([T.StructField("as_of", T.TimestampNTZType()), T.StructField(BATCH_COL, T.LongType())])
+
+
+def batch_time(spark: SparkSession, path: str, batch_id: int, now: dt.datetime) -> dt.datetime:
+    """The time a batch counts from: ``now`` when it is first tried, the stored time in a replay."""
+    stored = lake.read_or_empty(spark, path, BATCH_TIMES).where(F.col(BATCH_COL) == batch_id).select("as_of").first()
+    if stored is not None:
+        return stored[0]
+    _write_partitions(spark.createDataFrame([(now, batch_id)], BATCH_TIMES), path, [BATCH_COL])
+    return now
+
+
 def store_run_batch(
     spark: SparkSession,
     batch: DataFrame,
@@ -75,9 +96,10 @@ def store_run_batch(
     as_of: dt.datetime,
     stale_hours: int | None = ingest.STALE_HOURS,
 ) -> None:
-    """One micro-batch of landed runs (all repositories at once)."""
+    """One micro-batch of landed runs (all repositories at once); of a run that several
+    landings hold, the newest copy counts."""
     marks = marks_before_batch(spark, marks_path, batch_id)
-    gate = ingest.contiguity_gate(batch, marks)
+    gate = ingest.contiguity_gate(ingest.newest_copies(batch), marks)
     kept = ingest.completed_prefix(gate.accepted, marks, as_of, stale_hours)
     commit_runs_and_mark(kept, batch_id, runs_path, marks_path)
     tag = F.lit(batch_id).cast("long").alias(BATCH_COL)
@@ -107,15 +129,20 @@ def landing_stream(
     checkpoint: str | None = None,
     available_now: bool = True,
     processing_time: str | None = None,
+    schema: T.StructType = CI_RUNS,
 ) -> StreamingQuery:
-    """Continuously store landed CI runs; returns the started query."""
+    """Continuously store landed CI runs; returns the started query.
+
+    ``schema`` names the fields of the landed records that are stored (the model's columns
+    among them). The time of a batch is stored with its id, so a replay uses the same one.
+    """
     root = lake_root.rstrip("/")
     runs_path, marks_path, retry_path = f"{root}/ci_runs", f"{root}/ci_runs_marks", f"{root}/ci_runs_retry"
     checkpoint = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing_stream"
-    source = spark.readStream.schema(CI_RUNS).option("multiLine", True).json(landing_dir)
+    source = spark.readStream.schema(schema).option("multiLine", True).json(landing_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        now = as_of() if callable(as_of) else as_of
+        now = batch_time(spark, f"{root}/ci_runs_batches", batch_id, as_of() if callable(as_of) else as_of)
         store_run_batch(spark, batch, batch_id, runs_path, marks_path, retry_path, now)
 
     writer = source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

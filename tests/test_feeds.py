@@ -82,3 +82,24 @@ def test_download_feed_and_runner(spark, tmp_path):
     assert calls == [1] and problems == ["feed 'bad' failed: boom"]
     with pytest.raises(RuntimeError):
         feeds.run_all_feeds([("fatal", lambda: (_ for _ in ()).throw(RuntimeError("x")))])
+
+
+def test_every_landed_field_is_stored_and_landings_do_not_collide(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    repos = [{"id": 1, "full_name": "org/r1", "private": False, "stars": 3}]
+    feeds.update_repositories(spark, root, _json(spark, tmp_path, "r", repos))
+    more = [{"id": 1, "full_name": "org/r1", "private": False, "topics": "x"}]
+    feeds.update_repositories(spark, root, _json(spark, tmp_path, "r2", more))
+    assert [(r.stars, r.topics) for r in spark.read.parquet(f"{root}/ci_repositories").collect()] == [(None, "x")]
+
+    # two landings with one as_of: the second, an overlapping one, adds to the first
+    first = [{**_run(i, 1), "actor": "a"} for i in (1, 2)]
+    feeds.update_runs(spark, root, _json(spark, tmp_path, "a", first), NOW)
+    feeds.update_runs(spark, root, _json(spark, tmp_path, "b", [{**_run(i, 1), "actor": "b"} for i in (2, 3)]), NOW)
+    stored = {r.id: r.actor for r in feeds.stored_runs(spark, root).collect()}
+    assert stored == {1: "a", 2: "a", 3: "b"}
+    # a rejected repository is landed again, reaching back, in the same run
+    retry = feeds.update_runs(spark, root, _json(spark, tmp_path, "c", [{**_run(6, 1), "actor": "c"}]), NOW)
+    assert [r.repository_id for r in retry.collect()] == [1]
+    feeds.update_runs(spark, root, _json(spark, tmp_path, "d", [{**_run(i, 1), "actor": "d"} for i in (3, 4, 6)]), NOW)
+    assert sorted(r.id for r in feeds.stored_runs(spark, root).collect()) == [1, 2, 3, 4, 6]

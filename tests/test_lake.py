@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from metricslake.schemas import CI_RUNS, EXTENSION_DOWNLOADS
 from metricslake.sources import lake
@@ -81,3 +82,57 @@ def test_read_json_records(spark, tmp_path):
     assert typed.where("id = 5").first().repository.full_name == "o/r"
     sniffed = lake.read_json_records(spark, str(p))
     assert "extra" in sniffed.columns
+
+
+def test_replacement_that_stopped_between_its_renames(spark, tmp_path):
+    p = str(tmp_path / "t")
+    spark.range(3).write.parquet(p)
+    spark.range(7).write.parquet(p + ".__new_x")
+    lake.rename(spark, p, p + ".__old_x")  # the run stops here
+    assert lake.is_table(spark, p) and lake.read_lake_table(spark, p).count() == 7
+    lake.delete(spark, p + ".__old_x")
+    # an unfinished new directory: the old table comes back
+    q = str(tmp_path / "q")
+    spark.range(3).write.parquet(q + ".__old_y")
+    (tmp_path / "q.__new_y").mkdir()
+    assert lake.read_or_empty(spark, q, EXTENSION_DOWNLOADS).count() == 3
+    assert not lake.is_table(spark, str(tmp_path / "none"))
+
+
+def test_compaction_keeps_partitions_and_order(spark, tmp_path):
+    p = str(tmp_path / "parts")
+    df = spark.range(300).selectExpr("id", "id % 3 as a", "cast(id % 2 as string) as b")
+    for _ in range(2):
+        df.repartition(4).write.mode("append").partitionBy("a", "b").parquet(p)
+    assert lake.partition_columns(spark, p) == ["a", "b"]
+    lake.compact_table(spark, p)
+    files = list((tmp_path / "parts").glob("a=*/b=*/*.parquet"))
+    assert len(files) == 6 and not list((tmp_path / "parts").glob("*.parquet"))
+    spark.range(5).selectExpr("id", "9L as a", "'9' as b").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("a", "b").parquet(p)
+    assert spark.read.parquet(p).count() == 605
+    q = str(tmp_path / "ordered")
+    spark.range(1000).selectExpr("id * 7 % 1000 as ts").repartition(8).write.parquet(q)
+    lake.compact_table(spark, q, target_file_bytes=2000, order_by=["ts"])
+    by_file = spark.read.parquet(q).groupBy(F.input_file_name()).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    spans = sorted((r.lo, r.hi) for r in by_file.collect())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_sources_by_specification(spark, tmp_path):
+    from metricslake.sources.source_sets import generate_sources, specs_from_records
+
+    lake_root, out = str(tmp_path / "lake"), str(tmp_path / "out")
+    spark.range(4).write.parquet(f"{lake_root}/runs")
+    specs = specs_from_records([
+        {"name": "ci", "tables": ["runs", "jobs"], "derived": ["evens", "nothing"]},
+        {"name": "other", "tables": ["runs"]},
+    ])
+    definitions = {"evens": lambda s, root: s.read.parquet(f"{root}/runs").where("id % 2 = 0")}
+    status = generate_sources(spark, specs, lake_root, out, definitions)
+    assert status["ci"] == {"runs": "copied", "jobs": "missing", "evens": "materialized", "nothing": "undefined"}
+    assert spark.read.parquet(f"{out}/ci/evens").count() == 2 and spark.read.parquet(f"{out}/other/runs").count() == 4
+    assert list(generate_sources(spark, specs, lake_root, out, definitions, only=["other"])) == ["other"]
+    with pytest.raises(ValueError):
+        generate_sources(spark, specs, lake_root, out, definitions, only=["unknown"])

@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from metricslake.schemas import CI_RUNS
-from metricslake.streaming.landing import landing_stream, late_period_load, store_run_batch
+from metricslake.streaming.landing import batch_time, landing_stream, late_period_load, store_run_batch
 
 NOW = dt.datetime(2024, 6, 10, 12, 0)
 
@@ -68,3 +68,20 @@ def test_late_period_load(spark, tmp_path):
     got = sorted((r.repository, r.week, r.extension_name, r.downloads) for r in spark.read.parquet(table).collect())
     assert got == [("community", 1, "c", 3), ("core", 1, "a", 1), ("core", 1, "b", 2), ("core", 2, "a", 4)]
     assert spark.read.parquet(table + "_rejects").count() == 1
+
+
+def test_overlapping_files_in_one_micro_batch(spark, tmp_path):
+    landing, lake_root = tmp_path / "landing", tmp_path / "lake"
+    landing.mkdir()
+    # an older, unfinished copy of run 3 neither doubles a run nor holds back run 4
+    (landing / "b1.json").write_text(json.dumps([_run(1), _run(2), _run(3, "in_progress", hours_ago=10)]))
+    (landing / "b2.json").write_text(json.dumps([_run(2), _run(3, hours_ago=2), _run(4, hours_ago=2)]))
+    _drain(landing_stream(spark, str(landing), str(lake_root), NOW, checkpoint=str(tmp_path / "ckpt")))
+    assert sorted(r.id for r in spark.read.parquet(f"{lake_root}/ci_runs").collect()) == [1, 2, 3, 4]
+
+
+def test_replay_keeps_the_time_of_its_batch(spark, tmp_path):
+    path = str(tmp_path / "times")
+    assert batch_time(spark, path, 4, NOW) == NOW
+    assert batch_time(spark, path, 4, NOW + dt.timedelta(days=9)) == NOW
+    assert batch_time(spark, path, 5, NOW + dt.timedelta(days=9)) == NOW + dt.timedelta(days=9)
