@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from metricslake import ingest_queries, oracle_derived, oracle_reports
+from metricslake import ingest_queries, lake_queries, oracle_derived, oracle_reports
 from metricslake.operators import derived
 from metricslake.plans import benchmark_reports as br
 from metricslake.plans import ci_reports as cr
@@ -193,10 +193,13 @@ QUERIES: dict[str, Query] = {
     **_download_queries(DOWNLOADS_CORE, "_core"),
     # ingestion operators (relational core)
     **ingest_queries.QUERIES,
+    # tables written and read back
+    **lake_queries.QUERIES,
 }
 
 ORACLES: dict[str, str] = {
     **oracle_derived.ORACLES,
     **oracle_reports.ORACLES,
     **ingest_queries.ORACLES,
+    **lake_queries.ORACLES,
 }
