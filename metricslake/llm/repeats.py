@@ -116,47 +116,73 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs that meet others, with their bytes, from documents and the runs to take from them."""
     for batch in batches:
-        out = {"key": [], "chunk": [], "several": [], "doc": [], "start": [], "data": []}
-        for doc, text, met in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("met").to_pylist()):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            for run in met:
-                start, more = divmod(run["place"], RUN)
-                if start + more + LENGTH <= len(data):
-                    chunks = -(-run["rows"] // CHUNK_RUNS)
-                    out["key"].append(run["key"])
-                    out["chunk"].append(xxhash.xxh32_intdigest(doc.to_bytes(8, "little", signed=True)) % chunks)
-                    out["several"].append(chunks > 1)
-                    out["doc"].append(doc)
-                    out["start"].append(start)
-                    out["data"].append(data[start : start + more + LENGTH])
-            if len(out["key"]) >= BATCH_RUNS:
-                yield pa.RecordBatch.from_pydict(out, WITH_BYTES)
-                out = {k: [] for k in out}
-        yield pa.RecordBatch.from_pydict(out, WITH_BYTES)
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        met = batch.column("met")
+        number = np.diff(met.offsets.to_numpy())
+        key, place, rows = (met.flatten().field(k).to_numpy() for k in range(3))
+        start, end = place // RUN, place // RUN + place % RUN + LENGTH
+        doc = np.repeat(batch.column("doc").to_numpy(), number)
+        size = np.repeat(np.fromiter(map(len, texts), np.int64, len(texts)), number)
+        chunks = -(-rows // CHUNK_RUNS)
+        chunk = np.where(chunks > 1, (doc * np.int64(0x5851F42D4C957F2D) >> np.int64(33)) % chunks, 0)
+        fits = end <= size  # rows that share an id may differ in text
+        edges = np.concatenate([[0], np.cumsum(number)])
+        data = [t[a:b] for k, t in enumerate(texts) for a, b in zip(start[edges[k] : edges[k + 1]].tolist(), end[edges[k] : edges[k + 1]].tolist())]
+        columns = [pa.array(key), pa.array(chunk, pa.int32()), pa.array(chunks > 1), pa.array(doc), pa.array(start), pa.array(data, pa.binary())]
+        out = pa.RecordBatch.from_arrays(columns, schema=WITH_BYTES).filter(pa.array(fits))
+        for begin in range(0, out.num_rows, 4 * BATCH_RUNS):
+            yield out.slice(begin, 4 * BATCH_RUNS)
 
 
 WITH_BYTES = pa.schema([("key", pa.int64()), ("chunk", pa.int32()), ("several", pa.bool_()), ("doc", pa.int64()), ("start", pa.int64()), ("data", pa.binary())])
 
 
+def string_hashes(joined: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes that start at each place, by doubling."""
+    h, size, power = CODES[joined], 1, 0x9E3779B97F4A7C15
+    out, done, left = None, 0, LENGTH
+    while True:
+        if left & 1:  # LENGTH as a sum of powers of two
+            n = len(joined) - LENGTH + 1
+            part = h[done : done + n]
+            out = part if out is None else out * np.uint64(power) + part
+            done += size
+        left >>= 1
+        if not left:
+            return out
+        h = h[:-size] * np.uint64(power) + h[size:]
+        power, size = power * power % 2**64, 2 * size
+
+
 def factors(data: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All strings of LENGTH bytes of some runs, which are in text order: for each its run, its
-    offset there, and whether an equal string starts earlier (a longest previous factor of LENGTH)."""
+    offset there, and whether an equal string starts earlier (a longest previous factor of LENGTH).
+
+    Strings whose hash is alone have no equal and stay out of the suffix order.
+    """
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     strings = sizes - LENGTH + 1
     run = np.repeat(np.arange(len(data)), strings)
     within = np.arange(len(run)) - np.repeat(np.cumsum(strings) - strings, strings)
     joined = np.frombuffer(b"".join(data), np.uint8)
     place = np.repeat(np.cumsum(sizes) - sizes, strings) + within
-    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, LENGTH)[place])
-    order = np.argsort(suffix.view(f"V{LENGTH}").ravel(), kind="stable")
-    ranked = suffix[order].view(np.uint32)
-    first = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(1)])
-    # the first of equal strings; a repeated row starts at the same place, not earlier
-    head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    at_doc, at_start = doc[run], start[run] + within
-    later = (at_doc[order] != at_doc[head]) | (at_start[order] != at_start[head])
+    code = string_hashes(joined)[place]
+    ranked = np.sort(code)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    at = np.searchsorted(twice, code)
+    at[at == len(twice)] = 0
+    some = np.flatnonzero(twice[at] == code) if len(twice) else np.zeros(0, np.int64)
     repeated = np.zeros(len(run), bool)
-    repeated[order] = later
+    if len(some):
+        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, LENGTH)[place[some]])
+        order = np.argsort(suffix.view(f"V{LENGTH}").ravel(), kind="stable")
+        suffix = suffix[order].view(np.uint32)
+        first = np.concatenate([[True], (suffix[1:] != suffix[:-1]).any(1)])
+        # the first of equal strings; a repeated row starts at the same place, not earlier
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        at_doc, at_start = doc[run[some]], (start[run] + within)[some]
+        later = (at_doc[order] != at_doc[head]) | (at_start[order] != at_start[head])
+        repeated[some[order]] = later
     return run, within, repeated
 
 
@@ -169,19 +195,28 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def of(table: pa.Table) -> pa.RecordBatch:
         table = table.sort_by([("doc", "ascending"), ("start", "ascending")])
         data = table.column("data").to_pylist()
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
         doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
         several = table.column("several").to_numpy(zero_copy_only=False)
+        # of runs with equal bytes the first stands for all: every string of the others starts earlier there
+        own: dict[bytes, int] = {}
+        of_run = np.fromiter((own.setdefault(d, k) for k, d in enumerate(data)), np.int64, len(data))
+        again = (doc != doc[of_run]) | (start != start[of_run])
+        whole = np.flatnonzero(again)
+        alone = np.flatnonzero(of_run == np.arange(len(data)))
+        data, doc_all, start_all = [data[k] for k in alone.tolist()], doc, start
+        doc, start, several = doc[alone], start[alone], several[alone]
         run, within, repeated = factors(data, doc, start)
         hit = np.flatnonzero(repeated)
         edge = np.concatenate([[True], (run[hit[1:]] != run[hit[:-1]]) | (within[hit[1:]] != within[hit[:-1]] + 1)]) if len(hit) else np.zeros(0, bool)
         begin, end = hit[edge], hit[np.append(np.flatnonzero(edge)[1:], len(hit)) - 1] if len(hit) else hit
         unsure = np.flatnonzero(several[run] & ~repeated)
         code = [xxhash.xxh128_intdigest(data[run[u]][within[u] : within[u] + LENGTH]) for u in unsure]
-        none = [None] * len(begin)
+        none = [None] * (len(whole) + len(begin))
         columns = [
-            np.concatenate([doc[run[begin]], doc[run[unsure]]]),
-            np.concatenate([start[run[begin]] + within[begin], start[run[unsure]] + within[unsure]]),
-            np.concatenate([start[run[end]] + within[end], start[run[unsure]] + within[unsure]]) + LENGTH,
+            np.concatenate([doc_all[whole], doc[run[begin]], doc[run[unsure]]]),
+            np.concatenate([start_all[whole], start[run[begin]] + within[begin], start[run[unsure]] + within[unsure]]),
+            np.concatenate([(start_all + sizes)[whole], start[run[end]] + within[end] + LENGTH, start[run[unsure]] + within[unsure] + LENGTH]),
             none + [(c >> 64) - 2**63 for c in code],
             none + [(c & 2**64 - 1) - 2**63 for c in code],
         ]
@@ -217,8 +252,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     release(spark)
 
     form = "key long, chunk int, several boolean, doc long, start long, data binary"
-    dealt = own.join(met, "doc").mapInArrow(_with_bytes, form).repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    # written next to each other in a document, overlapping bytes take little room
+    taken = written(own.join(met, "doc").mapInArrow(_with_bytes, form), "bytes")
+    drop_written(spark, met)
+    release(spark)
+    dealt = taken.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
     found = written(dealt.mapInArrow(_found, "doc long, `from` long, `to` long, hi long, lo long"), "found")
+    drop_written(spark, taken)
     del dealt
     release(spark)
 
