@@ -244,10 +244,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text"))
     known = written(own.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, "doc long, keys array<long>, places array<long>"), "runs")
-    counts = known.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    counts = known.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
+    counts = written(counts.filter("rows > 1"), "counts")
+    release(spark)
     each = known.select("doc", F.explode(F.arrays_zip("keys", "places")).alias("run")).select("doc", F.col("run.keys").alias("key"), F.col("run.places").alias("place"))
     met = written(each.join(counts, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "place", "rows")).alias("met")), "met")
-    drop_written(spark, known)
+    drop_written(spark, known, counts)
     del known, counts, each
     release(spark)
 
