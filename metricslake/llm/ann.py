@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricslake.llm import tiles
+from metricslake.llm.common import thinned
 
 #: Rows of the sample that the codes and the radius are learned from (a bound).
 SAMPLE_ROWS = 6000
@@ -111,10 +112,9 @@ class MultiIndex:
 def fit(table: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> dict[int, Codes]:
     """Codes for each dimension from at most SAMPLE_ROWS of its rows, drawn by a hash of id and vector."""
     rows = usable(table, id_col, vec_col).select("vec", F.size("vec").alias("dim"), F.xxhash64("id", "vec").alias("pick"))
+    near = thinned(rows, "dim", "pick", SAMPLE_ROWS).dropDuplicates(["pick"])
     by = Window.partitionBy("dim").orderBy("pick")
-    cut = rows.select("dim", "pick").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= SAMPLE_ROWS)
-    cut = cut.groupBy("dim").agg(F.max("pick").alias("cut"))  # a row for each dimension
-    near = rows.join(F.broadcast(cut), "dim").filter(F.col("pick") <= F.col("cut")).dropDuplicates(["pick"])
+    near = near.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= SAMPLE_ROWS)
     sample: dict[int, list] = {}
     for r in near.select("dim", "vec").orderBy("dim", "pick").collect():
         sample.setdefault(r["dim"], []).append(r["vec"])

@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most this many rows (whole texts stay small in memory).
 BATCH_ROWS = 2000
@@ -75,6 +76,18 @@ def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def thinned(rows: DataFrame, group: str, pick: str, wanted: int) -> DataFrame:
+    """About ``2 * wanted`` rows of each group (all of a smaller one), those with the smallest
+    ``pick``, a uniform hash: a bounded set to draw a sample of ``wanted`` rows from.
+
+    Groups are counted in a partial aggregate and rows are filtered where they are read, so
+    no group meets in one task. There is one count for each group to broadcast.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_rows"))
+    place = F.pmod(F.col(pick), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return rows.join(F.broadcast(counts), group).filter(place <= F.lit(2.0 * wanted) / F.col("_rows")).drop("_rows")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished plans now: it does so for plans
     that the driver's garbage collection finds unused, which may not run for a long time."""

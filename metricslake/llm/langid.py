@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricslake.llm.common import thinned
+
 #: Longest n-gram.
 ORDER = 4
 #: Bound of the training sample: rows and characters for each language.
@@ -247,10 +249,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.xxhash64(F.lit(7), F.col(id_col).cast("string")).alias("pick"),
         F.length(text_col).alias("size"),
     ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out(id_col))
-    by = Window.partitionBy("lang").orderBy("pick")
-    picked = rows.select("lang", "pick").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= SAMPLE_ROWS)
-    cut = picked.groupBy("lang").agg(F.max("pick").alias("cut"))  # a row for each language
-    near = rows.join(F.broadcast(cut), "lang").filter(F.col("pick") <= F.col("cut"))
+    near = thinned(rows, "lang", "pick", SAMPLE_ROWS)
     first = Window.partitionBy("lang").orderBy("pick", "size", "text")
     sample = (
         near.withColumn("n", F.row_number().over(first))
