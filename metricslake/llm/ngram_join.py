@@ -160,7 +160,7 @@ class Tree:
     """An R-tree over points, packed by size and the coordinates of greatest spread."""
 
     def __init__(self, n: np.ndarray, vec: np.ndarray):
-        spread = np.argsort(-vec.var(0), kind="stable")[:2]
+        spread = np.argsort(-vec.var(0, dtype=np.float64), kind="stable")[:2]
         self.order = np.lexsort((vec[:, spread[1]], vec[:, spread[0]], n))
         self.n, self.vec = n[self.order], vec[self.order]
         self.begins = np.arange(0, len(n), LEAF_ROWS)
@@ -179,76 +179,106 @@ class Tree:
                 yield queries[q], self.order[begin + p], overlap[q, p]
 
 
-def best_pairs(node: np.ndarray, n: np.ndarray, vec: np.ndarray, threshold: Threshold) -> np.ndarray:
+class Group(NamedTuple):
+    """Points that meet under shingles, sorted by group (a shingle and a pair of chunks)."""
+
+    group: np.ndarray  # number of the group of each point
+    node: np.ndarray
+    n: np.ndarray
+    vec: np.ndarray
+    part: np.ndarray | None  # component
+    side: np.ndarray | None  # of two chunks the first
+
+    def near(self, threshold: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a group that the bound lets pass: places of the smaller and the larger node, and
+        the bound. A group that fits one leaf of a tree is that leaf; all of them are
+        compared at once, by distance in the sorted order."""
+        found = []
+        sizes = np.bincount(self.group)
+        leaf = (sizes <= LEAF_ROWS)[self.group]
+        for step in range(1, LEAF_ROWS):
+            i = np.flatnonzero((self.group[step:] == self.group[:-step]) & leaf[step:])
+            if not len(i):
+                break
+            found.append(self._passing(i, i + step, threshold))
+        ends = np.cumsum(sizes)
+        for k in np.flatnonzero(sizes > LEAF_ROWS):
+            own = slice(ends[k] - sizes[k], ends[k])
+            for q, p, _ in Tree(self.n[own], self.vec[own]).near(self.n[own], self.vec[own], threshold):
+                keep = self.node[own][p] < self.node[own][q]
+                found.append(self._passing(own.start + p[keep], own.start + q[keep], threshold))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        i, j, bound = map(np.concatenate, zip(*found))
+        swap = self.node[i] > self.node[j]
+        return np.where(swap, j, i), np.where(swap, i, j), bound
+
+    def _passing(self, i: np.ndarray, j: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        overlap = np.minimum(self.vec[i], self.vec[j]).sum(1, dtype=np.int64)
+        sizes = self.n[i] + self.n[j]
+        keep = threshold.reached(overlap, sizes) & (self.node[i] != self.node[j])
+        return i[keep], j[keep], overlap[keep] / sizes[keep]
+
+
+def best_pairs(points: Group, threshold: Threshold) -> np.ndarray:
     """Of each point the pairs with its BEST neighbours by bound among those of smaller id.
 
     Every point that has any neighbour also comes paired with itself.
     """
-    found = [(q, p, b) for q, p, b in Tree(n, vec).near(n, vec, threshold)]
-    if not found:
-        return np.zeros((0, 2), np.int64)
-    q, p, bound = map(np.concatenate, zip(*found))
-    keep = node[p] < node[q]
-    q, p, bound = q[keep], p[keep], bound[keep] / (n[q[keep]] + n[p[keep]])
-    some = np.unique(np.concatenate([node[p], node[q]]))
-    order = np.lexsort((node[p], -bound, q))
-    q, p = q[order], p[order]
-    first = np.searchsorted(q, q)
-    keep = np.arange(len(q)) - first < BEST
-    return np.concatenate([np.stack([node[p[keep]], node[q[keep]]], 1), np.stack([some, some], 1)])
-
-
-def all_pairs(node: np.ndarray, n: np.ndarray, vec: np.ndarray, part: np.ndarray, side: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """The pairs that pass between different components; of two chunks only those across."""
-    found = []
-    for q, p, _ in Tree(n, vec).near(n, vec, threshold):
-        keep = (node[p] < node[q]) & (part[p] != part[q])
-        if side.any() and not side.all():
-            keep &= side[p] != side[q]
-        found.append(np.stack([node[p[keep]], node[q[keep]]], 1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Groups of rows with equal first three columns, from rows sorted by them."""
-    waiting: list[pa.RecordBatch] = []
-
-    def groups(table: pa.Table, last: bool):
-        columns = {name: table.column(name).to_numpy() for name in table.column_names if name != "vec"}
+    i, j, bound = points.near(threshold)
+    some = np.unique(np.concatenate([points.node[i], points.node[j]]))
+    order = np.lexsort((points.node[i], -bound, j))
+    i, j = i[order], j[order]
+    keep = np.arange(len(j)) - np.searchsorted(j, j) < BEST
+    return np.concatenate([np.stack([points.node[i[keep]], points.node[j[keep]]], 1), np.stack([some, some], 1)])
+
+
+def all_pairs(points: Group, threshold: Threshold) -> np.ndarray:
+    """The pairs that pass between different components; where two chunks meet only those across."""
+    i, j, _ = points.near(threshold)
+    firsts, sizes = np.bincount(points.group, points.side), np.bincount(points.group)
+    two = ((firsts > 0) & (firsts < sizes))[points.group[i]]
+    keep = (points.part[i] != points.part[j]) & (~two | (points.side[i] != points.side[j]))
+    return np.stack([points.node[i[keep]], points.node[j[keep]]], 1)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
+    """Whole groups of rows with equal key, ci and cj, from rows sorted by them."""
+
+    def groups(table: pa.Table) -> Group:
         packed = table.column("vec").to_pylist()
         if all(len(v) == GROUPS for v in packed):
-            vec = np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS).astype(np.int64)
+            vec = np.frombuffer(b"".join(packed), "u1").reshape(-1, GROUPS)
         else:
             vec = np.stack([np.frombuffer(v, "u1" if len(v) == GROUPS else "<u4") for v in packed]).astype(np.int64)
-        keys = list(columns.values())[:3]
-        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        edges = [0, *change.tolist(), len(vec)]
-        for a, b in zip(edges[:-1], edges[1:] if last else edges[1:-1]):
-            yield {k: v[a:b] for k, v in columns.items()} | {"vec": vec[a:b]}
-        return edges[-2]
-
-    rows = 0
+        column = lambda name: table.column(name).to_numpy() if name in table.column_names else None
+        return Group(np.cumsum(changes(table)) - 1, column("node"), column("n"), vec, column("part"), column("side"))
+
+    def changes(table: pa.Table) -> np.ndarray:
+        keys = [table.column(k).to_numpy() for k in ("key", "ci", "cj")]
+        return np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+
+    waiting, rows = [], 0
     for batch in batches:
         waiting.append(batch)
         rows += batch.num_rows
-        if rows >= 4 * CHUNK_ROWS:
+        if rows >= 16 * CHUNK_ROWS:
             table = pa.Table.from_batches(waiting)
-            rest = yield from groups(table, False)
-            waiting = table.slice(rest).to_batches()
-            rows = table.num_rows - rest
+            last = int(np.flatnonzero(changes(table))[-1])  # the last group may go on
+            if last:
+                yield groups(table.slice(0, last))
+            waiting, rows = table.slice(last).to_batches(), table.num_rows - last
     if rows:
-        yield from groups(pa.Table.from_batches(waiting), True)
+        yield groups(pa.Table.from_batches(waiting))
 
 
-def _pairs(rows: DataFrame, find) -> DataFrame:
+def _pairs(rows: DataFrame, find, threshold: Threshold) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` that ``find`` returns for the groups of (key, ci, cj)."""
 
     def run(batches):
         for group in _grouped(batches):
-            if len(group["vec"]) > 1:
-                found = find(group)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            found = np.unique(find(group, threshold), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -301,7 +331,7 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
     chunks = F.expr(f"cast((rows + {CHUNK_ROWS - 1}) div {CHUNK_ROWS} as int)")
     chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
     dealt = met.select("key", chunk.alias("ci"), F.lit(0).alias("cj"), "node").join(flat, "node").select("key", "ci", "cj", "node", "n", "vec")
-    near = written(_pairs(dealt, lambda g: best_pairs(g["node"], g["n"], g["vec"], threshold)), "pairs")
+    near = written(_pairs(dealt, best_pairs, threshold), "pairs")
     release(spark)
 
     # whatever the second round may verify is here or under a shingle of several chunks
@@ -326,7 +356,7 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
         .join(flat, "node")
         .select("key", "ci", "cj", "node", "n", "part", F.col("side").cast("int").alias("side"), "vec")
     )
-    rest = _pairs(crossed, lambda g: all_pairs(g["node"], g["n"], g["vec"], g["part"], g["side"], threshold))
+    rest = _pairs(crossed, all_pairs, threshold)
     more = _verified(written(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, threshold)
     linked = components(more.union(part.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
