@@ -53,7 +53,7 @@ def _frames(spark):
 
 def test_geomean_rows_and_values(spark):
     runs, qr, qm = _frames(spark)
-    rows = {r.run_id: r for r in derived.benchmark_geomean(runs, qr, qm).collect()}
+    rows = {int(r.run_id): r for r in derived.benchmark_geomean(runs, qr, qm).collect()}
     # test run 3 excluded; run 4 has no ok timing -> absent
     assert set(rows) == {1, 2, 5}
     r1 = rows[1]
@@ -76,7 +76,7 @@ def test_geomean_rows_and_values(spark):
 
 def test_query_times_keeps_failed_queries(spark):
     runs, qr, qm = _frames(spark)
-    rows = {(r.run_id, r.query): r for r in derived.benchmark_query_times(runs, qr, qm).collect()}
+    rows = {(int(r.run_id), r.query): r for r in derived.benchmark_query_times(runs, qr, qm).collect()}
     assert (3, 1) not in rows  # test run
     assert (4, 2) in rows and rows[(4, 2)].median_seconds is None
     # no status filter on the timing side: a failed query keeps its timing
@@ -91,5 +91,5 @@ def test_query_times_keeps_failed_queries(spark):
 
 def test_warm_run_mean_excludes_failed_and_test(spark):
     runs, qr, qm = _frames(spark)
-    got = {(r.run_id, r.query): r.seconds for r in derived.warm_run_mean(runs, qr, qm).collect()}
+    got = {(int(r.run_id), r.query): r.seconds for r in derived.warm_run_mean(runs, qr, qm).collect()}
     assert got == {(1, 1): 2.0, (1, 2): 4.0, (2, 1): 1e-9, (5, 1): 2.0}
