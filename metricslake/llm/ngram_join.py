@@ -183,41 +183,62 @@ class Group(NamedTuple):
     """Points that meet under shingles, sorted by group (a shingle and a pair of chunks)."""
 
     group: np.ndarray  # number of the group of each point
+    key: np.ndarray
     node: np.ndarray
     n: np.ndarray
     vec: np.ndarray
     part: np.ndarray | None  # component
     side: np.ndarray | None  # of two chunks the first
+    common: list | None  # the node's common shingles, under a common one
 
-    def near(self, threshold: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def near(self, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of a group that the bound lets pass: places of the smaller and the larger node, and
-        the bound. A group that fits one leaf of a tree is that leaf; all of them are
-        compared at once, by distance in the sorted order."""
-        found = []
+        the bound. Groups that fit one leaf of a tree are compared all at once, by distance
+        in the sorted order; each larger one has its own tree and comes by itself."""
         sizes = np.bincount(self.group)
         leaf = (sizes <= LEAF_ROWS)[self.group]
         for step in range(1, LEAF_ROWS):
             i = np.flatnonzero((self.group[step:] == self.group[:-step]) & leaf[step:])
             if not len(i):
                 break
-            found.append(self._passing(i, i + step, threshold))
+            overlap = np.minimum(self.vec[i], self.vec[i + step]).sum(1, dtype=np.int64)
+            total = self.n[i] + self.n[i + step]
+            keep = threshold.reached(overlap, total) & (self.node[i] != self.node[i + step])
+            i, j, bound = i[keep], i[keep] + step, overlap[keep] / total[keep]
+            swap = self.node[i] > self.node[j]
+            yield np.where(swap, j, i), np.where(swap, i, j), bound
         ends = np.cumsum(sizes)
         for k in np.flatnonzero(sizes > LEAF_ROWS):
-            own = slice(ends[k] - sizes[k], ends[k])
-            for q, p, _ in Tree(self.n[own], self.vec[own]).near(self.n[own], self.vec[own], threshold):
-                keep = self.node[own][p] < self.node[own][q]
-                found.append(self._passing(own.start + p[keep], own.start + q[keep], threshold))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        i, j, bound = map(np.concatenate, zip(*found))
-        swap = self.node[i] > self.node[j]
-        return np.where(swap, j, i), np.where(swap, i, j), bound
-
-    def _passing(self, i: np.ndarray, j: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        overlap = np.minimum(self.vec[i], self.vec[j]).sum(1, dtype=np.int64)
-        sizes = self.n[i] + self.n[j]
-        keep = threshold.reached(overlap, sizes) & (self.node[i] != self.node[j])
-        return i[keep], j[keep], overlap[keep] / sizes[keep]
+            begin = ends[k] - sizes[k]
+            own = slice(begin, ends[k])
+            found = []
+            for q, p, overlap in Tree(self.n[own], self.vec[own]).near(self.n[own], self.vec[own], threshold):
+                i, j = begin + p, begin + q
+                keep = self.node[i] < self.node[j]
+                i, j = i[keep], j[keep]
+                found.append((i, j, overlap[keep] / (self.n[i] + self.n[j])))
+            yield tuple(map(np.concatenate, zip(*found)))
+
+    def first_met(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a pair's group is that of the smallest common shingle the two share, so that a
+        pair that meets under many is looked at under one. Other shingles hold few points."""
+        if self.common is None or not len(i):
+            return np.ones(len(i), bool)
+        rows, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        lists = [self.common[r] if self.common[r] is not None else [] for r in rows.tolist()]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        if not sizes.any():
+            return np.ones(len(i), bool)
+        values = np.concatenate([np.asarray(x, np.int64) for x in lists])
+        columns = np.unique(values)
+        has = np.zeros((len(rows), len(columns)), bool)
+        has[np.repeat(np.arange(len(rows)), sizes), np.searchsorted(columns, values)] = True
+        bits = np.packbits(has, axis=1)
+        both = bits[place[: len(i)]] & bits[place[len(i) :]]
+        byte = (both != 0).argmax(1)
+        first = both[np.arange(len(i)), byte]
+        column = np.minimum(8 * byte + np.argmax(np.unpackbits(first[:, None], axis=1), axis=1), len(columns) - 1)
+        return (first == 0) | (columns[column] == self.key[i])
 
 
 def best_pairs(points: Group, threshold: Threshold) -> np.ndarray:
@@ -225,7 +246,19 @@ def best_pairs(points: Group, threshold: Threshold) -> np.ndarray:
 
     Every point that has any neighbour also comes paired with itself.
     """
-    i, j, bound = points.near(threshold)
+    out = [np.zeros((0, 2), np.int64)]
+    small = []
+    for i, j, bound in points.near(threshold):
+        if len(j) and np.bincount(points.group)[points.group[j[0]]] <= LEAF_ROWS:
+            small.append((i, j, bound))  # a small group comes in several steps
+        elif len(j):
+            out.append(_best(points, i, j, bound))
+    if small:
+        out.append(_best(points, *map(np.concatenate, zip(*small))))
+    return np.concatenate(out)
+
+
+def _best(points: Group, i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
     some = np.unique(np.concatenate([points.node[i], points.node[j]]))
     order = np.lexsort((points.node[i], -bound, j))
     i, j = i[order], j[order]
@@ -235,11 +268,15 @@ def best_pairs(points: Group, threshold: Threshold) -> np.ndarray:
 
 def all_pairs(points: Group, threshold: Threshold) -> np.ndarray:
     """The pairs that pass between different components; where two chunks meet only those across."""
-    i, j, _ = points.near(threshold)
     firsts, sizes = np.bincount(points.group, points.side), np.bincount(points.group)
-    two = ((firsts > 0) & (firsts < sizes))[points.group[i]]
-    keep = (points.part[i] != points.part[j]) & (~two | (points.side[i] != points.side[j]))
-    return np.stack([points.node[i[keep]], points.node[j[keep]]], 1)
+    two = (firsts > 0) & (firsts < sizes)
+    out = [np.zeros((0, 2), np.int64)]
+    for i, j, _ in points.near(threshold):
+        keep = (points.part[i] != points.part[j]) & (~two[points.group[i]] | (points.side[i] != points.side[j]))
+        i, j = i[keep], j[keep]
+        keep = points.first_met(i, j)
+        out.append(np.stack([points.node[i[keep]], points.node[j[keep]]], 1))
+    return np.concatenate(out)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
@@ -252,7 +289,9 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
         else:
             vec = np.stack([np.frombuffer(v, "u1" if len(v) == GROUPS else "<u4") for v in packed]).astype(np.int64)
         column = lambda name: table.column(name).to_numpy() if name in table.column_names else None
-        return Group(np.cumsum(changes(table)) - 1, column("node"), column("n"), vec, column("part"), column("side"))
+        common = table.column("common").to_pylist() if "common" in table.column_names else None
+        number = np.cumsum(changes(table)) - 1
+        return Group(number, column("key"), column("node"), column("n"), vec, column("part"), column("side"), common)
 
     def changes(table: pa.Table) -> np.ndarray:
         keys = [table.column(k).to_numpy() for k in ("key", "ci", "cj")]
@@ -262,7 +301,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
     for batch in batches:
         waiting.append(batch)
         rows += batch.num_rows
-        if rows >= 16 * CHUNK_ROWS:
+        if rows >= 8 * CHUNK_ROWS:
             table = pa.Table.from_batches(waiting)
             last = int(np.flatnonzero(changes(table))[-1])  # the last group may go on
             if last:
@@ -346,15 +385,17 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
     links = written(_verified(tried, sets, threshold), "links")
     part = components(links)
 
+    shared_by_many = F.col("rows") > LEAF_ROWS
+    common = met.filter(shared_by_many).groupBy("node").agg(F.collect_list("key").alias("common"))  # part of a prefix
     placed = met.join(part, "node", "left").select("key", "node", "rows", F.coalesce("component", "node").alias("part"))
     apart = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
     other = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
     crossed = (
         placed.join(apart, "key")
-        .select("key", "node", "part", chunk.alias("own"), other)
-        .select("key", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "node", "part", (F.col("own") <= F.col("other")).alias("side"))
-        .join(flat, "node")
-        .select("key", "ci", "cj", "node", "n", "part", F.col("side").cast("int").alias("side"), "vec")
+        .select("key", "node", "part", shared_by_many.alias("many"), chunk.alias("own"), other)
+        .select("key", "many", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "node", "part", (F.col("own") <= F.col("other")).alias("side"))
+        .join(flat.join(common, "node", "left"), "node")
+        .select("key", "ci", "cj", "node", "n", "part", F.col("side").cast("int").alias("side"), "vec", F.when(F.col("many"), F.col("common")).alias("common"))
     )
     rest = _pairs(crossed, all_pairs, threshold)
     more = _verified(written(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, threshold)
