@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import ann, bpe, exact_topk, langid, license_scan, mixing, ngram_join, pii, repeats, warc
+from metricslake.llm import ann, bpe, exact_topk, infill, langid, license_scan, mixing, ngram_join, pii, repeats, resample, warc
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -83,6 +83,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), word_bpe()))
 
 
+#: Share of the long enough documents to draw, seed of the draw.
+DRAW_SHARE, DRAW_SEED = (10, 100), 2024
+
+
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = resample.resample(docs, target, DRAW_SHARE, DRAW_SEED)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.restored(infill.rewritten(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_ann": op2_ann,
@@ -94,6 +108,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_repeats": op9_repeats,
     "op10_bpe": op10_bpe,
+    "op11_resample": op11_resample,
+    "op13_infill": op13_infill,
 }
 
 ORACLES = {
@@ -101,4 +117,6 @@ ORACLES = {
     "op5_topk": exact_topk.oracle(),
     "op6_license": license_scan.oracle(),
     "op8_warc": warc.oracle(),
+    "op11_resample": resample.oracle(DRAW_SHARE, DRAW_SEED),
+    "op13_infill": infill.oracle(),
 }
