@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.llm import ann, bpe, exact_topk, infill, langid, license_scan, mixing, ngram_join, pii, repeats, resample, warc
+from metricslake.llm import ann, article, bpe, exact_topk, infill, langid, license_scan, mixing, ngram_join, pii, repeats, resample, warc
 from metricslake.llm.common import prepare
 from metricslake.sources.tables import read_table
 
@@ -93,6 +93,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.restored(infill.rewritten(_table(spark, sf_dir, "documents"))))
 
@@ -109,6 +113,7 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_bpe": op10_bpe,
     "op11_resample": op11_resample,
+    "op12_article": op12_article,
     "op13_infill": op13_infill,
 }
 
