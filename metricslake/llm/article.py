@@ -452,10 +452,10 @@ def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     return "\n".join(b.text for b, keep in zip(found, label(found, weights)) if keep)
 
 
-def fit(pages: DataFrame, html_col: str = "html") -> np.ndarray:
-    """Weights of the shapes, from at most SAMPLE_PAGES pages drawn by a hash of their html and
+def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> np.ndarray:
+    """Weights of the shapes, from at most SAMPLE_PAGES pages drawn by a hash of their id and html and
     SAMPLE_BLOCKS blocks of each; only those blocks' shapes reach the driver."""
-    rows = pages.select(F.col(html_col).alias("html")).withColumn("pick", F.xxhash64(F.lit(12), "html"))
+    rows = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.lit(12), F.col(id_col).cast("string"), html_col).alias("pick"))
     n = max(1, rows.count())
     place = F.pmod("pick", F.lit(1 << 52)) / F.lit(float(1 << 52))
     sample = rows.filter(place <= min(1.0, 0.8 * SAMPLE_PAGES / n)).select("html").limit(SAMPLE_PAGES)
@@ -488,7 +488,7 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "
     html has an empty text; rows that repeat each other or have no id are kept; other columns are not read.
     ``weights`` are those of ``fit`` over the same pages by default.
     """
-    weights = fit(pages, html_col) if weights is None else weights
+    weights = fit(pages, html_col, id_col) if weights is None else weights
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
     def run(batches):

@@ -31,9 +31,14 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_of(seed: int, epoch: Column, id_col: Column) -> Column:
+def name_of(id_col: str, text_col: str) -> Column:
+    """What a document is ordered by: its id, or a hash of its text if it has none."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+
+
+def order_of(seed: int, epoch: Column, name: Column) -> Column:
     """Place of a document in the seeded order of an epoch, from 0 to ORDER_RANGE."""
-    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_col.cast("string"), F.lit("")))
+    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), name)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -98,30 +103,16 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
     return leaves.join(above.select(*levels, "share"), levels)
 
 
-def select(
-    docs: DataFrame,
-    levels: dict[str, Column],
-    weights: dict[str, dict[str, int]],
-    fraction: tuple[int, int] = (1, 2),
-    epochs: int = 1,
-    seed: int = 0,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+def _prefixes(
+    docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], fraction: tuple[int, int], epochs: int, seed: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """What each document gives: one row for each row of ``docs`` that gives a token.
-
-    Returns ``id_col``, the levels (text; null is ``(none)``), ``n_tokens``, ``epochs`` (whole
-    passes), ``taken_tokens`` (of all passes; the last document of a leaf's prefix may give a part),
-    ``place`` (in the order of the leaf's last epoch) and ``partial``: what it gives in that epoch.
-
-    ``weights`` are integers by level and value, 1 where none is given. A null or empty text has no token
-    and is not returned. Rows with the same id in a leaf have the same place, shorter ones
-    first. Other columns are not read, so their names may clash.
-    """
+    """Documents with a token, equal rows as one of several ``copies``: ``id``, the levels, ``n_tokens``, ``place``,
+    ``whole`` and ``rest`` (epochs and tokens of the leaf's share) and ``begins`` (tokens before the first copy)."""
     names = list(levels)
     slim = written(
         docs.select(
             F.col(id_col).alias("id"),
+            name_of(id_col, text_col).alias("name"),
             *[F.coalesce(c.cast("string"), F.lit(NO_VALUE)).alias(n) for n, c in levels.items()],
             tokens_of(F.col(text_col)).alias("n_tokens"),
         ).filter("n_tokens > 0"),
@@ -136,19 +127,48 @@ def select(
     )
     placed = (
         slim.join(given.select(*names, "whole", "rest", "width"), names)
-        .withColumn("place", order_of(seed, F.col("whole") + 1, F.col("id")))
+        .withColumn("place", order_of(seed, F.col("whole") + 1, F.col("name")))
         .withColumn("bucket", F.expr("place div width"))
     )
     by_leaf = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     starts = sums.withColumn("start", F.coalesce(F.sum("in_bucket").over(by_leaf), F.lit(0))).drop("in_bucket")
-    within = Window.partitionBy(*names, "bucket").orderBy("place", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.col("start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
-    partial = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("begins")))
+    # many copies would be one place, and so one task's rows: they are counted where they are read
+    distinct = placed.groupBy(*names, "bucket", "place", "n_tokens", "id", "whole", "rest").agg(F.count("*").alias("copies"))
+    within = Window.partitionBy(*names, "bucket").orderBy("place", "n_tokens", "id").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.col("start") + F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(within), F.lit(0))
+    return distinct.join(starts, [*names, "bucket"]).withColumn("begins", begins).drop("start", "bucket")
+
+
+def select(
+    docs: DataFrame,
+    levels: dict[str, Column],
+    weights: dict[str, dict[str, int]],
+    fraction: tuple[int, int] = (1, 2),
+    epochs: int = 1,
+    seed: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """What each document gives: one row for each row of ``docs`` that gives a token.
+
+    Returns ``id_col``, the levels (text; null is ``(none)``), ``n_tokens``, ``epochs`` (whole
+    passes), ``taken_tokens`` (of all passes; the last document of a leaf's prefix may give a part),
+    ``place`` (in the order of the leaf's last epoch) and ``partial``: what it gives in that epoch.
+
+    ``weights`` are integers by level and value, 1 where none is given. A null or empty text has no token
+    and is not returned. Rows with the same id in a leaf have the same place, shorter ones first; rows
+    without an id are ordered by their text. Other columns are not read, so their names may clash.
+    """
+    names = list(levels)
+    found = _prefixes(docs, levels, weights, fraction, epochs, seed, id_col, text_col)
+    several = F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {BUCKET_ROWS}"))
+    each = F.sequence(F.col("_many") * BUCKET_ROWS, F.least(F.col("copies"), (F.col("_many") + 1) * BUCKET_ROWS) - 1)
+    rows = found.withColumn("_many", F.explode(several)).withColumn("_copy", F.explode(each))
+    begins = F.col("begins") + F.col("_copy") * F.col("n_tokens")
+    partial = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - begins))
     return (
-        placed.join(starts, [*names, "bucket"])
-        .withColumn("begins", begins)
-        .withColumn("partial", partial.cast("long"))
+        rows.withColumn("partial", partial.cast("long"))
         .withColumn("taken_tokens", F.col("whole") * F.col("n_tokens") + F.col("partial"))
         .filter("taken_tokens > 0")
         .select(
@@ -163,20 +183,35 @@ def select(
     )
 
 
-def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], fraction: tuple[int, int], seed: int = 0) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    levels: dict[str, Column],
+    weights: dict[str, dict[str, int]],
+    fraction: tuple[int, int],
+    seed: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """The rows of ``docs`` that one epoch of the mix takes, whole and with their own columns.
 
-    A leaf's prefix is known by its last place, so ``docs`` are filtered by a table with a row
-    for each leaf, and texts are not shuffled.
+    A leaf's prefix is known by its last place, so ``docs`` are filtered by a table with a row for each
+    leaf, and texts are not shuffled. Rows that share the last place (one id, or one text without an id)
+    are drawn by a seeded chance, that of the share of them that the prefix takes.
     """
     names = [f"_level_{n}" for n in levels]
-    taken = select(docs, levels, weights, fraction, 1, seed)
-    last = taken.groupBy(*[F.col(n).alias(k) for n, k in zip(levels, names)]).agg(
-        F.bool_or(F.col("partial") == 0).alias("_whole"), F.max(F.when(F.col("partial") > 0, F.col("place"))).alias("_last")
+    found = _prefixes(docs, levels, weights, fraction, 1, seed, id_col, text_col)
+    takes = F.greatest(F.lit(0), F.least(F.col("copies"), F.ceil((F.col("rest") - F.col("begins")) / F.col("n_tokens"))))
+    leaf = [F.col(n).alias(k) for n, k in zip(levels, names)]
+    places = found.groupBy(*leaf, "place").agg(F.sum(takes).alias("taken"), F.sum("copies").alias("copies"), F.max("whole").alias("whole"))
+    ends = places.groupBy(*names).agg(
+        (F.max("whole") > 0).alias("_whole"),
+        F.max(F.when(F.col("taken") > 0, F.struct("place", (F.col("taken") / F.col("copies")).alias("part")))).alias("_last"),
     )
     keyed = docs.select("*", *[F.coalesce(c.cast("string"), F.lit(NO_VALUE)).alias(k) for c, k in zip(levels.values(), names)])
-    place = order_of(seed, F.lit(1), F.col("doc_id"))
-    return keyed.join(written(last, "prefixes"), names).filter(F.col("_whole") | (place <= F.col("_last"))).select(*docs.columns)
+    place = order_of(seed, F.lit(1), name_of(id_col, text_col))
+    last = (place == F.col("_last.place")) & ((F.col("_last.part") >= 1) | (F.rand(seed) < F.col("_last.part")))
+    words = tokens_of(F.col(text_col)) > 0
+    return keyed.join(written(ends, "prefixes"), names).filter(words & (F.col("_whole") | (place < F.col("_last.place")) | last)).select(*docs.columns)
 
 
 def oracle(levels: dict[str, str], weights: dict[str, dict[str, int]], fraction: tuple[int, int], epochs: int, seed: int) -> str:
@@ -189,7 +224,7 @@ def oracle(levels: dict[str, str], weights: dict[str, dict[str, int]], fraction:
     parts = [
         "d as (select doc_id, "
         + ", ".join(f"coalesce(({e})::varchar, '{NO_VALUE}') as {n}" for n, e in levels.items())
-        + r", len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)",
+        + r", text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from documents)",
         f"""leaf as (select *, case when {" and ".join(f"w_{n} > 0" for n in names)} then tokens * {epochs} else 0 end as cap
   from (select {", ".join(names)}, sum(n_tokens)::hugeint as tokens, {", ".join(f"max({c})::hugeint as w_{n}" for n, c in cases.items())}
     from d where n_tokens > 0 group by all))""",
@@ -212,7 +247,7 @@ def oracle(levels: dict[str, str], weights: dict[str, dict[str, int]], fraction:
           join s{depth} p on {" and ".join(f"c.{n} = p.{n}" for n in parent) or "true"})))))""")
     parts.append(f"""placed as (
   select d.*, share // tokens as whole, share % tokens as rest,
-    ('0x' || substr(md5(concat_ws(':', '{seed}', (share // tokens + 1)::varchar, coalesce(doc_id::varchar, ''))), 1, 15))::bigint as place
+    ('0x' || substr(md5(concat_ws(':', '{seed}', (share // tokens + 1)::varchar, coalesce(doc_id::varchar, 'text:' || md5(coalesce(text, ''))))), 1, 15))::bigint as place
   from d join leaf using ({", ".join(names)}) join s{len(names)} using ({", ".join(names)}) where n_tokens > 0)""")
     parts.append(f"""run as (
   select *, greatest(0, least(n_tokens, rest - coalesce(sum(n_tokens) over (

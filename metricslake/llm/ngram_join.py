@@ -8,8 +8,8 @@ table of counts of fixed size over all documents; any order gives right results.
 
 Under a shingle the nodes are points: the numbers of their shingles in each of GROUPS hash
 groups. An R-tree over the points prunes: the overlap of two sets is at most the sum of the
-smaller counts, and that of a set with anything in a tree node at most the sum of the
-smaller of its counts and the node's upper corner. The pairs that survive are verified on
+smaller counts, and that of a set with anything in a box of the tree at most the sum of the
+smaller of its counts and the box's upper corner. The pairs that survive are verified on
 the sets themselves.
 
 To keep groups of near copies from being written out as all their pairs, a first round
@@ -37,11 +37,17 @@ GROUPS, GROUP_BITS = 64, 6
 COUNTERS, COUNTER_CHUNKS = 1 << 20, 64
 #: Points under one shingle are dealt into chunks of about so many; a task holds one pair of chunks.
 CHUNK_ROWS = 512
-#: Points in a leaf of the R-tree.
-LEAF_ROWS = 16
+#: Points in a leaf of the R-tree, and boxes in a box of a higher level.
+LEAF_ROWS = FANOUT = 16
+#: Of a node's common shingles so many, the smallest, go with its points.
+SKETCH = 16
+#: Pairs whose sketches are compared at once.
+SKETCH_PAIRS = 4096
 #: Neighbours of a point that the first round verifies under one shingle.
 BEST = 2
 WORD_CACHE = 300_000
+#: Fills a sketch of fewer shingles.
+NO_KEY = np.iinfo(np.int64).max
 
 
 class Threshold(NamedTuple):
@@ -157,26 +163,44 @@ def points(docs: DataFrame, size: int, threshold: Threshold, counts: np.ndarray,
 
 
 class Tree:
-    """An R-tree over points, packed by size and the coordinates of greatest spread."""
+    """An R-tree over points, packed by size and the coordinates of greatest spread.
+
+    Level 0 has the leaves, each higher level the boxes of FANOUT boxes below; a box is told
+    by its upper corner and its smallest set.
+    """
 
     def __init__(self, n: np.ndarray, vec: np.ndarray):
         spread = np.argsort(-vec.var(0, dtype=np.float64), kind="stable")[:2]
         self.order = np.lexsort((vec[:, spread[1]], vec[:, spread[0]], n))
         self.n, self.vec = n[self.order], vec[self.order]
-        self.begins = np.arange(0, len(n), LEAF_ROWS)
-        self.upper = np.maximum.reduceat(self.vec, self.begins, axis=0)
-        self.least = np.minimum.reduceat(self.n, self.begins)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        upper, least, width = self.vec, self.n, LEAF_ROWS
+        while True:
+            begins = np.arange(0, len(least), width)
+            upper, least, width = np.maximum.reduceat(upper, begins, axis=0), np.minimum.reduceat(least, begins), FANOUT
+            self.levels.append((upper, least))
+            if len(least) == 1:
+                break
 
     def near(self, n: np.ndarray, vec: np.ndarray, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each leaf that some query may reach: queries, points and bound of the pairs that pass."""
-        for begin, upper, least in zip(self.begins, self.upper, self.least):
-            bound = np.minimum(vec, upper).sum(1, dtype=np.int64)
-            queries = np.flatnonzero(threshold.reached(bound, n + least))
-            if len(queries):
-                leaf = slice(begin, begin + LEAF_ROWS)
-                overlap = np.minimum(vec[queries, None, :], self.vec[None, leaf]).sum(2, dtype=np.int64)
-                q, p = np.nonzero(threshold.reached(overlap, n[queries, None] + self.n[None, leaf]))
-                yield queries[q], self.order[begin + p], overlap[q, p]
+        """Queries, points and bound of the pairs that pass, leaf by leaf. Each box is met by the
+        queries that may reach something in it; one that none may reach is dropped whole."""
+        waiting = [(len(self.levels) - 1, 0, np.arange(len(n)))]
+        while waiting:
+            level, box, queries = waiting.pop()
+            upper, least = self.levels[level][0][box], self.levels[level][1][box]
+            bound = np.minimum(vec[queries], upper).sum(1, dtype=np.int64)
+            queries = queries[threshold.reached(bound, n[queries] + least)]
+            if not len(queries):
+                continue
+            if level:
+                below = range(box * FANOUT, min((box + 1) * FANOUT, len(self.levels[level - 1][1])))
+                waiting += [(level - 1, child, queries) for child in below]
+                continue
+            leaf = slice(box * LEAF_ROWS, (box + 1) * LEAF_ROWS)
+            overlap = np.minimum(vec[queries, None, :], self.vec[None, leaf]).sum(2, dtype=np.int64)
+            q, p = np.nonzero(threshold.reached(overlap, n[queries, None] + self.n[None, leaf]))
+            yield queries[q], self.order[leaf.start + p], overlap[q, p]
 
 
 class Group(NamedTuple):
@@ -189,7 +213,7 @@ class Group(NamedTuple):
     vec: np.ndarray
     part: np.ndarray | None  # component
     side: np.ndarray | None  # of two chunks the first
-    common: list | None  # the node's common shingles, under a common one
+    sketch: np.ndarray | None  # the node's SKETCH smallest common shingles, under a common one
 
     def near(self, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of a group that the bound lets pass: places of the smaller and the larger node, and
@@ -220,25 +244,19 @@ class Group(NamedTuple):
             yield tuple(map(np.concatenate, zip(*found)))
 
     def first_met(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether a pair's group is that of the smallest common shingle the two share, so that a
-        pair that meets under many is looked at under one. Other shingles hold few points."""
-        if self.common is None or not len(i):
-            return np.ones(len(i), bool)
-        rows, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-        lists = [self.common[r] if self.common[r] is not None else [] for r in rows.tolist()]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        if not sizes.any():
-            return np.ones(len(i), bool)
-        values = np.concatenate([np.asarray(x, np.int64) for x in lists])
-        columns = np.unique(values)
-        has = np.zeros((len(rows), len(columns)), bool)
-        has[np.repeat(np.arange(len(rows)), sizes), np.searchsorted(columns, values)] = True
-        bits = np.packbits(has, axis=1)
-        both = bits[place[: len(i)]] & bits[place[len(i) :]]
-        byte = (both != 0).argmax(1)
-        first = both[np.arange(len(i)), byte]
-        column = np.minimum(8 * byte + np.argmax(np.unpackbits(first[:, None], axis=1), axis=1), len(columns) - 1)
-        return (first == 0) | (columns[column] == self.key[i])
+        """Whether no smaller shingle stands in both sketches of a pair. The pair meets under such a
+        shingle too, and is looked at there; that of its smallest shared one always passes, so a
+        pair that shares many common shingles comes under few of them and under one at least."""
+        out = np.ones(len(i), bool)
+        if self.sketch is None:
+            return out
+        for begin in range(0, len(i), SKETCH_PAIRS):
+            part = slice(begin, begin + SKETCH_PAIRS)
+            one, two = self.sketch[i[part]], self.sketch[j[part]]
+            shared = (one[:, :, None] == two[:, None, :]).any(2)
+            least = np.where(shared, one, NO_KEY).min(1)
+            out[part] = least >= self.key[i[part]]
+        return out
 
 
 def best_pairs(points: Group, threshold: Threshold) -> np.ndarray:
@@ -289,9 +307,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
         else:
             vec = np.stack([np.frombuffer(v, "u1" if len(v) == GROUPS else "<u4") for v in packed]).astype(np.int64)
         column = lambda name: table.column(name).to_numpy() if name in table.column_names else None
-        common = table.column("common").to_pylist() if "common" in table.column_names else None
+        sketch = None
+        if "sketch" in table.column_names:
+            told = table.column("sketch").combine_chunks()
+            sizes = np.diff(told.offsets.to_numpy()) if len(told) else np.zeros(0, np.int64)
+            sketch = np.full((len(told), SKETCH), NO_KEY)
+            sketch[np.arange(SKETCH) < sizes[:, None]] = told.flatten().to_numpy()
         number = np.cumsum(changes(table)) - 1
-        return Group(number, column("key"), column("node"), column("n"), vec, column("part"), column("side"), common)
+        return Group(number, column("key"), column("node"), column("n"), vec, column("part"), column("side"), sketch)
 
     def changes(table: pa.Table) -> np.ndarray:
         keys = [table.column(k).to_numpy() for k in ("key", "ci", "cj")]
@@ -342,6 +365,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFr
     return pairs.join(left, "a").join(right, "b").filter(threshold.reached(overlap, sizes)).select("a", "b").distinct()
 
 
+def _crossed(placed: DataFrame) -> DataFrame:
+    """Deals points (``key``, ``node``, ``part``, with the ``main`` component under the key and the
+    numbers ``mine`` and ``others`` of points in it and not) to cells (``key``, ``ci``, ``cj``) so that
+    every two points of different components meet in one.
+
+    Points of the main component meet only the others, so a large group of near copies that is one
+    component by now goes out once for each chunk of the others, not for each chunk of its own.
+    """
+
+    def chunks(rows: str):
+        return F.expr(f"cast(({rows} + {CHUNK_ROWS - 1}) div {CHUNK_ROWS} as int)")
+
+    def own(rows: str):
+        return F.pmod(F.xxhash64("node"), chunks(rows)).cast("int")
+
+    def each(rows: str):
+        return F.explode(F.sequence(F.lit(0), chunks(rows) - 1))
+
+    def cells(rows: DataFrame, ci, cj, side) -> DataFrame:
+        return rows.select("key", ci.cast("int").alias("ci"), cj.cast("int").alias("cj"), "node", "part", side.cast("int").alias("side"))
+
+    inside, outside = placed.filter("part = main"), placed.filter("part <> main")
+    mine, other = F.col("own"), F.col("other")
+    across = cells(inside.select("*", own("mine").alias("own"), each("others").alias("other")), -1 - mine, other, F.lit(1))
+    across = across.union(cells(outside.select("*", own("others").alias("own"), each("mine").alias("other")), -1 - other, mine, F.lit(0)))
+    among = outside.select("*", own("others").alias("own"), each("others").alias("other"))
+    return across.union(cells(among, F.least(mine, other), F.greatest(mine, other), mine <= other))
+
+
 def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id``, one row for each row of ``docs``.
 
@@ -385,17 +437,16 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
     links = written(_verified(tried, sets, threshold), "links")
     part = components(links)
 
-    shared_by_many = F.col("rows") > LEAF_ROWS
-    common = met.filter(shared_by_many).groupBy("node").agg(F.collect_list("key").alias("common"))  # part of a prefix
+    # the smallest of a node's shingles (part of its prefix) that many nodes share
+    many = F.col("rows") > LEAF_ROWS
+    sketches = met.filter(many).groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SKETCH).alias("sketch"))
     placed = met.join(part, "node", "left").select("key", "node", "rows", F.coalesce("component", "node").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("key")
-    other = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
-    crossed = (
-        placed.join(apart, "key")
-        .select("key", "node", "part", shared_by_many.alias("many"), chunk.alias("own"), other)
-        .select("key", "many", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), "node", "part", (F.col("own") <= F.col("other")).alias("side"))
-        .join(flat.join(common, "node", "left"), "node")
-        .select("key", "ci", "cj", "node", "n", "part", F.col("side").cast("int").alias("side"), "vec", F.when(F.col("many"), F.col("common")).alias("common"))
+    parts = placed.groupBy("key", "part").agg(F.count("*").alias("rows"))
+    main = parts.groupBy("key").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.sum("rows").alias("rows"), F.max("rows").alias("mine"))
+    apart = main.filter("mine < rows").select("key", "main", "mine", (F.col("rows") - F.col("mine")).alias("others"))
+    crossed = _crossed(placed.drop("rows").join(apart, "key"))
+    crossed = crossed.join(flat.join(sketches, "node", "left"), "node").select(
+        "key", "ci", "cj", "node", "n", "part", "side", "vec", F.coalesce("sketch", F.array().cast("array<long>")).alias("sketch")
     )
     rest = _pairs(crossed, all_pairs, threshold)
     more = _verified(written(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, threshold)

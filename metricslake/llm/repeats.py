@@ -42,8 +42,8 @@ SEGMENT_BYTES = 1 << 21
 BATCH_RUNS = 4096
 #: Bits for a place in a segment.
 PLACE_BITS = np.uint64(22)
-#: What stands for a missing id: the largest.
-LAST_ID = 2**63 - 1
+#: Ids are smaller; texts without an id of their own have places from here on, by a hash of the text.
+LAST_ID = 2**62
 SEED = 9
 
 
@@ -125,7 +125,7 @@ def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.repeat(np.fromiter(map(len, texts), np.int64, len(texts)), number)
         chunks = -(-rows // CHUNK_RUNS)
         chunk = np.where(chunks > 1, (doc * np.int64(0x5851F42D4C957F2D) >> np.int64(33)) % chunks, 0)
-        fits = end <= size  # rows that share an id may differ in text
+        fits = end <= size  # texts whose hashes are equal may differ
         edges = np.concatenate([[0], np.cumsum(number)])
         data = [t[a:b] for k, t in enumerate(texts) for a, b in zip(start[edges[k] : edges[k + 1]].tolist(), end[edges[k] : edges[k + 1]].tolist())]
         columns = [pa.array(key), pa.array(chunk, pa.int32()), pa.array(chunks > 1), pa.array(doc), pa.array(start), pa.array(data, pa.binary())]
@@ -239,10 +239,26 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(pa.Table.from_batches(waiting))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc``, ``from``, ``to``: spans of bytes (they may overlap) whose strings start earlier too."""
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``text`` and ``doc``, the number that stands for the text: its id, or LAST_ID and more
+    if it has none or a text of smaller hash has the same id. Equal texts of one id share a number.
+
+    Ids with several texts are few (a table in the shared folder, so its size is known to the join).
+    """
+    code = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("_id"))
+    several = rows.filter("_id is not null").groupBy("_id").agg(F.min(code).alias("_first"), F.max(code).alias("_last"))
+    several = written(several.filter("_first < _last").drop("_last"), "several")
+    last = F.lit(LAST_ID) + F.shiftrightunsigned(code, 2)
+    own = F.when(F.col("_id").isNull() | (code > F.col("_first")), last).otherwise(F.col("_id"))
+    return rows.join(several, "_id", "left").select(id_col, "text", own.alias("doc"))
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """``doc``, ``from``, ``to``: spans of bytes (they may overlap) whose strings start earlier too,
+    from rows ``doc`` and ``text``."""
     spark = docs.sparkSession
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).alias("text"))
+    own = docs.select("doc", "text")
     known = written(own.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, "doc long, keys array<long>, places array<long>"), "runs")
     counts = known.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
     counts = written(counts.filter("rows > 1"), "counts")
@@ -274,12 +290,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (binary, what
     remains of the text in UTF-8), one row for each row of ``docs``.
 
-    A null text is empty. A row without an id counts as the document with the largest id.
-    Rows with the same id are one document that is repeated: no copy comes before another, and if their texts
-    differ, the spans of any apply to all. Other columns are not read, so their names may clash.
+    A null text is empty. Rows without an id come after all others, in order of a hash of the text. Rows with the
+    same id are one document that is repeated: no copy comes before another; if their texts differ, one text
+    has the id and the others count as texts without one. Ids are below 2**62. Other columns are not
+    read, so their names may clash.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_doc"), F.col(text_col).alias("_text"))
-    marks = spans(docs, id_col, text_col).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
+    keyed = with_key(docs, id_col, text_col)
+    marks = spans(keyed).groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))
 
     def run(batches):
         for batch in batches:
@@ -301,7 +318,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.join(marks, "_doc", "left").select(id_col, "_text", "_spans").mapInArrow(
+    return keyed.join(marks, "doc", "left").select(id_col, "text", "_spans").mapInArrow(
         run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 

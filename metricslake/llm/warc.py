@@ -121,23 +121,35 @@ def member(source: Source, place: int) -> tuple[bytes, int] | None:
     return (bytes(out), place) if out.startswith(VERSION) and b"\r\n\r\n" in out else None
 
 
-def records(source: Source, start: int, end: int) -> Iterator[bytes]:
-    """Records whose member starts in ``[start, end)``."""
-    place = start
-    while place < end:
+def records(source: Source, start: int, end: int, strict: bool = True) -> Iterator[bytes]:
+    """Records whose member starts in ``[start, end)``.
+
+    If ``strict``, members follow each other from the first byte to the last: a record's end that
+    is neither the end of the file nor a member's start is an error, whoever owns that start, so a
+    member that is cut off or damaged never goes unseen.
+    """
+    place, follows = start, start == 0
+    while place < min(end, source.size):
         data = source.at(place)
-        hit = data.find(MAGIC)
+        hit = 0 if strict and follows else data.find(MAGIC)
         if hit < 0:
             if place + len(data) >= source.size:
                 return
             place += len(data) - len(MAGIC) + 1
-        elif place + hit < end:
-            found = member(source, place + hit)
-            if found:
-                yield found[0]
-            place = found[1] if found else place + hit + 1
-        else:
+            continue
+        place += hit
+        if place >= end:
             return
+        found = member(source, place)
+        if found:
+            yield found[0]
+            place, follows = found[1], True
+        elif strict and follows:
+            raise ValueError(f"no whole record at byte {place}")
+        else:
+            place += 1
+    if strict and follows and place < source.size and member(source, place) is None:
+        raise ValueError(f"no whole record at byte {place}")
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -195,10 +207,12 @@ ARROW = pa.schema([
 ])
 
 
-def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES, rows: int = 200) -> DataFrame:
+def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES, rows: int = 200, strict: bool = True) -> DataFrame:
     """The records of the archives in ``manifest`` (``path``, ``bytes``), one row each.
 
-    ``payload`` is null for revisits, and for all records if ``payloads`` is false.
+    ``payload`` is null for revisits, and for all records if ``payloads`` is false. A file of another
+    size than the manifest tells, or with bytes that are no whole record, is an error; if not
+    ``strict``, such bytes are passed over.
     """
     ranges = manifest.filter(F.col("bytes") > 0).select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
@@ -210,8 +224,10 @@ def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BY
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 system, name = fs.FileSystem.from_uri(path)
                 with system.open_input_file(name) as file:
-                    waiting = []
-                    for raw in records(Source(file), start, min(start + split_bytes, size)):
+                    waiting, source = [], Source(file)
+                    if strict and source.size != size:
+                        raise ValueError(f"{path} has {source.size} bytes instead of {size}")
+                    for raw in records(source, start, min(start + split_bytes, size), strict):
                         fields = parse(raw)
                         waiting.append(fields if payloads else fields | {"payload": None})
                         if len(waiting) == rows:

@@ -65,17 +65,18 @@ def test_prefixes_against_a_plain_pass(spark, monkeypatch):
     leaves = {}
     for r in df.collect():
         if r.text and r.text.split():
-            leaves.setdefault((r.a or "(none)", r.b), []).append((r.doc_id, len(r.text.split())))
+            name = f"text:{hashlib.md5(r.text.encode()).hexdigest()}" if r.doc_id is None else r.doc_id
+            leaves.setdefault((r.a or "(none)", r.b), []).append((name, len(r.text.split())))
     table = spark.createDataFrame([(*k, sum(t for _, t in v), len(v)) for k, v in leaves.items()], "a string, b string, tokens long, docs long")
     want = []
     for r in mixing.budgets(table, LEVELS, weights, (1, 2), 2).collect():
         whole, rest = divmod(r.share, r.tokens)
-        place = lambda d: int(hashlib.md5(f"{seed}:{whole + 1}:{'' if d is None else d}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        place = lambda d: int(hashlib.md5(f"{seed}:{whole + 1}:{d}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
         for doc, n in sorted(leaves[r.a, r.b], key=lambda x: (place(x[0]), x[1])):
             part = min(n, rest)
             rest -= part
             if whole * n + part:
-                want.append((str(doc), r.a, r.b, n, whole + (part == n), whole * n + part))
+                want.append(("None" if str(doc).startswith("text:") else str(doc), r.a, r.b, n, whole + (part == n), whole * n + part))
     assert sorted((str(r.doc_id), r.a, r.b, r.n_tokens, r.epochs, r.taken_tokens) for r in got) == sorted(want)
     total = sum(n for v in leaves.values() for _, n in v)
     assert sum(r.taken_tokens for r in got) == total // 2
@@ -90,3 +91,13 @@ def test_mixed_rows_are_whole(spark):
     assert set(ids(kept)) == {str(r.doc_id) for r in taken.collect()}
     assert mixing.select(df.limit(0), columns(), {}, (1, 2)).collect() == []
     assert mixing.mixed(df.limit(0), columns(), {}, (1, 2)).collect() == []
+
+
+def test_rows_without_an_id_and_copies(spark):
+    """The share is met by rows without an id, with different texts or all the same."""
+    for text in ("concat('a b ', id)", "'a b c'"):
+        df = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"{text} as text", "'x' as a", "'p' as b")
+        taken = mixing.select(df, columns(), {}, (3, 5), 1, 3)
+        assert taken.agg(F.sum("taken_tokens")).first()[0] == 36_000
+        assert taken.count() == 12_000
+        assert abs(mixing.mixed(df, columns(), {}, (3, 5), 3).count() - 12_000) <= (0 if "id" in text else 400)

@@ -1,6 +1,7 @@
 """Operator 1 against all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -100,3 +101,56 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 105), (105, 103), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {100: 100, 103: 100, 105: 100}
+
+
+def group(rng, nodes, shingles, key=0):
+    """Points of one group whose nodes have the given common shingles."""
+    sketch = np.full((nodes, nj.SKETCH), nj.NO_KEY)
+    for k, own in enumerate(shingles):
+        low = np.sort(own)[: nj.SKETCH]
+        sketch[k, : len(low)] = low
+    vec = rng.integers(0, 4, (nodes, nj.GROUPS)).astype("u1")
+    return nj.Group(np.zeros(nodes, int), np.full(nodes, key), np.arange(nodes), vec.sum(1, dtype=np.int64), vec, np.arange(nodes), np.zeros(nodes, int), sketch)
+
+
+def test_a_pair_passes_under_its_smallest_common_shingle_and_few_others():
+    rng = np.random.default_rng(3)
+    own = [rng.choice(60, rng.integers(1, 40), replace=False) for _ in range(30)]
+    i, j = map(np.array, zip(*[(a, b) for a in range(30) for b in range(a)]))
+    passed = np.zeros(len(i), int)
+    for key in range(60):
+        held = np.array([key in own[a] and key in own[b] for a, b in zip(i, j)])
+        met = group(rng, 30, own, key).first_met(i, j)
+        first = np.array([len(c := np.intersect1d(own[a], own[b])) > 0 and c[0] == key for a, b in zip(i, j)])
+        assert met[first].all()
+        passed += held & met
+    shared = np.array([len(np.intersect1d(own[a], own[b])) for a, b in zip(i, j)])
+    assert (passed[shared > 0] >= 1).all() and passed.sum() < 0.5 * shared.sum()
+
+
+def test_memory_of_a_pair_of_chunks():
+    """1,024 points with 200 of 20,000 common shingles each, all of whose pairs pass."""
+    rng = np.random.default_rng(4)
+    own = [rng.choice(20_000, 200, replace=False) for _ in range(1024)]
+    points = group(rng, 1024, own)._replace(vec=np.full((1024, nj.GROUPS), 3, "u1"), n=np.full(1024, 192))
+    tracemalloc.start()
+    found = nj.all_pairs(points, nj.Threshold(80, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 400_000 and peak < 200 << 20
+
+
+def test_cells_bring_every_two_parts_together(spark, monkeypatch):
+    monkeypatch.setattr(nj, "CHUNK_ROWS", 4)
+    parts = [0] * 30 + [1] * 3 + list(range(2, 14))
+    rows = [(7, node, part, 0, 30, 15) for node, part in enumerate(parts)]
+    cells = nj._crossed(spark.createDataFrame(rows, "key long, node long, part long, main long, mine long, others long")).collect()
+    by = {}
+    for r in cells:
+        by.setdefault((r.ci, r.cj), []).append(r)
+    met = set()
+    for own in by.values():
+        two = len({r.side for r in own}) == 2
+        met |= {(a.node, b.node) for a in own for b in own if a.node < b.node and a.part != b.part and (not two or a.side != b.side)}
+    assert met == {(a, b) for b in range(45) for a in range(b) if parts[a] != parts[b]}
+    assert sum(r.part == 0 for r in cells) == 30 * 4  # once for each chunk of the others

@@ -64,6 +64,16 @@ def test_repeated_rows_and_empty_tables(spark):
     assert repeats.without_repeats(df.limit(0)).collect() == []
 
 
+def test_texts_without_an_id_of_their_own(spark):
+    """A repeat in one text takes nothing from another that lacks an id or shares one."""
+    rng = random.Random(3)
+    clean, part = ("".join(rng.choice("abcdefghij") for _ in range(500)) for _ in range(2))
+    other = "".join(rng.choice("klmnop") for _ in range(300))
+    df = spark.createDataFrame([(1, part, "k", 1), (None, clean, "k", 1), (None, other + part[100:250], "k", 1), (5, clean[:90], "k", 1), (5, other[:90] + part[:150], "k", 1)], SCHEMA)
+    rows = sorted((r.n_bytes, r.n_removed) for r in repeats.without_repeats(df).collect())
+    assert rows == [(90, 0), (240, 150), (450, 150), (500, 0), (500, 0)]
+
+
 def test_runs_cover_all_strings_and_depend_on_their_bytes():
     rng = np.random.default_rng(1)
     texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() for n in (99, 100, 101, 1000, 0)]

@@ -7,6 +7,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from metricslake.llm import warc
 
@@ -37,10 +38,32 @@ def test_false_magic_and_cut_members(small_fetch):
     one, two = warc.record(1, None, b"a", None, False), warc.record(2, None, b"b", 1, True)
     other = gzip.compress(b"no record")
     data = warc.MAGIC + b"junk" + one + other + warc.MAGIC + two + one[:-9]
-    got = [warc.parse(r) for r in warc.records(source(data), 0, len(data))]
+    got = [warc.parse(r) for r in warc.records(source(data), 0, len(data), strict=False)]
     assert [(g["page_id"], g["record_type"], g["refers_to"], g["payload_bytes"]) for g in got] == [(1, "response", None, 1), (2, "revisit", 1, 1)]
 
 
+@pytest.mark.parametrize("split", [1, 60, 200, 10**6])
+def test_lost_records_are_found(small_fetch, split):
+    """A member that is cut off or damaged is an error in some range, whatever the ranges."""
+    made = [warc.record(i, None, os.urandom(100), None, False) for i in range(6)]
+    whole = b"".join(made)
+    third = len(made[0]) + len(made[1])
+    broken = [whole[: third + 40] + b"\x00" * 30 + whole[third + 70 :], whole[:third] + b"\x00" + whole[third + 1 :], whole[:-9], b"x" + whole, whole + b"junk"]
+    for data in [*broken, whole]:
+        read = lambda d=data: [r for at in range(0, len(d), split) for r in warc.records(source(d), at, at + split)]
+        if data is whole:
+            assert len(read()) == 6
+            continue
+        with pytest.raises(ValueError):
+            read()
+
+
+def test_a_file_of_another_size_is_an_error(spark):
+    manifest = warc.write(spark.createDataFrame([(k, "u", "text", "", 1) for k in range(5)], SCHEMA))
+    with pytest.raises(Exception, match="instead of"):
+        warc.read(manifest.withColumn("bytes", F.col("bytes") + 1)).collect()
+
+
 def test_damage_is_found():
     packed = gzip.decompress(warc.record(1, None, b"abc", None, False)).replace(b"abc", b"abd")
     with pytest.raises(ValueError):
