@@ -4,8 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wri
 Parquet and read again as the next stage's ``docs``. All stages but the last keep the
 columns of ``documents``.
 
-Rows without an id stay through the filters that need one; rows that repeat each other in
-every column become one when near duplicates go. Empty tables give empty tables.
+Rows without an id stay through the filters that need one; of rows that repeat an id and its
+text one stays when near duplicates go. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -31,11 +31,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the document with the smallest id.
+
+    Only rows whose id occurs more than once are moved to drop copies of them; the two tables of ids
+    are in the shared folder, so the joins know their sizes.
+    """
     prepare(spark)
-    joined = ngram_join.join(docs, SHINGLE_WORDS, SIMILARITY)
-    later = joined.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").distinct().select(*docs.columns)
+    joined = written(ngram_join.join(docs, SHINGLE_WORDS, SIMILARITY), "joined")
+    later = written(joined.filter("doc_id <> component_id").select("doc_id").distinct(), "later")
+    again = written(joined.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    kept = docs.join(later, "doc_id", "left_anti")
+    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    copies = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return single.union(copies)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
