@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import written
+from metricslake.llm.common import drop_written, written
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        edges = written(_stars(_stars(edges, small=False), small=True), "edges")
+        last, edges = edges, written(_stars(_stars(edges, small=False), small=True), "edges")
+        drop_written(edges.sparkSession, last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -448,10 +448,19 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
     crossed = crossed.join(flat.join(sketches, "node", "left"), "node").select(
         "key", "ci", "cj", "node", "n", "part", "side", "vec", F.coalesce("sketch", F.array().cast("array<long>")).alias("sketch")
     )
-    rest = _pairs(crossed, all_pairs, threshold)
-    more = _verified(written(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, threshold)
+    rest = written(_pairs(crossed, all_pairs, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    drop_written(spark, met, nodes, near)
+    del crossed, placed, parts, main, apart, sketches, met, nodes, near, tried
+    release(spark)
+    more = _verified(rest, sets, threshold)
     linked = components(more.union(part.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    drop_written(spark, rest, sets, links)
+    del rest, sets, links, more
+    release(spark)
 
     reached = own.join(node_of, ["hi", "lo"], "left").join(linked, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return reached.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = reached.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = written(out, "joined")
+    drop_written(spark, own, node_of)
+    return out
