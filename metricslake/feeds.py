@@ -6,6 +6,7 @@ landed batch. Table layout under ``lake_root``:
 
     ci_repositories, ci_workflows         replaced by change-only upserts
     ci_runs, ci_runs_marks, ci_runs_retry  partitions per landing batch (see streaming)
+    ci_runs_held, ci_runs_released         runs that wait to connect, and those that no longer do
     ci_jobs                               appended
     extension_downloads                   partitions per (repository, year, week)
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricslake.operators import changes, ingest
-from metricslake.schemas import CI_JOBS, CI_REPOSITORIES, CI_RUNS
+from metricslake.schemas import CI_JOBS, CI_REPOSITORIES, CI_RUNS, EXTENSION_DOWNLOADS
 from metricslake.sources import download_files as dl
 from metricslake.sources import lake
 from metricslake.streaming.landing import (
@@ -141,8 +142,8 @@ def update_runs(
 
 
 def stored_runs(spark: SparkSession, lake_root: str) -> DataFrame:
-    """Stored runs with every field they were landed with."""
-    return lake.read_or_empty(spark, _path(lake_root, "ci_runs"), CI_RUNS).drop(BATCH_COL)
+    """Stored runs with every field they were landed with, null where a batch did not have it."""
+    return lake.read_or_empty(spark, _path(lake_root, "ci_runs"), CI_RUNS, merge_schema=True).drop(BATCH_COL)
 
 
 def jobs_to_fetch(
@@ -176,7 +177,8 @@ def update_downloads(
     """Load weekly download files of every root whose period is not stored yet; returns
     the rejected files (bad path or missing ``_last_update``)."""
     table = _path(lake_root, "extension_downloads")
-    files = dl.read_stat_files(spark, roots)
+    stored = lake.read_or_empty(spark, table, EXTENSION_DOWNLOADS)
+    files = dl.read_new_files(spark, roots, stored, legacy_key)
     store_period_batch(spark, files, table, table + "_rejects", batch_id, legacy_key)
     rejects = lake.read_or_empty(spark, table + "_rejects", REJECTS_TABLE)
     return rejects.where(F.col(BATCH_COL) == batch_id)

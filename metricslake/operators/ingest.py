@@ -3,8 +3,9 @@
 The source model walks repositories one by one; here each operator takes the
 landed batch of every repository at once and works per repository with
 grouping and joins keyed by the repository id. Per-repository tables (marks,
-cuts, budgets) have one row per repository, so they are small dimensions; the
-planner broadcasts them when their measured size allows and shuffles otherwise.
+cuts, verdicts of the gate) have one row per repository. They are written first, so the planner
+knows their size: it broadcasts them while they are small, and the runs themselves are filtered
+where they are read, however many of them one repository holds.
 
 Repository ids are read from the run's ``repository`` struct (``repository.id``).
 """
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricslake import fixed as fx
+from metricslake.sources.lake import known_size
 
 REPO_NAME_PATTERN = fx.REPO_NAME_PATTERN  # 'org/name'
 STALE_HOURS = fx.STALE_HOURS  # an unfinished run older than this no longer holds back newer runs
@@ -91,13 +93,16 @@ def completed_prefix(
     blocking = F.col("status") != "completed"
     if stale_hours is not None:
         blocking &= F.col("updated_at") > _ts(as_of - dt.timedelta(hours=stale_hours))
-    cuts = runs.groupBy(rid.alias("_rid")).agg(F.min(F.when(blocking, F.col("id"))).alias("_cut"))
-    m = marks.select(F.col("repository_id").alias("_rid"), F.col("max_run_id").alias("_mark"))
-    j = runs.withColumn("_rid", rid).join(cuts, "_rid", "left").join(m, "_rid", "left")
+    none = F.lit(None).cast("long")
+    own = runs.where(blocking).select(rid.alias("_rid"), F.col("id").alias("_cut"), none.alias("_mark"))
+    stored = marks.select(F.col("repository_id").alias("_rid"), none.alias("_cut"), F.col("max_run_id").alias("_mark"))
+    # one row for each repository that has a bound; runs meet it where they are read
+    limits = own.union(stored).groupBy("_rid").agg(F.min("_cut").alias("_cut"), F.max("_mark").alias("_mark"))
+    j = runs.withColumn("_rid", rid).join(known_size(limits, "limits"), "_rid", "left")
     keep = (F.col("_cut").isNull() | (F.col("id") < F.col("_cut"))) & (
         F.col("_mark").isNull() | (F.col("id") > F.col("_mark"))
     )
-    return j.where(keep).drop("_rid", "_cut", "_mark")
+    return j.where(keep).select(*runs.columns)
 
 
 def new_high_water_mark(kept: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def contiguity_gate(
     """
     rid = repo_id_col(batch)
     ids = batch.select(rid.alias("_rid"), F.col("id"))
-    m = marks.select(F.col("repository_id").alias("_rid"), F.col("max_run_id").alias("_mark"))
+    m = known_size(marks.select(F.col("repository_id").alias("_rid"), F.col("max_run_id").alias("_mark")), "marks")
     per_repo = ids.join(m, "_rid", "left").groupBy("_rid").agg(
         F.max("_mark").alias("_mark"),  # one mark per repository
         F.bool_or(F.col("id") == F.col("_mark")).alias("_reached"),
@@ -135,13 +140,64 @@ def contiguity_gate(
         done = exhausted.select(F.col("repository_id").alias("_rid"), F.lit(True).alias("_done"))
         per_repo = per_repo.join(done, "_rid", "left")
         ok = ok | F.coalesce(F.col("_done"), F.lit(False))
-    verdict = per_repo.select("_rid", ok.alias("_ok"))
+    verdict = known_size(per_repo.select("_rid", ok.alias("_ok")), "verdict")
     accepted_ids = verdict.where("_ok").select("_rid")
-    accepted = batch.withColumn("_rid", rid).join(accepted_ids, "_rid", "left_semi").drop("_rid")
+    accepted = batch.withColumn("_rid", rid).join(accepted_ids, "_rid", "left_semi").select(*batch.columns)
     rejected = verdict.where(~F.col("_ok")).select(F.col("_rid").alias("repository_id"))
     return GateResult(accepted, rejected)
 
 
+@dataclass(frozen=True)
+class Connected:
+    accepted: DataFrame  # rows of landings that connect to what is stored
+    held: DataFrame  # rows of the others
+    landings: DataFrame  # (repository_id, landing, connected): one row for each
+
+
+def connect_landings(rows: DataFrame, marks: DataFrame, landing_col: str, exhausted: DataFrame | None = None) -> Connected:
+    """The contiguity gate over several landings of each repository at once.
+
+    A landing lists a repository's runs without a gap, from its smallest id to its largest.
+    Landings that overlap list theirs without a gap together; such a chain connects to what
+    is stored if one of its landings holds the marked run id. So a landing that was held back
+    because it did not reach the mark is accepted as soon as later ones close the gap,
+    without being fetched again. Repositories without a mark, and chains with a landing in
+    ``exhausted`` (``repository_id`` and the landing: its listing reached the oldest run), are
+    accepted as they are.
+    """
+    rid = repo_id_col(rows)
+    tagged = rows.withColumn("_rid", rid)
+    m = known_size(marks.select(F.col("repository_id").alias("_rid"), F.col("max_run_id").alias("_mark")), "marks")
+    spans = (
+        tagged.select("_rid", F.col(landing_col).alias("_landing"), "id")
+        .join(m, "_rid", "left")
+        .groupBy("_rid", "_landing")
+        .agg(
+            F.min("id").alias("_lo"),
+            F.max("id").alias("_hi"),
+            F.max("_mark").alias("_mark"),
+            F.coalesce(F.bool_or(F.col("id") == F.col("_mark")), F.lit(False)).alias("_reached"),
+        )
+    )
+    if exhausted is not None:
+        done = exhausted.select(F.col("repository_id").alias("_rid"), F.col(landing_col).alias("_landing"), F.lit(True).alias("_done"))
+        spans = spans.join(done, ["_rid", "_landing"], "left").withColumn("_reached", F.col("_reached") | F.coalesce("_done", F.lit(False)))
+    # a chain begins where a landing starts above everything listed by those before it
+    ordered = Window.partitionBy("_rid").orderBy("_lo", "_landing")
+    before = F.max("_hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    chained = spans.withColumn("_begins", F.when(before.isNull() | (F.col("_lo") > before), 1).otherwise(0))
+    chained = chained.withColumn("_chain", F.sum("_begins").over(ordered))
+    reached = F.col("_mark").isNull() | F.max("_reached").over(Window.partitionBy("_rid", "_chain"))
+    verdict = known_size(chained.select("_rid", "_landing", reached.alias("_ok")), "landings")
+
+    def having(ok: Column) -> DataFrame:
+        chosen = verdict.where(ok).select("_rid", F.col("_landing").alias(landing_col))
+        return tagged.join(chosen, ["_rid", landing_col], "left_semi").select(*rows.columns)
+
+    told = verdict.select(F.col("_rid").alias("repository_id"), F.col("_landing").alias("landing"), F.col("_ok").alias("connected"))
+    return Connected(having(F.col("_ok")), having(~F.col("_ok")), told)
+
+
 @dataclass(frozen=True)
 class CutResult:
     kept: DataFrame
@@ -161,29 +217,30 @@ def reference_id_cut(
     range it must be one of the ids; such groups are returned as ``invalid`` and
     their rows are not kept (``strict`` raises instead).
     """
-    r = refs.select(key, F.col("ref").alias("_ref"))
-    j = records.join(r, key, "left")
+    r = known_size(refs.select(key, F.col("ref").alias("_ref")), "refs")
     # one aggregate per group: id range and whether the reference id is among the ids
-    stats = j.groupBy(key).agg(
+    stats = records.select(key, "id").join(r, key, "left").groupBy(key).agg(
         F.min("id").alias("_lo"),
         F.max("id").alias("_hi"),
         F.max("_ref").alias("_ref"),  # one reference id per group
         F.bool_or(F.col("id") == F.col("_ref")).alias("_present"),
     )
-    check = stats.where(
+    missing = (
         (F.col("_ref") != 0)
         & (F.col("_lo") < F.col("_ref"))
         & (F.col("_ref") < F.col("_hi"))
         & ~F.coalesce(F.col("_present"), F.lit(False))
-    ).select(key)
+    )
+    groups = known_size(stats.select(key, "_ref", F.coalesce(missing, F.lit(False)).alias("_missing")), "groups")
+    check = groups.where("_missing").select(key)
     if strict:
         bad = check.limit(1).collect()
         if bad:
             raise ValueError(f"reference id not found for {key}={bad[0][0]}")
     cond = F.col("_ref").isNull() | (F.col("_ref") == 0)
     cond |= (F.col("id") <= F.col("_ref")) if fetch_smaller else (F.col("id") >= F.col("_ref"))
-    kept = j.where(cond).drop("_ref").join(check, key, "left_anti")
-    return CutResult(kept, check)
+    kept = records.join(groups.where(~F.col("_missing")).withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).where(cond)
+    return CutResult(kept.select(*[records[c] for c in records.columns]), check)
 
 
 # ---- jobs --------------------------------------------------------------------------

@@ -8,16 +8,22 @@ through the driver; Spark's glob lists every file.
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricslake import fixed as fx
 from metricslake.schemas import EXTENSION_DOWNLOADS
+from metricslake.sources import lake
 
 STATS_DIR = fx.STATS_DIR
 LAST_UPDATE_KEY = fx.LAST_UPDATE_KEY
+#: Tasks that write weekly files.
+WRITE_TASKS = 32
 # <year: four digits>/<week: digits>.json at the end of the path (fixed pattern)
 PERIOD_PATH = STATS_DIR + r"/(\d{4})/(\d+)\.json\z"
 
@@ -28,24 +34,65 @@ class Parsed:
     rejected: DataFrame  # rows with a reason column
 
 
+def _whole_files(spark: SparkSession, repository: str, paths: list[str]) -> DataFrame:
+    return (
+        spark.read.option("wholetext", True)
+        .text(paths)
+        .select(
+            F.lit(repository).alias("repository"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("value").alias("text"),
+        )
+    )
+
+
 def read_stat_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """(repository, file_path, text): every file below each root, tagged with its repository."""
+    frames = [_whole_files(spark, repository, [f"{root.rstrip('/')}/{STATS_DIR}/*/*"]) for repository, root in roots.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def read_new_files(spark: SparkSession, roots: dict[str, str], stored: DataFrame, legacy_key: bool = False) -> DataFrame:
+    """Like :func:`read_stat_files`, without the files of stored periods: those are not opened.
+
+    Periods are told by the paths alone. A calendar bounds them (53 a year and repository), so the
+    stored ones and the listing are compared on the driver.
+    """
+    rows = stored.select("year", "week", "repository").distinct().collect()
+    known = {(r["year"], r["week"], None if legacy_key else r["repository"]) for r in rows}
     frames = []
     for repository, root in roots.items():
-        pattern = f"{root.rstrip('/')}/{STATS_DIR}/*/*"
-        frames.append(
-            spark.read.option("wholetext", True)
-            .text(pattern)
-            .select(
-                F.lit(repository).alias("repository"),
-                F.col("_metadata.file_path").alias("file_path"),
-                F.col("value").alias("text"),
-            )
-        )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        fresh = []
+        for path in lake.list_files(spark, f"{root.rstrip('/')}/{STATS_DIR}/*/*"):
+            period = re.search(PERIOD_PATH.replace(r"\z", r"\Z"), path)
+            key = period and (int(period[1]), int(period[2]), None if legacy_key else repository)
+            if key not in known:  # a path without a period is read, to be rejected with a reason
+                fresh.append(lake.as_glob(path))
+        if fresh:
+            frames.append(_whole_files(spark, repository, fresh))
+    if not frames:
+        return spark.createDataFrame([], "repository string, file_path string, text string")
+    return reduce(DataFrame.unionByName, frames)
+
+
+def write_stat_files(downloads: DataFrame, roots: dict[str, str]) -> int:
+    """Write stored rows as weekly files, one for each period, below the root of their repository; returns how
+    many. Spark writes a part file for each period, which is then renamed to the name of its week."""
+    spark = downloads.sparkSession
+    staging = f"{next(iter(roots.values())).rstrip('/')}/_staging_{uuid.uuid4().hex}"
+    files = download_files_from_table(downloads.where(F.col("repository").isin(*roots)))
+    dealt = files.select("text", "repository", "year", "week").repartition(WRITE_TASKS, "repository", "year", "week")
+    dealt.write.partitionBy("repository", "year", "week").text(staging)
+    parts, folders = lake.list_files(spark, f"{staging}/*/*/*/part-*"), set()
+    for part in parts:
+        repository, year, week = (piece.split("=", 1)[1] for piece in part.split("/")[-4:-1])
+        folder = f"{roots[repository].rstrip('/')}/{STATS_DIR}/{year}"
+        if folder not in folders:
+            lake.make_folder(spark, folder)
+            folders.add(folder)
+        lake.rename(spark, part, f"{folder}/{week}.json")
+    lake.delete(spark, staging)
+    return len(parts)
 
 
 def parse_period_path(files: DataFrame, path_col: str = "file_path") -> Parsed:
@@ -113,13 +160,11 @@ def read_download_stats(
     spark: SparkSession, roots: dict[str, str], stored: DataFrame | None = None,
     legacy_key: bool = False,
 ) -> Parsed:
-    """Files of all roots -> new extension download rows (rejects kept apart)."""
-    files = read_stat_files(spark, roots)
+    """Files of all roots -> new extension download rows (rejects kept apart); files of
+    periods in ``stored`` are not opened."""
+    files = read_stat_files(spark, roots) if stored is None else read_new_files(spark, roots, stored, legacy_key)
     periods = parse_period_path(files)
-    fresh = periods.valid
-    if stored is not None:
-        fresh = skip_stored_periods(fresh, stored, legacy_key)
-    counts = unpivot_download_counts(fresh)
+    counts = unpivot_download_counts(periods.valid)
     rejected = periods.rejected.drop("text").unionByName(
         counts.rejected.drop("text"), allowMissingColumns=True
     )
@@ -144,4 +189,4 @@ def download_files_from_table(downloads: DataFrame) -> DataFrame:
     path = F.format_string(
         "lake/%s/" + STATS_DIR + "/%d/%d.json", F.col("repository"), F.col("year"), F.col("week")
     )
-    return per_file.select("repository", path.alias("file_path"), text.alias("text"))
+    return per_file.select("repository", path.alias("file_path"), text.alias("text"), "year", "week")

@@ -8,13 +8,17 @@ is rewritten writes a new directory first and swaps it in afterwards.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from metricslake.session import checkpoint_dir
+
 
 # ---- filesystem helpers (JVM Hadoop FileSystem) -------------------------------------
 
@@ -43,6 +47,22 @@ def rename(spark: SparkSession, src: str, dst: str) -> None:
         raise OSError(f"rename failed: {src} -> {dst}")
 
 
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the files that a glob pattern names, in order."""
+    fs, p = _fs(spark, pattern)
+    return sorted(str(s.getPath()) for s in fs.globStatus(p) or () if s.isFile())
+
+
+def as_glob(path: str) -> str:
+    """A pattern that names just this path."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def total_bytes(spark: SparkSession, path: str) -> int:
     fs, p = _fs(spark, path)
     return int(fs.getContentSummary(p).getLength())
@@ -55,14 +75,35 @@ def _siblings(spark: SparkSession, path: str, mark: str) -> list[str]:
 
 
 def recover(spark: SparkSession, path: str) -> None:
-    """Finish a replacement that stopped after the old table was moved away: the new one
-    had been written whole by then. Without a finished new one the old one comes back."""
+    """Finish a replacement that stopped while its table had no directory.
+
+    A replacement names what it puts beside the table by one tag: the new directory, and the old
+    one, moved away after the new one has been written. So only a pair of one tag tells of such a
+    stop (if the new one is not whole, the old one comes back); anything else beside the table is left
+    from earlier and never put in place.
+    """
     if exists(spark, path):
         return
-    done = [n for n in _siblings(spark, path, "new") if exists(spark, f"{n}/_SUCCESS")]
-    old = _siblings(spark, path, "old")
-    if old:
-        rename(spark, (done or old)[-1], path)
+    for old in _siblings(spark, path, "old"):
+        new = old.replace(".__old_", ".__new_")
+        if exists(spark, new):
+            _moved(spark, new if exists(spark, f"{new}/_SUCCESS") else old, path)
+            return
+
+
+def _moved(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename, unless another reader or the writer itself has done so in the meantime."""
+    try:
+        rename(spark, src, dst)
+    except (OSError, Py4JError):
+        if exists(spark, src) or not exists(spark, dst):
+            raise
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table and everything that replacements have left beside it."""
+    for leftover in [*_siblings(spark, path, "old"), *_siblings(spark, path, "new"), path]:
+        delete(spark, leftover)
 
 
 def is_table(spark: SparkSession, path: str) -> bool:
@@ -71,6 +112,19 @@ def is_table(spark: SparkSession, path: str) -> bool:
     return exists(spark, path)
 
 
+def known_size(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own under the checkpoint folder and read back.
+
+    For a table with a row for each group that is to meet all rows: its size on storage is
+    known when the plan is made, so the planner broadcasts it while it is small, without moving the
+    rows, and takes a shuffled join beyond ``autoBroadcastJoinThreshold``.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/metricslake-sides/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # ---- reading -----------------------------------------------------------------------
 
 
@@ -79,12 +133,15 @@ def read_lake_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, merge_schema: bool = False) -> DataFrame:
     """The table, or an empty frame of ``schema`` when it does not exist yet or holds
-    no data file (a partitioned write of zero rows leaves only the directory)."""
+    no data file (a partitioned write of zero rows leaves only the directory).
+
+    ``merge_schema`` gives the columns of all files, not of one of them only.
+    """
     if is_table(spark, path):
         try:
-            return spark.read.parquet(path)
+            return spark.read.option("mergeSchema", merge_schema).parquet(path)
         except AnalysisException as e:
             if "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
@@ -157,17 +214,20 @@ def replace_table(spark: SparkSession, path: str, df: DataFrame, partition_by: I
     """Write ``df`` to a new directory, then swap it in for ``path``.
 
     ``df`` may read ``path`` itself (upsert, compaction): it is fully written before
-    the old directory is moved away. If the run stops between the two renames, the next
-    look at the table (:func:`recover`) moves the new directory in.
+    the old directory is moved away. A stop at any step leaves the old or the new table: if it
+    comes between the two renames, the next look at the table (:func:`recover`) moves the new
+    directory in. What earlier stops have left beside the table is deleted at the end.
     """
     recover(spark, path)
+    stale = [*_siblings(spark, path, "old"), *_siblings(spark, path, "new")]
     tag = uuid.uuid4().hex[:12]
     fresh, old = f"{path.rstrip('/')}.__new_{tag}", f"{path.rstrip('/')}.__old_{tag}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(fresh)
     if exists(spark, path):
         rename(spark, path, old)
-    rename(spark, fresh, path)
-    delete(spark, old)
+    _moved(spark, fresh, path)
+    for leftover in [old, *stale]:
+        delete(spark, leftover)
 
 
 def copy_tables(

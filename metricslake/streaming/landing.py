@@ -1,7 +1,8 @@
 """Structured Streaming forms of the two feeds.
 
 ``landing_stream``: run batches (JSON arrays) dropped in a landing folder ->
-contiguity gate -> completed prefix -> runs table + marks table.
+contiguity gate -> completed prefix -> runs table + marks table. Runs of a landing that does not
+connect to what is stored are held, and land when later landings close the gap.
 ``late_period_load``: weekly download files -> skip stored periods -> unpivot ->
 download table.
 
@@ -44,6 +45,17 @@ REJECTS_TABLE = T.StructType(
 RETRY_TABLE = T.StructType(
     [T.StructField("repository_id", T.LongType()), T.StructField(BATCH_COL, T.LongType())]
 )
+#: The landing (a batch id) that a held run came with, and the landings that have been released by a batch.
+LANDING_COL = "landing"
+RELEASED_TABLE = T.StructType(
+    [
+        T.StructField("repository_id", T.LongType()),
+        T.StructField(LANDING_COL, T.LongType()),
+        T.StructField(BATCH_COL, T.LongType()),
+    ]
+)
+#: Name of the column with a landed record as a whole.
+RECORD_COL = "record"
 
 
 def _write_partitions(df: DataFrame, path: str, partition_cols: list[str]) -> None:
@@ -86,6 +98,39 @@ def batch_time(spark: SparkSession, path: str, batch_id: int, now: dt.datetime)
     return now
 
 
+def held_tables(runs_path: str) -> tuple[str, str]:
+    """Where the runs that wait, and the landings that no longer do, are kept beside the runs."""
+    return f"{runs_path}_held", f"{runs_path}_released"
+
+
+def held_runs(spark: SparkSession, runs_path: str, schema: T.StructType = CI_RUNS, before_batch: int | None = None) -> DataFrame:
+    """Runs of landings that wait to connect (as of ``before_batch``), with their landing."""
+    held_path, released_path = held_tables(runs_path)
+    fields = [f for f in schema.fields if f.name != BATCH_COL]
+    held = lake.read_or_empty(spark, held_path, T.StructType([*fields, T.StructField(BATCH_COL, T.LongType())]), merge_schema=True)
+    released = lake.read_or_empty(spark, released_path, RELEASED_TABLE)
+    if before_batch is not None:
+        held, released = (t.where(F.col(BATCH_COL) < before_batch) for t in (held, released))
+    held = held.withColumn(LANDING_COL, F.col(BATCH_COL).cast("long")).drop(BATCH_COL)
+    gone = released.select(F.col("repository_id").alias("_rid"), F.col(LANDING_COL).alias("_landing"))
+    waits = (ingest.repo_id_col(held) == F.col("_rid")) & (F.col(LANDING_COL) == F.col("_landing"))
+    return held.join(gone, waits, "left_anti")
+
+
+def expire_held(spark: SparkSession, runs_path: str, before_batch: int) -> list[int]:
+    """Delete the held runs of landings that batches before ``before_batch`` have released whole;
+    returns those landings. The last batch must not be run again afterwards if it is one of them."""
+    held_path, _ = held_tables(runs_path)
+    if not lake.is_table(spark, held_path):
+        return []
+    waiting = {r[0] for r in held_runs(spark, runs_path, before_batch=before_batch).select(LANDING_COL).distinct().collect()}
+    stored = {r[0] for r in lake.read_or_empty(spark, held_path, RETRY_TABLE).select(BATCH_COL).distinct().collect()}
+    done = sorted(int(b) for b in stored - waiting if b is not None and b < before_batch)  # one for each batch that held runs
+    for landing in done:
+        lake.delete(spark, f"{held_path}/{BATCH_COL}={landing}")
+    return done
+
+
 def store_run_batch(
     spark: SparkSession,
     batch: DataFrame,
@@ -97,13 +142,26 @@ def store_run_batch(
     stale_hours: int | None = ingest.STALE_HOURS,
 ) -> None:
     """One micro-batch of landed runs (all repositories at once); of a run that several
-    landings hold, the newest copy counts."""
+    landings hold, the newest copy counts.
+
+    What waits from earlier batches takes part in the gate. Of a repository whose landing does not connect
+    nothing is stored; its runs are held under this batch and the repository is listed for a
+    retry. A batch that is run again reads the state of earlier batches and rewrites its own partitions.
+    """
+    held_path, released_path = held_tables(runs_path)
     marks = marks_before_batch(spark, marks_path, batch_id)
-    gate = ingest.contiguity_gate(ingest.newest_copies(batch), marks)
-    kept = ingest.completed_prefix(gate.accepted, marks, as_of, stale_hours)
-    commit_runs_and_mark(kept, batch_id, runs_path, marks_path)
+    waiting = held_runs(spark, runs_path, batch.schema, batch_id)
+    landed = batch.withColumn(LANDING_COL, F.lit(batch_id).cast("long"))
+    gate = ingest.connect_landings(landed.unionByName(waiting, allowMissingColumns=True), marks, LANDING_COL)
+    newest = ingest.newest_copies(gate.accepted.drop(LANDING_COL))
+    commit_runs_and_mark(ingest.completed_prefix(newest, marks, as_of, stale_hours), batch_id, runs_path, marks_path)
     tag = F.lit(batch_id).cast("long").alias(BATCH_COL)
-    _write_partitions(gate.rejected.select("*", tag), retry_path, [BATCH_COL])
+    own = F.col(LANDING_COL) == batch_id
+    _write_partitions(gate.held.where(own).drop(LANDING_COL).select("*", tag), held_path, [BATCH_COL])
+    released = gate.landings.where(F.col("connected") & ~own).select("repository_id", LANDING_COL, tag)
+    _write_partitions(released, released_path, [BATCH_COL])
+    retry = gate.landings.where(~F.col("connected") & own).select("repository_id", tag)
+    _write_partitions(retry, retry_path, [BATCH_COL])
 
 
 def commit_runs_and_mark(kept: DataFrame, batch_id: int, runs_path: str, marks_path: str) -> None:
@@ -121,6 +179,17 @@ def commit_runs_and_mark(kept: DataFrame, batch_id: int, runs_path: str, marks_p
     _write_partitions(ingest.new_high_water_mark(kept).select("*", tag), marks_path, [BATCH_COL])
 
 
+def whole_records(files: DataFrame, schema: T.StructType = CI_RUNS, record_col: str = RECORD_COL, text_col: str = "value") -> DataFrame:
+    """Landed files (a JSON array of records each) -> one row a record: the columns of ``schema`` in
+    their types, and the whole record as a variant, so fields that the model does not name are kept
+    whenever they appear. A file that is no JSON array or object of this kind is an error."""
+    strict = {"mode": "FAILFAST"}
+    typed = F.from_json(F.col(text_col), T.ArrayType(schema), strict).alias("_typed")
+    records = F.from_json(F.col(text_col), "array<variant>", strict).alias("_record")
+    rows = files.select(typed, records).select(F.inline(F.arrays_zip("_typed", "_record")))
+    return rows.select("_typed.*", F.col("_record").alias(record_col))
+
+
 def landing_stream(
     spark: SparkSession,
     landing_dir: str,
@@ -130,16 +199,21 @@ def landing_stream(
     available_now: bool = True,
     processing_time: str | None = None,
     schema: T.StructType = CI_RUNS,
+    record_col: str | None = RECORD_COL,
 ) -> StreamingQuery:
     """Continuously store landed CI runs; returns the started query.
 
-    ``schema`` names the fields of the landed records that are stored (the model's columns
-    among them). The time of a batch is stored with its id, so a replay uses the same one.
+    ``schema`` names the fields that are stored in columns of their own (the model's among them); the
+    whole record, with every field it has, is stored as a variant in ``record_col``
+    (none: only the columns). The time of a batch is stored with its id, so a replay uses the same one.
     """
     root = lake_root.rstrip("/")
     runs_path, marks_path, retry_path = f"{root}/ci_runs", f"{root}/ci_runs_marks", f"{root}/ci_runs_retry"
     checkpoint = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/landing_stream"
-    source = spark.readStream.schema(schema).option("multiLine", True).json(landing_dir)
+    if record_col is None:
+        source = spark.readStream.schema(schema).option("multiLine", True).json(landing_dir)
+    else:
+        source = whole_records(spark.readStream.option("wholetext", True).text(landing_dir), schema, record_col)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = batch_time(spark, f"{root}/ci_runs_batches", batch_id, as_of() if callable(as_of) else as_of)

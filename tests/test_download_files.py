@@ -1,7 +1,11 @@
 """Weekly download files: path rules, unpivot, rejects and the period key."""
 
+import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
+from metricslake.schemas import EXTENSION_DOWNLOADS
 from metricslake.sources import download_files as dl
 
 
@@ -47,3 +51,19 @@ def test_round_trip_from_table(spark):
     assert files.first().file_path == "lake/core/download-stats-weekly/2024/5.json"
     back = dl.unpivot_download_counts(dl.parse_period_path(files).valid).valid
     assert sorted((r.extension_name, r.downloads) for r in back.collect()) == [("a", 3), ("b", 4)]
+
+
+def test_files_of_stored_periods_are_not_opened(spark, tmp_path):
+    rows = [(2023 + y, w, e, 5, None, r) for y in range(2) for w in range(1, 5) for e in ("a", "b") for r in ("core", "community")]
+    downloads = spark.createDataFrame(rows, EXTENSION_DOWNLOADS).withColumn("last_update", F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz"))
+    plain = {r: str(tmp_path / r) for r in ("core", "community")}
+    assert dl.write_stat_files(downloads, plain) == 16
+    stored = downloads.where("repository = 'core' and year = 2023 or repository = 'community' and week < 4")
+    fresh = dl.read_new_files(spark, plain, stored)
+    assert len(fresh.inputFiles()) == 6
+    assert sorted(dl.read_download_stats(spark, plain, stored).valid.collect()) == sorted(downloads.exceptAll(stored).collect())
+    (tmp_path / "core" / dl.STATS_DIR / "2023" / "x{1}.json").write_text("{}")  # told by no period: read and rejected
+    got = dl.read_download_stats(spark, plain, stored)
+    assert got.rejected.count() == 1 and got.valid.count() == 12
+    assert dl.read_new_files(spark, plain, downloads).count() == 1
+    assert len(dl.read_new_files(spark, plain, stored, legacy_key=True).inputFiles()) == 2 + 1

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricslake.schemas import CI_RUNS, EXTENSION_DOWNLOADS
-from metricslake.sources import lake
+from metricslake.sources import change_log, lake
 
 
 def test_create_modes_and_append_by_name(spark, tmp_path):
@@ -136,3 +136,85 @@ def test_sources_by_specification(spark, tmp_path):
     assert list(generate_sources(spark, specs, lake_root, out, definitions, only=["other"])) == ["other"]
     with pytest.raises(ValueError):
         generate_sources(spark, specs, lake_root, out, definitions, only=["unknown"])
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_a_stop_at_every_step_leaves_old_or_new(spark, tmp_path, monkeypatch, step):
+    """Stops before the write, either rename or the cleanup; a leftover of an earlier stop lies beside."""
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    spark.range(111).write.parquet(f"{path}.__new_zzz")
+    spark.range(99).write.parquet(f"{path}.__old_aaa")
+    moves, real_rename, real_delete = [], lake.rename, lake.delete
+
+    def stop_at(n):
+        if len(moves) == n:
+            raise KeyboardInterrupt
+        moves.append(n)
+
+    def rename(s, src, dst):
+        stop_at(step - 1)
+        real_rename(s, src, dst)
+
+    def delete(s, p):
+        stop_at(step - 1)
+        real_delete(s, p)
+
+    def write():
+        if step == 0:
+            raise KeyboardInterrupt
+        lake.replace_table(spark, path, spark.range(5))
+
+    with monkeypatch.context() as m:
+        m.setattr(lake, "rename", rename)
+        m.setattr(lake, "delete", delete)
+        with pytest.raises(KeyboardInterrupt):
+            write()
+    assert lake.read_lake_table(spark, path).count() == (3 if step < 2 else 5)
+    lake.replace_table(spark, path, spark.range(7))
+    assert lake.read_lake_table(spark, path).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]  # nothing is left beside it
+
+
+def test_a_reader_may_finish_the_swap_first(spark, tmp_path, monkeypatch):
+    path, real = str(tmp_path / "t"), lake.rename
+    spark.range(3).write.parquet(path)
+
+    def rename(s, src, dst):
+        real(s, src, dst)
+        if src == path:
+            lake.recover(spark, path)  # a reader between the two renames
+
+    monkeypatch.setattr(lake, "rename", rename)
+    lake.replace_table(spark, path, spark.range(5))
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_a_dropped_table_stays_away(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    spark.range(3).write.parquet(f"{path}.__old_aaa")
+    lake.drop_table(spark, path)
+    assert not lake.is_table(spark, path)
+    spark.range(4).write.parquet(f"{path}.__new_bbb")  # a write that never got to its swap
+    assert not lake.is_table(spark, path)
+
+
+def test_change_log(spark, tmp_path):
+    path, form = str(tmp_path / "log"), "id long, v string"
+    states = [[(1, "A"), (2, "A"), (3, "A"), (None, "n")], [(1, "B"), (2, "B"), (4, "A"), (5, "x")], [(1, "C"), (2, "A"), (4, "A")], [(1, "B"), (2, "A"), (4, "Z"), (3, "A")]]
+    frames = [spark.createDataFrame(s, form) for s in states]
+    for k in (1, 2, 3, 3):
+        change_log.record(spark, path, frames[k - 1], frames[k], ["id"], k)
+    log = change_log.read(spark, path, 1, 3)
+    assert log.count() == 18
+    # 1 passed through B and came back to it, 2 and 3 are as before: only what is new and stayed
+    assert [tuple(r) for r in change_log.new_values(log).collect()] == [(4, "Z")]
+    net = sorted(change_log.net_changes(log, ["id"]).collect(), key=str)
+    assert [(r.id, r.v, r.change_type) for r in net] == [(1, "B", "update"), (4, "Z", "insert"), (None, "n", "delete")]
+    assert [tuple(r) for r in change_log.new_values(change_log.read(spark, path, 3, 3)).collect()] == [(1, "B"), (3, "A"), (4, "Z")]
+    # a column that comes later
+    wider = spark.createDataFrame([(1, "B", 7)], "id long, v string, w int")
+    change_log.record(spark, path, frames[3], wider, ["id"], 4)
+    assert change_log.new_values(change_log.read(spark, path, 4, 4)).first().w == 7
+    assert change_log.new_values(change_log.read(spark, path, 8, 9)).collect() == []

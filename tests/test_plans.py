@@ -1,11 +1,13 @@
 """Plan checks for every registered query: nothing that stops scaling out."""
 
+import datetime as dt
 import os
 import re
 
 import pytest
 
 import __spark_entry__ as entry
+from metricslake.operators import ingest
 from metricslake.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +57,25 @@ def test_tables_are_read_once(spark, name, scans):
     assert _plan(QUERIES[name](spark, SF)).count("FileScan") == scans
 
 
+@pytest.mark.parametrize("name", ["completed_prefix", "contiguity_gate", "reference_id_cut"])
+def test_runs_are_filtered_where_they_are_read(spark, name):
+    """The runs meet the table of their repositories without an exchange, before any runtime re-planning."""
+    text = _plan(QUERIES[name](spark, SF))
+    assert "AdaptiveSparkPlan isFinalPlan=false" in text
+    assert not re.search(r"hashpartitioning\([^)]*(_rid|repo_id|n_nationkey)", text)
+
+
+def test_a_large_side_is_not_broadcast(spark):
+    """Beyond the threshold the table of repositories is shuffled: its size is known, not hoped for."""
+    runs = spark.range(1000).selectExpr("id", "id % 7 as repo_id", "'completed' as status", "timestamp_ntz'2024-01-01' as updated_at")
+    marks = spark.range(1000).selectExpr("id as repository_id", "cast(1 as long) as max_run_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        assert "SortMergeJoin" in _plan(ingest.completed_prefix(runs, marks, dt.datetime(2024, 6, 1)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_nothing_runs_while_a_plan_is_built(spark):
     names = ("query_times_report", "benchmark_query_times", "top_n_weekly_pivot", "budgeted_work", "upsert_changed")
     for name in names:
