@@ -34,6 +34,13 @@ def non_test_runs(runs: DataFrame) -> DataFrame:
     return runs.where(~F.coalesce(F.col("is_test"), F.lit(False)))
 
 
+def of_runs(runs: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """The rows of result tables that belong to ``runs`` which are no tests: filtered before anything
+    is aggregated, where the table of run ids is small enough to be broadcast without moving them."""
+    ids = non_test_runs(runs).select("run_id")
+    return [t.join(ids, "run_id", "left_semi") for t in tables]
+
+
 def valid_timings(query_metrics: DataFrame) -> DataFrame:
     """Execution-time rows that are measurements: not NULL and above zero."""
     return query_metrics.where(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from metricslake import fixed as fx
 from metricslake.functions import exact_median, round_half_away
+from metricslake.operators import derived
 from metricslake.params import BenchmarkFilters
 from metricslake.plans import views
 
@@ -170,6 +171,12 @@ def baseline_medians(query_times: DataFrame, f: BenchmarkFilters) -> DataFrame:
     )
 
 
+def matching_runs(runs: DataFrame, f: BenchmarkFilters) -> DataFrame:
+    """The rows of ``runs`` that the filters select, before any timing is looked at."""
+    labelled = derived.run_labels(runs).withColumn("run_timestamp", F.col("run_ts"))
+    return labelled.where(selection(f)).select(*runs.columns)
+
+
 def selected_run(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
     """One-row frame with the chosen run id (the parameter, else the newest option)."""
     if f.run_id:
@@ -196,11 +203,9 @@ def query_times_report(
     """
     primary, secondary = f.pinned_versions[0], f.pinned_versions[1]
     of_type = query_times.where(F.col("storage_type") == f.storage_type)
-    # one row by its limit; a given run id is a literal that reaches the scans
-    if f.run_id:
-        sel = of_type.where(F.col("run_id") == f.run_id)
-    else:
-        sel = of_type.join(F.broadcast(selected_run(geomean, f)), "run_id", "left_semi")
+    # a literal or a scalar subquery (one row by its limit) on the key of every step below: the
+    # filter reaches the scans, so only the chosen run's timings are aggregated
+    sel = of_type.where(F.col("run_id") == (F.lit(f.run_id) if f.run_id else selected_run(geomean, f).scalar()))
     base = baseline_medians(query_times if baseline_times is None else baseline_times, f)
     # both releases from one aggregate: one row per (series, query)
     sides = base.groupBy("benchmark_series", "query").agg(

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from metricslake import ingest_queries, lake_queries, oracle_derived, oracle_reports
@@ -109,9 +108,13 @@ def q_all_runs(spark, sf_dir):
 def _query_times_report(f):
     def run(spark, sf_dir):
         runs, qr, qm = _bench(spark, sf_dir)
-        geomean = derived.benchmark_geomean(runs, qr, qm, ordered=False)
+        # the report needs few runs: one of those to choose from, and the pinned releases' for the baselines
+        options = br.matching_runs(runs, f)
+        pinned = runs.where((F.col("storage_type") == f.storage_type) & F.col("engine_version").isin(list(f.pinned_versions)))
+        geomean = derived.benchmark_geomean(options, *derived.of_runs(options, qr, qm), ordered=False)
         times = derived.benchmark_query_times(runs, qr, qm, ordered=False)
-        return br.query_times_report(geomean, times, f)
+        baselines = derived.benchmark_query_times(pinned, *derived.of_runs(pinned, qr, qm), ordered=False)
+        return br.query_times_report(geomean, times, f, baselines)
 
     return run
 
