@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricslake.llm.common import lean
+
 #: Bound of the training sample: pages, and blocks of a page (evenly spaced).
 SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 64
 #: Log-odds of a block inside markup for content, or for something else.
@@ -473,7 +475,7 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> np
                     out.append([*shape(told[k][0]), float(told[k][1] > 0)])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["row"])
 
-    told = sample.mapInArrow(run, "row array<double>").collect()
+    told = sample.mapInArrow(lean(run), "row array<double>").collect()
     if not told:
         return PRIOR.copy()
     rows_ = np.array(sorted(r["row"] for r in told))
@@ -499,4 +501,4 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "
                 names=[id_col, url_col, "text", "n_chars"],
             )
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")
+    return pages.select(id_col, url_col, html_col).mapInArrow(lean(run), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string, n_chars long")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 from struct import pack
 
@@ -27,8 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricslake.llm.common import lean
+
 #: Words whose codes a Python worker remembers; a memory bound, without effect on results.
 WORD_CACHE = 300_000
+#: Slots of the table of arcs (8 bytes each), a prime number.
+ARC_TABLE = 1_048_573
 
 
 def byte_symbols() -> list[str]:
@@ -59,7 +64,7 @@ class Automaton:
             self.parent.append(self.target[u])
             self.without.append(v)
             self.target[u] = step
-        self.arcs: dict[int, bool] = {}
+        self.arcs = array("q", [-1]) * ARC_TABLE
         self.trie: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         for label, i in vocab.items():
@@ -77,18 +82,20 @@ class Automaton:
         self.ends[node] = token
 
     def arc(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc for ``token``; kept in a table once known."""
+        """Whether ``state`` has an arc for ``token``: read from a table of fixed size, whose slots
+        hold the pair they were last compiled for."""
         key = state * len(self.labels) + token
-        known = self.arcs.get(key)
-        if known is None:
+        slot = key % ARC_TABLE
+        held = self.arcs[slot]
+        if held >> 1 != key:
             s, t = state, token
-            while s and not (known := self.made[t] < s and self.without[s] == t):
+            while s and not (self.made[t] < s and self.without[s] == t):
                 if self.made[t] >= s:
                     t = self.left[t]  # made after the state: it got the arc with its left part
                 else:
                     s = self.parent[s]
-            known = self.arcs[key] = not s
-        return known
+            held = self.arcs[slot] = key << 1 | (not s)
+        return bool(held & 1)
 
     def encode(self, word: list[str]) -> list[int]:
         """Token ids of a word's base symbols."""
@@ -153,7 +160,10 @@ class Codec:
         self.normalize = Tokenizer.from_str(spec).normalizer.normalize_str
         self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.symbol = byte_symbols()
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.names = [*self.automaton.labels, *[""] * (1 + max(self.special_label, default=0) - len(self.automaton.labels))]
+        for i, label in self.special_label.items():
+            self.names[i] = label
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if not text:
@@ -162,36 +172,28 @@ class Codec:
             return self.piece.findall(text.lower())
         return [piece for piece, _ in self.split(self.normalize(text))]
 
-    def word(self, piece: str) -> tuple[int, bytes, str]:
-        """Number of tokens, ids and labels of a piece."""
+    def word(self, piece: str) -> bytes:
+        """Packed ids of a piece."""
         coded = self.known.get(piece)
         if coded is None:
             base = [self.symbol[b] for b in piece.encode()]
             base[-1] += END
             ids = self.automaton.encode(base)
-            coded = len(ids), pack(f"<{len(ids)}I", *ids), " ".join(self.labels(ids))
+            coded = pack(f"<{len(ids)}I", *ids)
             if len(self.known) < WORD_CACHE:
                 self.known[piece] = coded
         return coded
 
-    def labels(self, ids) -> list[str]:
-        return [self.special_label.get(i) or self.automaton.labels[i] for i in ids]
-
     def encode(self, text: str | None) -> tuple[int, bytes, str]:
         """Number of tokens, ids as little-endian unsigned 32-bit integers, decoded text."""
         parts = self.cut.split(text or "") if self.cut else [text or ""]
-        coded = [
-            (1, pack("<I", self.special[p]), p) if k % 2 else w
-            for k, p in enumerate(parts)
-            for w in ([None] if k % 2 else map(self.word, self.pieces(p)))
-        ]
-        if not coded:
-            return 0, b"", ""
-        n, ids, labels = zip(*coded)
-        return sum(n), b"".join(ids), " ".join(labels)
+        coded = [pack("<I", self.special[p]) if k % 2 else b"".join(map(self.word, self.pieces(p))) for k, p in enumerate(parts)]
+        ids = b"".join(coded)
+        return len(ids) // 4, ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.labels(memoryview(ids).cast("I")))
+        """The labels of packed ids."""
+        return " ".join(map(self.names.__getitem__, memoryview(ids).cast("I")))
 
 
 @lru_cache(maxsize=2)
@@ -223,7 +225,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 names=[id_col, "n_tokens", "ids", "decoded"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
 
 
 def decode(coded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
@@ -241,7 +243,7 @@ def decode(coded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataF
             text = [own.decode(x or b"") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*kept, "decoded"])
 
-    return coded.select(*kept).mapInArrow(run, schema)
+    return coded.select(*kept).mapInArrow(lean(run), schema)
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import shutil
@@ -9,6 +10,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,23 @@ def thinned(rows: DataFrame, group: str, pick: str, wanted: int) -> DataFrame:
     return rows.join(F.broadcast(counts), group).filter(place <= F.lit(2.0 * wanted) / F.col("_rows")).drop("_rows")
 
 
+def lean(run):
+    """A task's function over Arrow batches that gives freed memory back to the system when it ends:
+    Python workers live on for later tasks, beside the executor's JVM."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return trimmed
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished plans now: it does so for plans
     that the driver's garbage collection finds unused, which may not run for a long time."""

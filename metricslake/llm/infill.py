@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricslake.llm.common import lean
+
 #: Texts whose bytes are viewed at once, a bound on memory (one longer text comes by itself).
 SLICE_BYTES = 16 << 20
 
@@ -190,7 +192,7 @@ def rewritten(docs: DataFrame, how: Form | None = None, id_col: str = "doc_id",
                 yield part(batch.slice(begin, end - begin))
                 begin = end
 
-    out = rows.mapInArrow(run, f"`{id_col}` {kind}, n long, form string, prefix_chars long, middle_chars long, output binary")
+    out = rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n long, form string, prefix_chars long, middle_chars long, output binary")
     return out.withColumn("output", F.col("output").cast("string"))
 
 
@@ -209,7 +211,7 @@ def restored(rows: DataFrame, how: Form | None = None) -> DataFrame:
     def restore_bytes(output, form):
         return None if output is None else restore(output, form, how)
 
-    return rows.select(*kept).mapInArrow(run, rows.select(*kept).schema.add("restored", "string"))
+    return rows.select(*kept).mapInArrow(lean(run), rows.select(*kept).schema.add("restored", "string"))
 
 
 def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

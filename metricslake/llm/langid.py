@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import thinned
+from metricslake.llm.common import lean, thinned
 
 #: Longest n-gram.
 ORDER = 4
@@ -295,4 +295,4 @@ def predict(docs: DataFrame, models: list[tuple[str, bytes]], text_col: str = "t
                 names=[*kept, *added],
             )
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import drop_written, release, written
+from metricslake.llm.common import drop_written, lean, release, written
 from metricslake.llm.components import components
 
 #: Coordinates of a point, and the bits of a shingle's hash that choose one.
@@ -123,7 +123,7 @@ def counters(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_pydict(told, pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
     form = "chunk int, counts binary"
-    parts = docs.select(text_col).mapInArrow(count, form).repartition(COUNTER_CHUNKS, "chunk").mapInArrow(add, form)
+    parts = docs.select(text_col).mapInArrow(lean(count), form).repartition(COUNTER_CHUNKS, "chunk").mapInArrow(lean(add), form)
     out = np.zeros((COUNTER_CHUNKS, width), "<i4")
     for row in parts.collect():  # COUNTER_CHUNKS rows
         out[row["chunk"]] = np.frombuffer(row["counts"], "<i4")
@@ -159,7 +159,7 @@ def points(docs: DataFrame, size: int, threshold: Threshold, counts: np.ndarray,
             )
 
     form = "doc_id long, n long, hi long, lo long, keys array<long>, vec binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, form)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), form)
 
 
 class Tree:
@@ -343,7 +343,7 @@ def _pairs(rows: DataFrame, find, threshold: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _sets(size: int):
@@ -429,7 +429,7 @@ def join(docs: DataFrame, size: int, threshold: Threshold, id_col: str = "doc_id
     paired = near.select(F.explode(F.array("a", "b")).alias("node")).union(met.filter(chunks > 1).select("node")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     form = "node long, shingles array<long>"
-    found = texts.join(paired, "node", "left_semi").mapInArrow(_sets(size), form).filter(F.size("shingles") > 0)
+    found = texts.join(paired, "node", "left_semi").mapInArrow(lean(_sets(size)), form).filter(F.size("shingles") > 0)
     sets = written(found, "sets")
     release(spark)
 

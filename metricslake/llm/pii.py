@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricslake.llm.common import lean
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "ssn")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mongodb://", "redis://")
@@ -238,7 +240,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ARROW_SPANS)], names=[id_col, "spans"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, spans {SPANS}")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, spans {SPANS}")
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -252,7 +254,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array([redact(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

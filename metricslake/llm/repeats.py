@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import drop_written, release, written
+from metricslake.llm.common import drop_written, lean, release, written
 
 #: Shortest repeat, and the strings that represent it.
 LENGTH, PIECE = 100, 32
@@ -259,7 +259,7 @@ def spans(docs: DataFrame) -> DataFrame:
     from rows ``doc`` and ``text``."""
     spark = docs.sparkSession
     own = docs.select("doc", "text")
-    known = written(own.filter(F.octet_length("text") >= LENGTH).mapInArrow(_runs, "doc long, keys array<long>, places array<long>"), "runs")
+    known = written(own.filter(F.octet_length("text") >= LENGTH).mapInArrow(lean(_runs), "doc long, keys array<long>, places array<long>"), "runs")
     counts = known.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
     counts = written(counts.filter("rows > 1"), "counts")
     release(spark)
@@ -271,11 +271,11 @@ def spans(docs: DataFrame) -> DataFrame:
 
     form = "key long, chunk int, several boolean, doc long, start long, data binary"
     # written next to each other in a document, overlapping bytes take little room
-    taken = written(own.join(met, "doc").mapInArrow(_with_bytes, form), "bytes")
+    taken = written(own.join(met, "doc").mapInArrow(lean(_with_bytes), form), "bytes")
     drop_written(spark, met)
     release(spark)
     dealt = taken.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    found = written(dealt.mapInArrow(_found, "doc long, `from` long, `to` long, hi long, lo long"), "found")
+    found = written(dealt.mapInArrow(lean(_found), "doc long, `from` long, `to` long, hi long, lo long"), "found")
     drop_written(spark, taken)
     del dealt
     release(spark)
@@ -319,7 +319,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     return keyed.join(marks, "doc", "left").select(id_col, "text", "_spans").mapInArrow(
-        run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
+        lean(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
 

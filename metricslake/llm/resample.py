@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import written
+from metricslake.llm.common import lean, written
 
 BUCKETS = 10_000
 #: What stands between words: every ASCII character but digits and lower-case letters.
@@ -103,7 +103,7 @@ def bucket_counts(texts: DataFrame, text_col: str, low: int, high: int, buckets:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
-    told = texts.select(F.col(text_col).cast("string")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    told = texts.select(F.col(text_col).cast("string")).mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for row in told.collect():
         out[row["bucket"]] = row["n"]
@@ -137,7 +137,7 @@ def weights(docs: DataFrame, gain: np.ndarray, low: int, high: int, id_col: str,
                 begin += len(part)
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_features long, weight long")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, n_words long, n_features long, weight long")
 
 
 def gumbel(id_col: str, seed: int) -> Column:

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricslake.llm.common import lean
+
 BLOCK_ROWS = 4096
 TILE_ROWS = 512
 
@@ -64,7 +66,7 @@ def _packs(size: int):
 
 def packs(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of at most ``size`` rows of equal dimension: ``dim``, ``turn``, ``ids``, ``data``."""
-    return rows.mapInArrow(_packs(size), "dim int, turn long, ids binary, data binary")
+    return rows.mapInArrow(lean(_packs(size)), "dim int, turn long, ids binary, data binary")
 
 
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -106,7 +108,7 @@ def search(queries: DataFrame, rows: DataFrame, per_pair: Search, score_type: st
                 columns = [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    found = pairs.mapInArrow(lean(run), f"query_id long, vec_id long, score {score_type}")
     # a repeated row may come from two blocks
     once = found.groupBy("query_id", "vec_id").agg((F.max if largest else F.min)("score").alias("score"))
     order = F.col("score").desc() if largest else F.col("score")

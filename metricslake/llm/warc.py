@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import new_path, written
+from metricslake.llm.common import lean, new_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -197,7 +197,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         if sink is not None:
             yield told()
 
-    return written(typed.mapInArrow(run, "path string, bytes long, records long"), "manifest")
+    return written(typed.mapInArrow(lean(run), "path string, bytes long, records long"), "manifest")
 
 
 SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -236,7 +236,7 @@ def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BY
                     if waiting:
                         yield pa.RecordBatch.from_pylist(waiting, ARROW)
 
-    return ranges.repartition(parts).mapInArrow(run, SCHEMA)
+    return ranges.repartition(parts).mapInArrow(lean(run), SCHEMA)
 
 
 def oracle() -> str:
