@@ -32,8 +32,9 @@ from metricslake.llm.common import lean
 
 #: Words whose codes a Python worker remembers; a memory bound, without effect on results.
 WORD_CACHE = 300_000
-#: Slots of the table of arcs (8 bytes each), a prime number.
-ARC_TABLE = 1_048_573
+#: Slots of the table of arcs (8 bytes each), a power of two.
+ARC_TABLE = 1 << 20
+ARC_MASK = ARC_TABLE - 1
 
 
 def byte_symbols() -> list[str]:
@@ -81,40 +82,41 @@ class Automaton:
             node = nxt
         self.ends[node] = token
 
-    def arc(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc for ``token``: read from a table of fixed size, whose slots
-        hold the pair they were last compiled for."""
-        key = state * len(self.labels) + token
-        slot = key % ARC_TABLE
-        held = self.arcs[slot]
-        if held >> 1 != key:
-            s, t = state, token
-            while s and not (self.made[t] < s and self.without[s] == t):
-                if self.made[t] >= s:
-                    t = self.left[t]  # made after the state: it got the arc with its left part
-                else:
-                    s = self.parent[s]
-            held = self.arcs[slot] = key << 1 | (not s)
-        return bool(held & 1)
+    def arc(self, state: int, token: int) -> int:
+        """Compiles whether ``state`` has an arc for ``token`` (the lowest bit) into the table of arcs. It
+        has a fixed size; a slot holds the pair it was last compiled for (the other bits)."""
+        key, s, t = state * len(self.labels) + token, state, token
+        while s and not (self.made[t] < s and self.without[s] == t):
+            if self.made[t] >= s:
+                t = self.left[t]  # made after the state: it got the arc with its left part
+            else:
+                s = self.parent[s]
+        held = self.arcs[key & ARC_MASK] = key << 1 | (not s)
+        return held
 
     def encode(self, word: list[str]) -> list[int]:
         """Token ids of a word's base symbols."""
-        n = len(word)
+        n, size, arcs = len(word), len(self.labels), self.arcs
+        trie, ends, target = self.trie, self.ends, self.target
         last: list[int] = [-1] * (n + 1)
         begins: list[int] = [0] * (n + 1)
         for start in range(n):
             if start and last[start] < 0:
                 continue
-            state = self.target[last[start]] if start else 0
+            state = target[last[start]] if start else 0
             node = 0
-            for end in range(start, n):
-                nxt = self.trie[node].get(word[end])
-                if nxt is None:
+            for end in range(start + 1, n + 1):
+                node = trie[node].get(word[end - 1])
+                if node is None:
                     break
-                node = nxt
-                token = self.ends[node]
-                if token >= 0 and self.arc(state, token):
-                    last[end + 1], begins[end + 1] = token, start
+                token = ends[node]
+                if token >= 0:
+                    key = state * size + token
+                    held = arcs[key & ARC_MASK]
+                    if held >> 1 != key:
+                        held = self.arc(state, token)
+                    if held & 1:
+                        last[end], begins[end] = token, start
         ids, at = [], n
         while at:
             if last[at] < 0:
