@@ -80,17 +80,28 @@ def net_changes(log: DataFrame, keys: list[str]) -> DataFrame:
     delete). Keys that end as they began, or come and go inside the range, are absent.
     """
     columns = [c for c in log.columns if c not in (TYPE_COL, SNAPSHOT_COL)]
-    image = F.struct(*columns)
     new = F.col(TYPE_COL).isin(*NEW)
-    # within a snapshot the image before comes first
-    place = F.struct(F.col(SNAPSHOT_COL), new.cast("int"))
-    ends = log.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.min_by(F.struct(new.alias("new"), image.alias("image")), place).alias("_first"),
-        F.max_by(F.struct(new.alias("new"), image.alias("image")), place).alias("_last"),
-    )
-    before = F.when(~F.col("_first.new"), F.col("_first.image"))
-    after = F.when(F.col("_last.new"), F.col("_last.image"))
+    # within a snapshot the image before comes first; one row for each key and place
+    place = F.col(SNAPSHOT_COL) * 2 + new.cast("long")
+    rows = log.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], place.alias("_place"), new.alias("_new"), F.struct(*columns).alias("_image"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    ends = rows.groupBy(*own).agg(F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
+
+    def at(end: str, name: str) -> DataFrame:
+        """The image at one end of each key's changes, null if there is no row there."""
+        told = ends.select(*[F.col(k).alias(f"{name}{k}") for k in own], F.col(end).alias(f"_at_{name}"))
+        same = F.col("_place") == F.col(f"_at_{name}")
+        for k in own:
+            same &= F.col(k).eqNullSafe(F.col(f"{name}{k}"))
+        image = F.when(F.col("_new") == (name == "last"), F.col("_image"))
+        return rows.join(told, same).select(*[F.col(f"{name}{k}") for k in own], image.alias(f"_{name}"))
+
+    same = F.lit(True)
+    for k in own:
+        same &= F.col(f"first{k}").eqNullSafe(F.col(f"last{k}"))
+    before, after = F.col("_first"), F.col("_last")
     kind = F.when(before.isNull() & after.isNull(), None).when(before.isNull(), "insert").when(after.isNull(), "delete")
     kind = kind.when(~before.eqNullSafe(after), "update")
-    told = ends.select(kind.alias(TYPE_COL), F.coalesce(after, before).alias("_image")).where(F.col(TYPE_COL).isNotNull())
+    met = at("_lo", "first").join(at("_hi", "last"), same)
+    told = met.select(kind.alias(TYPE_COL), F.coalesce(after, before).alias("_image")).where(F.col(TYPE_COL).isNotNull())
     return told.select("_image.*", TYPE_COL)
