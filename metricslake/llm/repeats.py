@@ -3,10 +3,9 @@
 A byte is removed if a string of LENGTH bytes that covers it also starts earlier: in a
 document with a smaller id, or before in the same one. In suffix order the earlier matches
 of a position are at its previous and next smaller positions; its longest previous factor
-is the longer of the two common prefixes. Only factors of LENGTH bytes or more count, so
-suffixes are compared up to LENGTH bytes and equal ones stand in text order: then the
-previous smaller position is the neighbour before, whenever the two share LENGTH bytes, and
-the next smaller one never shares more.
+is the longer of the two common prefixes, each the smallest of those between neighbours on
+the way (:func:`previous_factors`). Bytes under a factor of LENGTH go, so suffixes are compared
+up to LENGTH bytes.
 
 The corpus has no suffix array in one place. Every string of LENGTH bytes is represented by
 the first of its PIECE-byte strings with the smallest hash, whose choice depends on the
@@ -154,11 +153,55 @@ def string_hashes(joined: np.ndarray) -> np.ndarray:
         power, size = power * power % 2**64, 2 * size
 
 
+def common_prefixes(suffix: np.ndarray) -> np.ndarray:
+    """Of each row of bytes (rows are sorted) the length of the prefix that it shares with the row before."""
+    differ = suffix[1:] != suffix[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), suffix.shape[1])
+    return np.concatenate([[0], shared]).astype(np.int16)
+
+
+def smaller_before(position: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
+    """The prefix that each suffix shares with the nearest one before it, in suffix order, whose position
+    in the text is smaller (0 without one).
+
+    Minima over 1, 2, 4, ... neighbours are kept, of positions and of common prefixes; from the longest
+    stretch to the shortest one, a suffix passes those without a smaller position.
+    """
+    n = len(position)
+    low, least, size = [position], [shared], 1
+    while 2 * size < n:
+        for table in (low, least):
+            last = table[-1]
+            table.append(np.concatenate([last[:size], np.minimum(last[size:], last[:-size])]))
+        size *= 2
+    at, factor = np.arange(n), np.full(n, width, np.int16)
+    for level in range(len(low) - 1, -1, -1):
+        some = np.flatnonzero(at >= 1 << level)
+        some = some[low[level][at[some] - 1] >= position[some]]
+        factor[some] = np.minimum(factor[some], least[level][at[some]])
+        at[some] -= 1 << level
+    return np.where(at > 0, np.minimum(factor, shared[at]), 0)
+
+
+def previous_factors(suffix: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix: the longest prefix that also starts at a smaller position.
+
+    ``suffix`` has sorted rows of bytes, of which factors are prefixes, and ``position`` their positions. In suffix
+    order the earlier suffixes that share most stand at the previous and the next smaller position.
+    """
+    if not len(suffix):
+        return np.zeros(0, np.int16)
+    shared = common_prefixes(suffix)
+    before = smaller_before(position, shared, suffix.shape[1])
+    after = smaller_before(position[::-1], np.concatenate([shared[:1], shared[:0:-1]]), suffix.shape[1])[::-1]
+    return np.maximum(before, after)
+
+
 def factors(data: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All strings of LENGTH bytes of some runs, which are in text order: for each its run, its
-    offset there, and whether an equal string starts earlier (a longest previous factor of LENGTH).
+    offset there, and whether its longest previous factor has LENGTH bytes.
 
-    Strings whose hash is alone have no equal and stay out of the suffix order.
+    Strings whose hash is alone have no equal, so a shorter factor, and stay out of the suffix order.
     """
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     strings = sizes - LENGTH + 1
@@ -176,13 +219,10 @@ def factors(data: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.n
     if len(some):
         suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, LENGTH)[place[some]])
         order = np.argsort(suffix.view(f"V{LENGTH}").ravel(), kind="stable")
-        suffix = suffix[order].view(np.uint32)
-        first = np.concatenate([[True], (suffix[1:] != suffix[:-1]).any(1)])
-        # the first of equal strings; a repeated row starts at the same place, not earlier
-        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        # positions in the text, by rank; a repeated row starts at the same position, not earlier
         at_doc, at_start = doc[run[some]], (start[run] + within)[some]
-        later = (at_doc[order] != at_doc[head]) | (at_start[order] != at_start[head])
-        repeated[some[order]] = later
+        position = np.cumsum((np.diff(at_doc, prepend=at_doc[0]) != 0) | (np.diff(at_start, prepend=at_start[0]) != 0))
+        repeated[some[order]] = previous_factors(suffix[order], position[order]) >= LENGTH
     return run, within, repeated
 
 

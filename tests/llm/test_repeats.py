@@ -85,3 +85,17 @@ def test_runs_cover_all_strings_and_depend_on_their_bytes():
         assert starts == list(range(max(0, len(t) - 99)))
     of = lambda n, s: next(k for k, x in zip(keys[n], places[n]) if x // repeats.RUN <= s <= x // repeats.RUN + x % repeats.RUN)
     assert all(of(3, 200 + s) == of(5, 2 + s) for s in range(len(shared) - 99))
+
+
+@pytest.mark.parametrize("letters, n, width", [(1, 40, 5), (2, 300, 8), (3, 257, 6), (26, 100, 4), (2, 1, 3), (2, 2, 3)])
+def test_longest_previous_factors(letters, n, width):
+    """Against all pairs, some positions being those of repeated rows."""
+    rng = np.random.default_rng(letters * n)
+    rows = rng.integers(97, 97 + letters, (n, width)).astype(np.uint8)
+    position = np.sort(rng.integers(0, n, n)) if n > 2 else np.arange(n)
+    share = lambda a, b: next((k for k in range(width) if a[k] != b[k]), width)
+    want = [max((share(rows[i], rows[j]) for j in range(n) if position[j] < position[i]), default=0) for i in range(n)]
+    order = rng.permutation(n)  # equal suffixes may stand in any order
+    order = order[np.argsort(np.ascontiguousarray(rows[order]).view(f"V{width}").ravel(), kind="stable")]
+    assert repeats.previous_factors(rows[order], position[order]).tolist() == [want[i] for i in order]
+    assert repeats.previous_factors(rows[:0], position[:0]).tolist() == []
