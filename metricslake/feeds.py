@@ -160,14 +160,16 @@ def jobs_to_fetch(
 
 
 def update_jobs(spark: SparkSession, lake_root: str, landed: DataFrame) -> None:
-    """Append landed jobs (the first batch creates the table)."""
+    """Append landed jobs (the first batch creates the table), stored by the month of their run, so
+    that :func:`jobs_to_fetch` reads the months of recent runs only."""
     path = _path(lake_root, "ci_jobs")
-    batch = typed_records(landed, CI_JOBS)
     lake.require_non_empty(spark, path, "ci_jobs")
+    batch = ingest.with_run_month(typed_records(landed, CI_JOBS), stored_runs(spark, lake_root))
+    batch = batch.hint("rebalance", ingest.RUN_MONTH)
     if lake.is_table(spark, path):
         lake.append_records(spark, path, batch)
     else:
-        lake.create_table_as(spark, path, batch)
+        batch.write.partitionBy(ingest.RUN_MONTH).parquet(path)
 
 
 def update_downloads(

@@ -197,6 +197,10 @@ def q_column_profile(spark, sf_dir):
     return changes.column_profile(li)
 
 
+def q_column_profile_stored(spark, sf_dir):
+    return changes.stored_profile(configure(spark), f"{sf_dir}/lineitem.parquet")
+
+
 def _downloads(spark, sf_dir):
     configure(spark)
     return model_table(spark, sf_dir, "extension_downloads")
@@ -252,6 +256,7 @@ QUERIES = {
     "snapshot_diff": q_snapshot_diff,
     "snapshot_changes": q_snapshot_changes,
     "column_profile": q_column_profile,
+    "column_profile_stored": q_column_profile_stored,
     "parse_period_path": q_parse_period_path,
     "unpivot_download_counts": q_unpivot_download_counts,
     "skip_stored_periods": q_skip_stored_periods,
@@ -451,6 +456,7 @@ where b.id is null or a.id is null
         _SNAPS + [("after2", "select * from after where event <> '5-LOW'")],
     ),
     "column_profile": _profile_sql(),
+    "column_profile_stored": _profile_sql(),
     "parse_period_path": with_views(
         _DL,
         """select repository,

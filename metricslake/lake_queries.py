@@ -11,9 +11,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricslake.ingest_queries import AS_OF
+from metricslake.ingest_queries import AS_OF, JOBS_AS_OF
+from metricslake.ingest_queries import ORACLES as INGEST_ORACLES
 from metricslake.operators import derived, ingest
-from metricslake.oracle_derived import BENCH_VIEWS, LABELS, OK_MEANS
+from metricslake.oracle_derived import BENCH_VIEWS, LABELS, OK_MEANS, TIMING
+from metricslake.params import BenchmarkFilters
+from metricslake.plans import benchmark_reports as br
 from metricslake.schemas import CI_REPOSITORIES, EXTENSION_DOWNLOADS
 from metricslake.session import checkpoint_dir, configure
 from metricslake.sources import change_log, lake
@@ -29,6 +32,7 @@ from metricslake.streaming.landing import (
 )
 
 RUNS_PER_FILE = 500
+NATIVE = BenchmarkFilters(storage_type="native", benchmarks=("tpch",))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -224,6 +228,29 @@ def q_change_log_net(spark, sf_dir):
     return change_log.net_changes(_log(spark, sf_dir), ["id"])
 
 
+def q_runs_without_jobs_stored(spark, sf_dir):
+    """Jobs stored by the month of their run; only the months of recent runs are read again."""
+    path = f"{_folder(spark)}/ci_jobs"
+    runs = model_table(spark, sf_dir, "ci_runs")
+    jobs = ingest.with_run_month(model_table(spark, sf_dir, "ci_jobs"), runs).hint("rebalance", ingest.RUN_MONTH)
+    jobs.write.partitionBy(ingest.RUN_MONTH).parquet(path)
+    return ingest.runs_without_jobs(runs, lake.read_lake_table(spark, path), JOBS_AS_OF)
+
+
+def q_approximate_baselines(spark, sf_dir):
+    """Groups of baselines with their number of medians, and whether the approximate middle keeps its bound."""
+    tables = [model_table(spark, sf_dir, n) for n in BENCH_VIEWS]
+    times = derived.benchmark_query_times(*tables, ordered=False)
+    path, keys = f"{_folder(spark)}/baseline_sketches", br.BASELINE_KEYS
+    br.baseline_sketches(times).write.parquet(path)
+    near = br.merged_baselines(lake.read_lake_table(spark, path), NATIVE)
+    # the share of medians below the answer, and up to it, must have the middle between them
+    ranked = br.pinned_times(times, NATIVE).where("median_seconds is not null").join(near, keys)
+    below, upto = (F.avg(c.cast("double")) for c in (F.col("median_seconds") < F.col("baseline_seconds"), F.col("median_seconds") <= F.col("baseline_seconds")))
+    error = F.greatest(below - 0.5, 0.5 - upto)
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n_medians"), (error <= br.SKETCH_ERROR).alias("within_bound"))
+
+
 def q_run_labels(spark, sf_dir):
     configure(spark)
     labelled = derived.run_labels(derived.non_test_runs(model_table(spark, sf_dir, "runs")))
@@ -248,6 +275,8 @@ QUERIES = {
     "require_non_empty": q_require_non_empty,
     "change_log_diff": q_change_log_diff,
     "change_log_net": q_change_log_net,
+    "runs_without_jobs_stored": q_runs_without_jobs_stored,
+    "approximate_baselines": q_approximate_baselines,
 }
 
 _STALE = f"TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}' - INTERVAL {ingest.STALE_HOURS} HOUR"
@@ -338,6 +367,16 @@ ORACLES = {
     ),
     "change_log_diff": with_views(["ci_runs"], _LOG_DIFF, _LOG_CTES),
     "change_log_net": with_views(["ci_runs"], _LOG_NET, _LOG_CTES),
+    "runs_without_jobs_stored": INGEST_ORACLES["runs_without_jobs"],
+    "approximate_baselines": with_views(
+        BENCH_VIEWS,
+        """select s.benchmark_series, t.query, s.engine_version, count(*) as n_medians, true as within_bound
+from labelled s join (select run_id, query from query_metrics m where """ + TIMING + """ group by all) t using (run_id)
+join query_results q on q.run_id = t.run_id and q.query = t.query
+where s.storage_type = 'native' and s.engine_version in (""" + ", ".join(f"'{v}'" for v in NATIVE.pinned_versions) + """)
+group by all""",
+        [("labelled", LABELS)],
+    ),
     "run_labels": with_views(
         BENCH_VIEWS,
         "select run_id, run_date, scale_factor_label, benchmark_series, cpu_arch_label, machine_label from labelled",

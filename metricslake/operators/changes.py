@@ -12,10 +12,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricslake.sources import lake
+
+#: Types whose smallest and largest value the statistics of a file give exactly, and types without statistics.
+WITH_EXTREMES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+
 
 def _aligned(batch: DataFrame, target: DataFrame) -> DataFrame:
     """The batch with the target's columns, by name, in the target's order and types."""
@@ -101,13 +108,15 @@ def _is_floating(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DoubleType, T.FloatType))
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, cast_to: str = "string") -> DataFrame:
+def column_profile(
+    df: DataFrame, columns: list[str] | None = None, cast_to: str = "string", null_counts: dict[str, int] | None = None
+) -> DataFrame:
     """Per column: min, max (cast to ``cast_to``), whether it holds a NaN, NULL count.
 
     One aggregate job over all the columns (partial aggregation per task), then one
-    row per column.
+    row per column. ``null_counts`` holds those that are known already.
     """
-    columns = columns or df.columns
+    columns, known = columns or df.columns, null_counts or {}
     types = {f.name: f.dataType for f in df.schema}
     aggs: list[Column] = []
     for i, c in enumerate(columns):
@@ -116,7 +125,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, cast_to: str
             F.min(c).cast(cast_to).alias(f"_min{i}"),
             F.max(c).cast(cast_to).alias(f"_max{i}"),
             nan.alias(f"_nan{i}"),
-            F.count_if(F.col(c).isNull()).alias(f"_null{i}"),
+            (F.lit(known[c]).cast("long") if c in known else F.count_if(F.col(c).isNull())).alias(f"_null{i}"),
         ]
     one = df.agg(*aggs)
     rows = F.array(
@@ -134,5 +143,31 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, cast_to: str
     return one.select(F.inline(rows))
 
 
+def stored_profile(spark: SparkSession, path: str, columns: list[str] | None = None, cast_to: str = "string") -> DataFrame:
+    """:func:`column_profile` of a stored table from the statistics of its files, as far as they tell.
+
+    NULL counts come from the footers when this is called. Whole numbers and dates without a NULL have their
+    extremes from there too; only the other columns (text, fractions, times, and those with NULLs, whose
+    row groups may have no extremes) are read. Files without statistics are read as a whole.
+    """
+    table = lake.read_by_statistics(spark, path)
+    columns, types = columns or table.columns, {f.name: f.dataType for f in table.schema}
+    apart = set(lake.partition_columns(spark, path))  # not in the files
+    flat = [c for c in columns if c not in apart and not isinstance(types[c], NESTED)]
+    try:
+        *filled, rows = table.agg(*[F.count(c) for c in flat], F.count(F.lit(1))).first()
+    except PySparkException as e:
+        if "aggregatePushdown" not in str(e):
+            raise
+        return column_profile(spark.read.parquet(path), columns, cast_to)
+    # a table without row groups has no counts
+    nulls = {c: (rows or 0) - (n or 0) for c, n in zip(flat, filled)}
+    told = [c for c in flat if rows and not nulls[c] and isinstance(types[c], WITH_EXTREMES)]
+    rest = [c for c in columns if c not in told]
+    parts = [column_profile(table, told, cast_to, nulls)] if told else []
+    parts += [column_profile(spark.read.parquet(path), rest, cast_to, nulls)] if rest else []
+    return reduce(DataFrame.unionByName, parts)
+
+
 def max_id(df: DataFrame, col: str = "id") -> DataFrame:
     return df.agg(F.max(col).alias("max_id"))

@@ -152,6 +152,12 @@ def run_options(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
     )
 
 
+#: Baselines are kept for each of these.
+BASELINE_KEYS = ["benchmark_series", "query", "engine_version"]
+#: Size of the quantile sketches, and the share of a group by which a median from them may be off in rank.
+SKETCH_K, SKETCH_ERROR = 800, 0.01
+
+
 def baseline_medians(query_times: DataFrame, f: BenchmarkFilters) -> DataFrame:
     """Median of the per-run medians per (series, query, pinned version).
 
@@ -159,16 +165,35 @@ def baseline_medians(query_times: DataFrame, f: BenchmarkFilters) -> DataFrame:
     so it grows with the data: the exact median spreads every group over tasks by
     value range (no group is gathered into one task).
     """
-    qt = query_times.where(
-        (F.col("storage_type") == f.storage_type)
-        & F.col("engine_version").isin(list(f.pinned_versions))
-    )
-    return exact_median(
-        qt,
-        ["benchmark_series", "query", "engine_version"],
-        "median_seconds",
-        "baseline_seconds",
-    )
+    return exact_median(pinned_times(query_times, f), BASELINE_KEYS, "median_seconds", "baseline_seconds")
+
+
+def pinned_times(query_times: DataFrame, f: BenchmarkFilters) -> DataFrame:
+    """Rows of the storage type and the pinned versions (of query times, or of sketches of them)."""
+    pinned = F.col("engine_version").isin(list(f.pinned_versions))
+    return query_times.where((F.col("storage_type") == f.storage_type) & pinned)
+
+
+def baseline_sketches(query_times: DataFrame) -> DataFrame:
+    """A quantile sketch of the per-run medians per storage type, BASELINE_KEYS and day of the run.
+
+    Stored beside the query times, the sketches of new days are appended and no old timing is
+    read again. Each is a partial aggregate of bounded size, so a hot release costs no task more.
+    """
+    day = F.col("run_timestamp").cast("date").alias("run_day")
+    rows = query_times.where(F.col("median_seconds").isNotNull())
+    sketch = F.kll_sketch_agg_double("median_seconds", SKETCH_K).alias("sketch")
+    return rows.groupBy("storage_type", *BASELINE_KEYS, day).agg(sketch)
+
+
+def merged_baselines(sketches: DataFrame, f: BenchmarkFilters) -> DataFrame:
+    """:func:`baseline_medians` from stored sketches, approximately.
+
+    ``baseline_seconds`` is a value that occurs, and its rank is off the middle by at most SKETCH_ERROR of the
+    group's size but for a chance well below one in a million.
+    """
+    whole = pinned_times(sketches, f).groupBy(*BASELINE_KEYS).agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("_sketch"))
+    return whole.select(*BASELINE_KEYS, F.kll_sketch_get_quantile_double("_sketch", F.lit(0.5)).alias("baseline_seconds"))
 
 
 def matching_runs(runs: DataFrame, f: BenchmarkFilters) -> DataFrame:
@@ -192,21 +217,29 @@ def selected_run(geomean: DataFrame, f: BenchmarkFilters) -> DataFrame:
 
 
 def query_times_report(
-    geomean: DataFrame, query_times: DataFrame, f: BenchmarkFilters, baseline_times: DataFrame | None = None
+    geomean: DataFrame,
+    query_times: DataFrame,
+    f: BenchmarkFilters,
+    baseline_times: DataFrame | None = None,
+    baseline_from: DataFrame | None = None,
 ) -> DataFrame:
     """The chosen run's queries against the pinned baselines, regressions first.
 
     Ratios are rounded to 2 places and the flags compare that rounded value, so a
     flag never disagrees with the shown number: +1 above 1.1, -1 below 0.9, else NULL.
     ``baseline_times`` (default ``query_times``) is where the baseline medians come
-    from. An empty or unset ``f.run_id`` means the newest run that matches the filters.
+    from; with ``baseline_from``, stored :func:`baseline_sketches`, they are approximate and no older
+    timing is read. An empty or unset ``f.run_id`` means the newest run that matches the filters.
     """
     primary, secondary = f.pinned_versions[0], f.pinned_versions[1]
     of_type = query_times.where(F.col("storage_type") == f.storage_type)
     # a literal or a scalar subquery (one row by its limit) on the key of every step below: the
     # filter reaches the scans, so only the chosen run's timings are aggregated
     sel = of_type.where(F.col("run_id") == (F.lit(f.run_id) if f.run_id else selected_run(geomean, f).scalar()))
-    base = baseline_medians(query_times if baseline_times is None else baseline_times, f)
+    if baseline_from is not None:
+        base = merged_baselines(baseline_from, f)
+    else:
+        base = baseline_medians(query_times if baseline_times is None else baseline_times, f)
     # both releases from one aggregate: one row per (series, query)
     sides = base.groupBy("benchmark_series", "query").agg(
         F.max(F.when(F.col("engine_version") == primary, F.col("baseline_seconds"))).alias("_b_p"),

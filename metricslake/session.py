@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # counts and extremes from footers, where a table is read through ``lake.read_by_statistics``
+    "spark.sql.parquet.aggregatePushdown": "true",
     # a row_number() limit up to this many rows is applied per task before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }

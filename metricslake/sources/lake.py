@@ -133,6 +133,18 @@ def read_lake_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_by_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The table through the reader that answers counts and extremes from the footers of the files."""
+    key = "spark.sql.sources.useV1SourceList"
+    recover(spark, path)
+    usual = spark.conf.get(key)
+    spark.conf.set(key, ",".join(s for s in usual.split(",") if s != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, merge_schema: bool = False) -> DataFrame:
     """The table, or an empty frame of ``schema`` when it does not exist yet or holds
     no data file (a partitioned write of zero rows leaves only the directory).
@@ -161,7 +173,7 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | Non
 
 def require_non_empty(spark: SparkSession, path: str, name: str | None = None) -> None:
     """A table that exists must hold rows (an empty one means a broken earlier run)."""
-    if is_table(spark, path) and spark.read.parquet(path).isEmpty():
+    if is_table(spark, path) and read_or_empty(spark, path, T.StructType([])).isEmpty():
         raise ValueError(f"{name or path} exists without rows: an earlier run broke off")
 
 
@@ -200,14 +212,13 @@ def create_typed_table(spark: SparkSession, path: str, schema: T.StructType) ->
 
 
 def append_records(spark: SparkSession, path: str, df: DataFrame) -> None:
-    """Append rows by column name (not position), cast to the table's types."""
+    """Append rows by column name (not position), cast to the table's types; partition columns stay."""
     target = spark.read.parquet(path).schema
     missing = [f.name for f in target if f.name not in df.columns]
     if missing:
         raise ValueError(f"batch lacks columns {missing} of {path}")
-    df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in target]).write.mode(
-        "append"
-    ).parquet(path)
+    rows = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in target])
+    rows.write.mode("append").partitionBy(*partition_columns(spark, path)).parquet(path)
 
 
 def replace_table(spark: SparkSession, path: str, df: DataFrame, partition_by: Iterable[str] = ()) -> None:

@@ -103,3 +103,20 @@ def test_every_landed_field_is_stored_and_landings_do_not_collide(spark, tmp_pat
     assert [r.repository_id for r in retry.collect()] == [1]
     feeds.update_runs(spark, root, _json(spark, tmp_path, "d", [{**_run(i, 1), "actor": "d"} for i in (3, 4, 6)]), NOW)
     assert sorted(r.id for r in feeds.stored_runs(spark, root).collect()) == [1, 2, 3, 4, 6]
+
+
+def test_jobs_lie_by_the_month_of_their_run(spark, tmp_path):
+    """Jobs of old months are not read for recent runs; jobs of unknown runs always are."""
+    root = str(tmp_path / "lake")
+    old = {**_run(1, 1), "created_at": "2020-05-03T00:00:00"}
+    feeds.update_repositories(spark, root, _json(spark, tmp_path, "r", [{"id": 1, "full_name": "org/r1", "private": False}]))
+    feeds.update_runs(spark, root, _json(spark, tmp_path, "a", [old, *(_run(i, 1) for i in (2, 3, 4, 5))]), NOW)
+    job = {"name": "build", "workflow_name": "w", "labels": ["x"]}
+    feeds.update_jobs(spark, root, _json(spark, tmp_path, "j", [{"id": 10, "run_id": 1, **job}, {"id": 11, "run_id": 2, **job}, {"id": 12, "run_id": 99, **job}]))
+    feeds.update_jobs(spark, root, _json(spark, tmp_path, "k", [{"id": 13, "run_id": 2, **job}, {"id": 14, "run_id": 4, **job}, {"id": 15, "run_id": None, **job}]))
+    jobs = spark.read.parquet(f"{root}/ci_jobs")
+    months = {r.id: str(r.run_month) for r in jobs.collect()}
+    recent = str(feeds.stored_runs(spark, root).where("id = 2").selectExpr("trunc(created_at, 'month')").first()[0])
+    assert months == {10: "2020-05-01", 11: recent, 12: "None", 13: recent, 14: recent, 15: "None"}
+    todo = feeds.jobs_to_fetch(spark, root, NOW, 1000, "org/r1")
+    assert sorted(r.run_id for r in todo.collect()) == [3, 5]

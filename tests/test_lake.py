@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from metricslake.operators import changes
 from metricslake.schemas import CI_RUNS, EXTENSION_DOWNLOADS
 from metricslake.sources import change_log, lake
 
@@ -218,3 +219,30 @@ def test_change_log(spark, tmp_path):
     change_log.record(spark, path, frames[3], wider, ["id"], 4)
     assert change_log.new_values(change_log.read(spark, path, 4, 4)).first().w == 7
     assert change_log.new_values(change_log.read(spark, path, 8, 9)).collect() == []
+
+
+def test_profile_from_statistics(spark, tmp_path):
+    """Equal to the scan's, whatever the types, NULLs, NaNs and files without rows or values."""
+    p = str(tmp_path / "t")
+    rows = [(k, None if k % 3 else k, None, float("nan") if k == 4 else k / 2, f"s{k}", [k], k % 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, some int, none int, part double, name string, list array<int>, half int")
+    df = df.withColumn("day", F.expr("date_add(date'2024-01-01', cast(id as int))")).withColumn("at", F.col("day").cast("timestamp_ntz"))
+    for state in (df.repartition(3), df.where("id < 3").coalesce(1), df.limit(0)):
+        state.write.mode("append").partitionBy("half").parquet(p)
+    stored = spark.read.parquet(p)
+    plain = {r.column_name: r for r in changes.column_profile(stored, cast_to="string", columns=[c for c in stored.columns if c != "list"]).collect()}
+    told = {r.column_name: r for r in changes.stored_profile(spark, p, columns=list(plain)).collect()}
+    assert told == plain and (told["id"].max_value, told["some"].null_count, told["part"].contains_nan) == ("39", 28, True)
+    assert "list" in {r.column_name for r in changes.stored_profile(spark, p, ["list", "id"]).collect()}
+    empty = str(tmp_path / "empty")
+    df.limit(0).write.parquet(empty)
+    assert {(r.min_value, r.null_count) for r in changes.stored_profile(spark, empty).collect()} == {(None, 0)}
+
+
+def test_appending_keeps_partitions(spark, tmp_path):
+    p = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, kind string")
+    df.write.partitionBy("kind").parquet(p)
+    lake.append_records(spark, p, spark.createDataFrame([("a", 3), ("c", 4)], "kind string, id int"))
+    assert lake.partition_columns(spark, p) == ["kind"]
+    assert sorted(tuple(r) for r in spark.read.parquet(p).select("id", "kind").collect()) == [(1, "a"), (2, "b"), (3, "a"), (4, "c")]

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 # global aggregates (no grouping key) end in one partition by design: one partial row
 # per task; column_profile's string min/max are such a global aggregate, and the budgets
 # count the repository list
-GLOBAL_AGGREGATES = {"sf_applicable", "column_profile", "budgeted_work"}
+GLOBAL_AGGREGATES = {"sf_applicable", "column_profile", "column_profile_stored", "budgeted_work", "runs_without_jobs_stored"}
 
 
 def _plan(df) -> str:
@@ -65,6 +65,18 @@ def test_runs_are_filtered_where_they_are_read(spark, name):
     assert not re.search(r"hashpartitioning\([^)]*(_rid|repo_id|n_nationkey)", text)
 
 
+def test_only_months_of_recent_runs_are_read(spark):
+    text = _plan(QUERIES["runs_without_jobs_stored"](spark, SF))
+    assert re.search(r"PartitionFilters: \[\(?isnull\(run_month.* OR \(run_month#\d+ >= ", text)
+
+
+def test_extremes_come_from_statistics(spark):
+    text = QUERIES["column_profile_stored"](spark, SF)._jdf.queryExecution().toString()
+    assert re.search(r"PushedAggregation: \[MIN\(l_orderkey\), MAX\(l_orderkey\)", text)
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", text)
+    assert scans and not any("l_orderkey" in s or "l_linenumber" in s for s in scans)
+
+
 def test_a_large_side_is_not_broadcast(spark):
     """Beyond the threshold the table of repositories is shuffled: its size is known, not hoped for."""
     runs = spark.range(1000).selectExpr("id", "id % 7 as repo_id", "'completed' as status", "timestamp_ntz'2024-01-01' as updated_at")

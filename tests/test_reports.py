@@ -11,6 +11,7 @@ from metricslake.plans import views
 from metricslake.schemas import EXTENSION_DOWNLOADS
 
 T = dt.datetime(2024, 1, 1)
+V = BenchmarkFilters().pinned_versions
 
 
 def _qt(spark, rows):
@@ -175,3 +176,20 @@ def test_run_jobs_runner_label(spark):
     got = {r.job_name: r.runner for r in views.run_jobs(jobs, runs, repos).collect()}
     # empty and NULL lists -> '' (the size test is not true); a NULL first label stays NULL
     assert got == {"j1": "ubuntu", "j2": "", "j3": "", "j4": None}
+
+
+def test_baselines_from_sketches(spark):
+    """Within the bound of the exact median, the same whatever days are sketched apart, exact for few values."""
+    rows = [(f"r{k}", dt.datetime(2024, 1, 1 + k % 9), "native", "tpch", q, v, float((k * 7919) % 10007) if v == V[0] else 1.0 + k)
+            for q in ("q1", "q2") for v in V for k in range(10007 if v == V[0] else 5)]
+    columns = "run_id string, run_timestamp timestamp_ntz, storage_type string, benchmark_series string, query string, engine_version string, median_seconds double"
+    times = spark.createDataFrame(rows, columns).unionByName(spark.createDataFrame([("r", None, "native", "tpch", "q1", V[0], None)], columns))
+    f = BenchmarkFilters(storage_type="native")
+    sketches = br.baseline_sketches(times)
+    found = {(r.query, r.engine_version): r.baseline_seconds for r in br.merged_baselines(sketches, f).collect()}
+    exact = {(r.query, r.engine_version): r.baseline_seconds for r in br.baseline_medians(times, f).collect()}
+    assert found.keys() == exact.keys()
+    for key, value in found.items():
+        # values are 0..10006, so a distance is one in rank
+        assert abs(value - exact[key]) <= (br.SKETCH_ERROR * 10007 if key[1] == V[0] else 0)
+    assert br.merged_baselines(sketches.where("false"), f).collect() == []
