@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricslake.llm.common import lean
+from metricslake.llm.common import lean, written
 
 BLOCK_ROWS = 4096
 TILE_ROWS = 512
@@ -69,7 +69,18 @@ def packs(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(lean(_packs(size)), "dim int, turn long, ids binary, data binary")
 
 
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+def _with_index(index_of: Callable[[np.ndarray], bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = batch.slice(row, 1)
+                vectors = np.frombuffer(block.column("data")[0].as_py(), "<f8").reshape(-1, block.column("dim")[0].as_py())
+                yield block.append_column("index", pa.array([index_of(vectors)], pa.binary()))
+
+    return run
+
+
+Search = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def first_k(scores: np.ndarray, ids: np.ndarray, k: int, largest: bool) -> np.ndarray:
@@ -84,27 +95,39 @@ def first_k(scores: np.ndarray, ids: np.ndarray, k: int, largest: bool) -> np.nd
     return places[np.lexsort((ids[places], scores[places]))[:k]]
 
 
-def search(queries: DataFrame, rows: DataFrame, per_pair: Search, score_type: str, k: int, largest: bool) -> DataFrame:
+def search(
+    queries: DataFrame,
+    rows: DataFrame,
+    per_pair: Search,
+    score_type: str,
+    k: int,
+    largest: bool,
+    index_of: Callable[[np.ndarray], bytes] | None = None,
+) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k best rows of each query, ties by id.
 
     ``per_pair`` gets query ids and vectors of a tile, row ids and vectors of a block, and
     returns query ids, row ids and scores of at least the k best rows of each query in the
-    block, without the query's own row.
+    block, without the query's own row. With ``index_of`` a block's index is made once from its vectors
+    and stored with the block in the shared folder; ``per_pair`` gets it last.
     """
     spark = rows.sparkSession
     lanes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every_lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
     tiles = packs(queries, TILE_ROWS).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), every_lane)
-    blocks = packs(rows, BLOCK_ROWS).withColumn("lane", F.pmod(F.col("turn"), F.lit(lanes)).cast("int"))
-    pairs = blocks.join(tiles, ["lane", "dim"]).select("dim", "q_ids", "q_data", "ids", "data")
+    blocks, extra = packs(rows, BLOCK_ROWS), []
+    if index_of is not None:
+        blocks, extra = written(blocks.mapInArrow(lean(_with_index(index_of)), "dim int, turn long, ids binary, data binary, index binary"), "blocks"), ["index"]
+    blocks = blocks.withColumn("lane", F.pmod(F.col("turn"), F.lit(lanes)).cast("int"))
+    pairs = blocks.join(tiles, ["lane", "dim"]).select("dim", "q_ids", "q_data", "ids", "data", *extra)
     kind = {"double": pa.float64(), "long": pa.int64()}[score_type]
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, q_ids, q_data, ids, data = (c[row].as_py() for c in batch.columns)
+                dim, q_ids, q_data, ids, data, *index = (c[row].as_py() for c in batch.columns)
                 vectors = lambda x: np.frombuffer(x, "<f8").reshape(-1, dim)  # noqa: B023, E731
-                q, v, s = per_pair(np.frombuffer(q_ids, "<i8"), vectors(q_data), np.frombuffer(ids, "<i8"), vectors(data))
+                q, v, s = per_pair(np.frombuffer(q_ids, "<i8"), vectors(q_data), np.frombuffer(ids, "<i8"), vectors(data), *index)
                 columns = [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 

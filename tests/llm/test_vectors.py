@@ -7,6 +7,8 @@ from metricslake.llm import ann, exact_topk, tiles
 from metricslake.llm.registry import op2_ann, op5_topk
 
 SF = "/root/testdata/sf0.1"
+#: On nearly random vectors at most this share of the rows is compared by distance.
+SHARE = 0.3
 
 
 def vectors(spark, sf):
@@ -47,10 +49,28 @@ def test_recall_and_distances(spark):
     assert sorted(got) == sorted(ids[ids % 100 == 0]) and hit >= 0.9 * total
 
 
+def test_recall_over_several_blocks(spark, monkeypatch):
+    """Whole lists again with blocks and tiles of few rows, and the share of rows that is compared by distance."""
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(tiles, "TILE_ROWS", 7)
+    ids, x = vectors(spark, SF)
+    got = lists(op2_ann(spark, SF).collect())
+    model = ann.fit(spark.read.parquet(f"{SF}/embeddings.parquet"))[x.shape[1]]
+    codes, hit, near = model.of(x), 0, 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        hit += len({ids[i] for i in order} & {v for v, _ in found})
+        near += int((ann.hamming(codes, codes[ids == q][0]) <= model.radius).sum())
+    print("recall", hit / (10 * len(got)), "share", near / len(got) / len(ids), "radius", model.radius)
+    assert len(got) == (ids % 100 == 0).sum() and hit >= 9 * len(got)
+    assert near < SHARE * len(got) * len(ids)
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 256, (600, 4), dtype=np.uint8)
-    index = ann.MultiIndex(codes)
+    index = ann.MultiIndex.read(ann.MultiIndex.build(codes).stored(), len(codes))
     for radius in range(0, 33, 3):
         for code in codes[:20]:
             assert index.within(code, radius).tolist() == np.flatnonzero(ann.hamming(codes, code) <= radius).tolist()
