@@ -108,7 +108,8 @@ class MultiIndex(NamedTuple):
         parts = len(data) // (5 * size + 4 * buckets)
         codes = np.frombuffer(data, np.uint8, parts * size).reshape(size, parts)
         rows = np.frombuffer(data, "<u4", parts * size, parts * size).reshape(parts, size)
-        return cls(codes, rows, np.frombuffer(data, "<u4", offset=5 * parts * size).reshape(parts, buckets))
+        begin = np.frombuffer(data, "<u4", offset=5 * parts * size).reshape(parts, buckets)
+        return cls(codes, rows.astype(np.intp), begin.astype(np.intp))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code lies within the radius: pigeonhole probes, then whole codes."""
@@ -118,8 +119,11 @@ class MultiIndex(NamedTuple):
         for part, (rows, begin) in enumerate(zip(self.rows, self.begin)):
             reach = min(whole if part <= rest else whole - 1, SUBSTRING_BITS)
             if reach >= 0:
-                for value in (masks[: begins[reach + 1]] ^ code[part]).tolist():
-                    hit[rows[begin[value] : begin[value + 1]]] = True
+                values = (masks[: begins[reach + 1]] ^ code[part]).astype(np.intp)
+                first, size = begin[values], begin[values + 1] - begin[values]
+                # the buckets' places in ``rows``, one bucket after the other
+                places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                hit[rows[places]] = True
         found = np.flatnonzero(hit)
         return found[hamming(self.codes[found], code) <= radius]
 
