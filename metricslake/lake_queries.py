@@ -19,15 +19,18 @@ from metricslake.params import BenchmarkFilters
 from metricslake.plans import benchmark_reports as br
 from metricslake.schemas import CI_REPOSITORIES, EXTENSION_DOWNLOADS
 from metricslake.session import checkpoint_dir, configure
-from metricslake.sources import change_log, lake
+from metricslake.sources import change_log, lake, published
 from metricslake.sources import download_files as dl
 from metricslake.sources.adapters import model_table, with_views
 from metricslake.streaming.landing import (
     BATCH_COL,
+    MARKS,
+    RUNS,
     commit_runs_and_mark,
     held_runs,
     landing_stream,
     late_period_load,
+    publish_runs_and_mark,
     store_run_batch,
 )
 
@@ -109,6 +112,41 @@ def q_commit_runs_and_mark(spark, sf_dir):
     return _flat(lake.read_lake_table(spark, f"{root}/runs")).join(marks, "repo_id", "left")
 
 
+#: Batches of the published-runs scenario: the ids by their remainder.
+PUBLISHED_BATCHES = 3
+
+
+def q_publish_runs_and_mark(spark, sf_dir):
+    """Batches of runs published with their marks; each is run twice, and the last one once more
+    without its pointer (a writer that stopped). Runs as stored, with the mark of their repository."""
+    root, kept = _folder(spark), _kept(spark, sf_dir)
+    for batch_id in range(PUBLISHED_BATCHES):
+        batch = kept.where(F.col("id") % PUBLISHED_BATCHES == batch_id)
+        for _ in range(2):
+            publish_runs_and_mark(batch, batch_id, root)
+    lake.create_table_as(spark, f"{root}/{RUNS}/v-stopped", kept)
+    now = published.state(spark, root)
+    marks = published.read(spark, root, MARKS, now).groupBy("repository_id").agg(F.max("max_run_id").alias("max_run_id"))
+    return _flat(published.read(spark, root, RUNS, now)).join(marks.withColumnRenamed("repository_id", "repo_id"), "repo_id", "left")
+
+
+def q_published_states(spark, sf_dir):
+    """Two states of a set of derived tables, each read as of one moment: both tables, then one of them
+    replaced by runs of one storage type, with the other as it was."""
+    root = _folder(spark)
+    runs, results, metrics = (model_table(spark, sf_dir, n) for n in BENCH_VIEWS)
+    published.publish(spark, root, {"means": derived.warm_run_mean(runs, results, metrics), "attempts": derived.run_attempts(results)})
+    native = runs.where(F.col("storage_type") == "native").select("run_id")
+    published.publish(spark, root, {"means": published.read(spark, root, "means").join(native, "run_id", "left_semi")})
+
+    def seen(number: int) -> DataFrame:
+        at = published.state(spark, root, number)
+        means = published.read(spark, root, "means", at).groupBy("run_id").agg(F.count("*").alias("n_means"))
+        return means.join(published.read(spark, root, "attempts", at), "run_id").withColumn("state", F.lit(number))
+
+    return seen(1).unionByName(seen(2))
+
+
 def q_landing_stream(spark, sf_dir):
     """Stored runs, with a field that the model does not name and that only some records have."""
     root = _folder(spark)
@@ -265,6 +303,8 @@ QUERIES = {
     "materialize_derived": q_materialize_derived,
     "compact_table": q_compact_table,
     "commit_runs_and_mark": q_commit_runs_and_mark,
+    "publish_runs_and_mark": q_publish_runs_and_mark,
+    "published_states": q_published_states,
     "landing_stream": q_landing_stream,
     "run_labels": q_run_labels,
     "held_runs": q_held_runs,
@@ -351,6 +391,22 @@ ORACLES = {
     "commit_runs_and_mark": with_views(
         ["ci_runs"], "select *, max(id) over (partition by repo_id) as max_run_id from stored", [("stored", _STORED)]
     ),
+    "publish_runs_and_mark": with_views(
+        ["ci_runs"],
+        "select s.*, m.max_run_id from stored s join (select repo_id, max(id) as max_run_id from stored group by repo_id) m using (repo_id)",
+        [("stored", _STORED)],
+    ),
+    "published_states": with_views(
+        BENCH_VIEWS,
+        """select run_id, n_means, queries_attempted, queries_failed, s.state
+from (select run_id, count(*) as n_means from means group by run_id) join attempts using (run_id)
+join runs using (run_id) join (values (1, 'native'), (1, 'lake'), (2, 'native')) as s(state, storage_type) using (storage_type)""",
+        [
+            ("means", OK_MEANS.strip()),
+            ("attempts", """select run_id, count(*) as queries_attempted, count(*) filter (where status <> 'ok') as queries_failed
+from query_results group by run_id"""),
+        ],
+    ),
     "landing_stream": with_views(
         ["ci_runs"], "select *, case when id % 3 = 0 then id % 5 end as run_attempt from stored", [("stored", _STORED)]
     ),

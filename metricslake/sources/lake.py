@@ -53,6 +53,32 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath()) for s in fs.globStatus(p) or () if s.isFile())
 
 
+def modified(spark: SparkSession, pattern: str) -> list[tuple[str, float]]:
+    """Paths that a glob pattern names, with the seconds since the epoch of their last change."""
+    fs, p = _fs(spark, pattern)
+    return [(str(s.getPath()), s.getModificationTime() / 1000) for s in fs.globStatus(p) or ()]
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file as a whole."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file that must not exist yet."""
+    fs, p = _fs(spark, path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 def as_glob(path: str) -> str:
     """A pattern that names just this path."""
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)

@@ -30,7 +30,7 @@ from metricslake.operators import ingest
 from metricslake.schemas import CI_REPOSITORIES_METADATA, CI_RUNS, EXTENSION_DOWNLOADS
 from metricslake.session import checkpoint_dir
 from metricslake.sources import download_files as dl
-from metricslake.sources import lake
+from metricslake.sources import lake, published
 
 BATCH_COL = "landing_batch"
 MARKS_TABLE = T.StructType(CI_REPOSITORIES_METADATA.fields + [T.StructField(BATCH_COL, T.LongType())])
@@ -179,6 +179,22 @@ def commit_runs_and_mark(kept: DataFrame, batch_id: int, runs_path: str, marks_p
     _write_partitions(ingest.new_high_water_mark(kept).select("*", tag), marks_path, [BATCH_COL])
 
 
+#: Names of the tables that :func:`publish_runs_and_mark` changes together.
+RUNS, MARKS = "ci_runs", "ci_runs_marks"
+
+
+def publish_runs_and_mark(kept: DataFrame, batch_id: int, root: str) -> bool:
+    """Runs and their new marks in one step (:mod:`metricslake.sources.published`): a reader sees both
+    or neither. A batch that has been published already adds nothing (False)."""
+    spark = kept.sparkSession
+    now = published.state(spark, root)
+    if now.step is not None and batch_id <= now.step:
+        return False
+    kept = kept.checkpoint(eager=True)
+    changes = {RUNS: kept, MARKS: ingest.new_high_water_mark(kept)}
+    return published.publish(spark, root, append=changes, step=batch_id, base=now)
+
+
 def whole_records(files: DataFrame, schema: T.StructType = CI_RUNS, record_col: str = RECORD_COL, text_col: str = "value") -> DataFrame:
     """Landed files (a JSON array of records each) -> one row a record: the columns of ``schema`` in
     their types, and the whole record as a variant, so fields that the model does not name are kept
