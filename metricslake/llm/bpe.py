@@ -66,21 +66,21 @@ class Automaton:
             self.without.append(v)
             self.target[u] = step
         self.arcs = array("q", [-1]) * ARC_TABLE
-        self.trie: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]
+        # labels as a tree: a symbol leads to the next node and to the token whose label ends there (or -1)
+        self.tree: dict[str, tuple[dict, int]] = {}
+        self.longest = 0  # symbols of a label
         for label, i in vocab.items():
             self._add(label, i)
 
     def _add(self, label: str, token: int) -> None:
-        node = 0
-        for symbol in symbols(label):
-            nxt = self.trie[node].get(symbol)
-            if nxt is None:
-                nxt = self.trie[node][symbol] = len(self.trie)
-                self.trie.append({})
-                self.ends.append(-1)
-            node = nxt
-        self.ends[node] = token
+        node = self.tree
+        *before, end = symbols(label)
+        self.longest = max(self.longest, len(before) + 1)
+        for symbol in before:
+            if symbol not in node:
+                node[symbol] = ({}, -1)
+            node = node[symbol][0]
+        node[end] = (node[end][0] if end in node else {}, token)
 
     def arc(self, state: int, token: int) -> int:
         """Compiles whether ``state`` has an arc for ``token`` (the lowest bit) into the table of arcs. It
@@ -95,35 +95,46 @@ class Automaton:
         return held
 
     def encode(self, word: list[str]) -> list[int]:
-        """Token ids of a word's base symbols."""
-        n, size, arcs = len(word), len(self.labels), self.arcs
-        trie, ends, target = self.trie, self.ends, self.target
-        last: list[int] = [-1] * (n + 1)
-        begins: list[int] = [0] * (n + 1)
-        for start in range(n):
-            if start and last[start] < 0:
-                continue
-            state = target[last[start]] if start else 0
-            node = 0
-            for end in range(start + 1, n + 1):
-                node = trie[node].get(word[end - 1])
-                if node is None:
+        """Token ids of a word's base symbols: the arcs of the path that ends with the word.
+
+        Longer tokens are tried first. A prefix has one path only, so a place is left from at
+        most once and the work is that of the table look-ups of a single pass.
+        """
+        n, size, arcs, tree, target = len(word), len(self.labels), self.arcs, self.tree, self.target
+        ids: list[int] = []
+        untried: list[list[tuple[int, int]]] = []  # for each place of the path, the (token, end) not tried yet
+        start = state = 0
+        while start < n:
+            node, end, ahead = tree, start, []
+            for symbol in word[start : start + self.longest]:
+                found = node.get(symbol)
+                if found is None:
                     break
-                token = ends[node]
+                node, token = found
+                end += 1
                 if token >= 0:
+                    ahead.append((token, end))
+            untried.append(ahead)
+            while True:
+                if not ahead:  # no path goes on from here
+                    untried.pop()
+                    if not untried:
+                        raise ValueError("a symbol is not in the vocabulary")
+                    ids.pop()
+                    ahead, state = untried[-1], target[ids[-1]] if ids else 0
+                    continue
+                token, end = ahead.pop()
+                if state:
                     key = state * size + token
                     held = arcs[key & ARC_MASK]
                     if held >> 1 != key:
                         held = self.arc(state, token)
-                    if held & 1:
-                        last[end], begins[end] = token, start
-        ids, at = [], n
-        while at:
-            if last[at] < 0:
-                raise ValueError("a symbol is not in the vocabulary")
-            ids.append(last[at])
-            at = begins[at]
-        return ids[::-1]
+                    if not held & 1:
+                        continue
+                ids.append(token)
+                start, state = end, target[token]
+                break
+        return ids
 
 
 END = "</w>"
