@@ -8,6 +8,8 @@ merge (u, v) -> uv
   copy: u followed by v is no longer a tokenization;
 * lets uv lead where v led, and gives an arc for uv to every state that has one for u.
 
+If the state that u leads to has no arc for v by then, uv is in no tokenization and gets no arc.
+
 A state is therefore its parent state minus one token, and whether a state has an arc for a
 token follows from the order in which states and tokens were made (:meth:`Automaton.arc`).
 The automaton accepts exactly the BPE tokenizations, one for each string; hence each prefix
@@ -56,21 +58,29 @@ class Automaton:
         self.left = [-1] * size
         self.target = [0] * size  # the state that a token leads to
         self.parent, self.without = [-1], [-1]  # state 0 has every arc
+        self.arcs = array("q", [-1]) * ARC_TABLE
+        arises = [len(symbols(label)) == 1 for label in self.labels]
         for step, (a, b) in enumerate(merges, 1):
             u, v, uv = vocab[a], vocab[b], vocab[a + b]
             if self.made[uv]:
                 raise ValueError(f"two merges make {a + b!r}")
             self.made[uv], self.left[uv] = step, u
+            if not (arises[u] and arises[v] and self.arc(self.target[u], v) & 1):
+                # u is never followed by v: other merges come first, and uv is in no tokenization
+                self.parent.append(0)
+                self.without.append(-1)
+                continue
+            arises[uv] = True
             self.target[uv] = self.target[v]
             self.parent.append(self.target[u])
             self.without.append(v)
             self.target[u] = step
-        self.arcs = array("q", [-1]) * ARC_TABLE
         # labels as a tree: a symbol leads to the next node and to the token whose label ends there (or -1)
         self.tree: dict[str, tuple[dict, int]] = {}
         self.longest = 0  # symbols of a label
         for label, i in vocab.items():
-            self._add(label, i)
+            if arises[i]:
+                self._add(label, i)
 
     def _add(self, label: str, token: int) -> None:
         node = self.tree

@@ -86,3 +86,15 @@ def test_frames(spark):
     assert sorted(r.n_tokens for r in rows) == [0, 2, 2]
     assert {r.decoded for r in bpe.decode(coded, PATH).collect()} == {"hi</w> there</w>", ""}
     assert bpe.encode(df.limit(0), PATH).collect() == []
+
+
+def test_long_words(lib, own):
+    for text in ("abcdefgh" * 20_000, "a" * 4001, "the" * 3000 + "é" * 500):
+        assert own.encode(text) == expected(lib, text)
+
+
+def test_tokens_that_never_arise():
+    """After ba has been merged, a is never followed by ba's letters: abab is in no tokenization."""
+    merges = [("b", "a"), ("a", "b"), ("ab", "ab")]
+    automaton = bpe.Automaton({"a": 0, "b": 1, "ba": 2, "ab": 3, "abab": 4}, merges)
+    assert [automaton.labels[i] for i in automaton.encode(list("abab"))] == ["a", "ba", "b"]
