@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricslake.operators import changes
+from metricslake.queries import QUERIES
 from metricslake.schemas import CI_RUNS, EXTENSION_DOWNLOADS
 from metricslake.sources import change_log, lake
+from metricslake.sources.adapters import model_table
 
 
 def test_create_modes_and_append_by_name(spark, tmp_path):
@@ -246,3 +248,17 @@ def test_appending_keeps_partitions(spark, tmp_path):
     lake.append_records(spark, p, spark.createDataFrame([("a", 3), ("c", 4)], "kind string, id int"))
     assert lake.partition_columns(spark, p) == ["kind"]
     assert sorted(tuple(r) for r in spark.read.parquet(p).select("id", "kind").collect()) == [(1, "a"), (2, "b"), (3, "a"), (4, "c")]
+
+
+def test_leftovers_are_taken_from_the_stored_table(spark, monkeypatch):
+    """The jobs are joined once, for the table itself; no leftover computes them again."""
+    plans, create = [], lake.create_table_as
+
+    def seen(spark, path, df, **how):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return create(spark, path, df, **how)
+
+    monkeypatch.setattr(lake, "create_table_as", seen)
+    table = QUERIES["read_lake_table"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 4 and sum("Join" in p for p in plans) == 1
+    assert table.count() == model_table(spark, "/root/testdata/sf0.001", "ci_jobs").count()
