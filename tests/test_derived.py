@@ -93,3 +93,35 @@ def test_warm_run_mean_excludes_failed_and_test(spark):
     runs, qr, qm = _frames(spark)
     got = {(int(r.run_id), r.query): r.seconds for r in derived.warm_run_mean(runs, qr, qm).collect()}
     assert got == {(1, 1): 2.0, (1, 2): 4.0, (2, 1): 1e-9, (5, 1): 2.0}
+
+
+def test_run_aggregates_need_no_join(spark):
+    """Results and timings meet in one aggregate: no side is sorted, odd rows count as in a join."""
+    m = "execution_time_seconds"
+    qr = spark.createDataFrame(
+        [
+            ("a", 1, "ok", True, None), ("a", 1, "failed", True, None), ("a", 1, "ok", True, None),  # one key, thrice
+            ("a", 2, None, True, None),  # neither ok nor failed
+            ("a", None, "ok", True, None), (None, 1, "ok", True, None),  # meet no timing
+            ("b", 1, "failed", True, None),
+        ],
+        QUERY_RESULTS,
+    )
+    qm = spark.createDataFrame(
+        [
+            ("a", 1, m, 2.0), ("a", 1, m, 6.0), ("a", 2, m, 9.0), ("a", None, m, 9.0), (None, 1, m, 9.0),
+            ("a", 3, m, 9.0), ("b", 1, m, 9.0), ("c", 1, m, 9.0),  # no result, or a failed one
+        ],
+        QUERY_METRICS,
+    )
+    got = derived.run_aggregates(qr, qm)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r.run_id: r for r in got.collect()}
+    assert set(rows) == {"a", "b", None}
+    a = rows["a"]
+    assert math.isclose(a.geomean_seconds, 4.0)
+    assert (a.queries_ok, a.fastest_query_seconds, a.slowest_query_seconds) == (1, 4.0, 4.0)
+    assert (a.queries_attempted, a.queries_failed) == (5, 1)
+    for other, attempted, failed in (("b", 1, 1), (None, 1, 0)):
+        r = rows[other]
+        assert (r.geomean_seconds, r.queries_ok, r.queries_attempted, r.queries_failed) == (None, 0, attempted, failed)
